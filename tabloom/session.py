@@ -83,5 +83,6 @@ def run_jobs(calls: Iterable[Callable[[], Any]], parallelism: int = 4) -> list[A
     if parallelism <= 1 or len(calls) <= 1:
         return [call() for call in calls]
     with ThreadPoolExecutor(max_workers=min(parallelism, len(calls))) as pool:
-        futures = [pool.submit(inheritable_thread_target(call)) for call in calls]
+        inherit = inheritable_thread_target(SparkSession.getActiveSession())
+        futures = [pool.submit(inherit(call)) for call in calls]
         return [future.result() for future in futures]
