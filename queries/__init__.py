@@ -1,0 +1,5 @@
+"""Registered queries, one module per part of the package."""
+
+from queries import choice, models, prep, profile, sources
+
+MODULES = (sources, profile, prep, models, choice)

@@ -20,6 +20,7 @@ from pyspark.ml.feature import (
     StringIndexerModel,
     VectorAssembler,
 )
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,6 +126,27 @@ def build_prep(
     return Prep(_with_encoder(stages, numeric, categories), names, _fills(numeric, categories), dict(scales), list(dropped))
 
 
+def impute(df: DataFrame, prep: Prep) -> DataFrame:
+    """Fill missing values in place; columns that are all missing are dropped."""
+    filled = {
+        c: F.coalesce(as_double(c) if isinstance(fill, float) else col(c).cast("string"), F.lit(fill))
+        for c, fill in prep.fills.items()
+    }
+    return df.drop(*prep.dropped).withColumns(filled)
+
+
+def scale(df: DataFrame, prep: Prep) -> DataFrame:
+    """Fill, then centre and scale the numeric columns in place."""
+    scaled = {c: (col(c) - F.lit(mean)) / F.lit(std) for c, (mean, std) in prep.scales.items()}
+    return impute(df, prep).withColumns(scaled)
+
+
+def matrix_rows(df: DataFrame, prep: Prep, key: Sequence[str]) -> DataFrame:
+    """The feature matrix in long form: ``key..., position, value``."""
+    vector = vector_to_array(F.col(FEATURES))
+    return prep.model.transform(df).select(*[col(k) for k in key], F.posexplode(vector).alias("position", "value"))
+
+
 def _with_encoder(stages, numeric, categories) -> PipelineModel:
     """Fit the encoder on an empty table: its sizes come from column metadata."""
     from pyspark.sql import SparkSession

@@ -21,8 +21,10 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
+from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tabloom.operators.detection import CLASSIFICATION
 from tabloom.operators.kernel import FourierMap, scaled_gamma
@@ -100,9 +102,7 @@ def _ridge(df, context, params):
     MLlib divides the penalty by the deviation of the label, so it is given
     times that deviation.
     """
-    from pyspark.sql import functions as F
-
-    spread = df.agg(F.stddev_samp(LABEL)).first()[0] or 1.0
+    spread = df.agg(F.stddev_pop(LABEL)).first()[0] or 1.0
     settings = {"regParam": spread / max(1, context.rows), "elasticNetParam": 0.0, "standardization": False}
     return LinearRegression(**_columns(**settings | params)).fit(df)
 
@@ -166,12 +166,13 @@ def _kernel_svc(df, context, params):
         rawPredictionCol="_platt_raw",
         probabilityCol="probability",
         regParam=1.0 / max(1, context.rows),
+        maxIter=25,
     )
     return Pipeline(stages=[mapped, linear, platt]).fit(df)
 
 
 def _kernel_huber(df, context, params):
-    """Fourier features and a robust (Huber) linear loss."""
+    """Fourier features and a robust (Huber) linear loss on the scaled target."""
     mapped = FourierMap(
         inputCol=FEATURES,
         outputCol="_fourier",
@@ -179,10 +180,18 @@ def _kernel_huber(df, context, params):
         gamma=scaled_gamma(df, FEATURES),
         seed=context.options.seed,
     )
-    settings = {"loss": "huber", "regParam": 1.0 / max(1, context.rows), "maxIter": 100, "tol": KERNEL_TOLERANCE} | params
-    return Pipeline(
-        stages=[mapped, LinearRegression(featuresCol="_fourier", labelCol=LABEL, **settings)]
-    ).fit(df)
+    mean, spread = df.agg(F.avg(LABEL), F.stddev_pop(LABEL)).first()
+    spread = spread or 1.0
+    settings = {"regParam": 1.0 / max(1, context.rows), "maxIter": 100, "tol": KERNEL_TOLERANCE} | params
+    linear = LinearRegression(
+        featuresCol="_fourier", labelCol="_scaled", predictionCol="_scaled_prediction", loss="huber", **settings
+    )
+    unscale = SQLTransformer(
+        statement=f"SELECT * EXCEPT (_scaled_prediction), "
+        f"_scaled_prediction * double('{spread!r}') + double('{mean!r}') AS prediction FROM __THIS__"
+    )
+    scaled = df.withColumn("_scaled", (F.col(LABEL) - F.lit(mean)) / F.lit(spread))
+    return Pipeline(stages=[mapped, linear, unscale]).fit(scaled)
 
 
 def _neighbours(df, context, params):

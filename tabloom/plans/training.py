@@ -132,7 +132,17 @@ def training_table(
 
 def prepared(table: TrainingTable, prep: Prep) -> DataFrame:
     """Only what a family needs: ids, fold, label and the feature vector."""
-    return prep.model.transform(table.rows).select(ROW_ID, FOLD, LABEL, FEATURES)
+    return prep.model.transform(spread(table.rows)).select(ROW_ID, FOLD, LABEL, FEATURES)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Use every core on a table of few files; a large table is left as it is.
+
+    Training makes many passes over few bytes, so a split that suits a scan is
+    too coarse for it.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, ROW_ID) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def fit_preps(table: TrainingTable, numeric_strategy: str = "median") -> dict[int, Prep]:
