@@ -30,6 +30,7 @@ from tabloom.plans.families import LABEL, ROW_ID, Context, Family, Options, para
 from tabloom.session import run_jobs, write_table
 
 FOLD = "_fold"
+ROWS_PER_TASK = 100_000
 RESULTS = (
     "run_id string, position bigint, model_name string, mean_score double, std_score double, "
     "train_time double, metric_name string"
@@ -132,17 +133,19 @@ def training_table(
 
 def prepared(table: TrainingTable, prep: Prep) -> DataFrame:
     """Only what a family needs: ids, fold, label and the feature vector."""
-    return prep.model.transform(spread(table.rows)).select(ROW_ID, FOLD, LABEL, FEATURES)
+    rows = spread(table.rows, table.count)
+    return prep.model.transform(rows).select(ROW_ID, FOLD, LABEL, FEATURES)
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Use every core on a table of few files; a large table is left as it is.
+def spread(rows: DataFrame, count: int) -> DataFrame:
+    """Use more cores on a table of few files; a large table is left as it is.
 
     Training makes many passes over few bytes, so a split that suits a scan is
-    too coarse for it.
+    too coarse for it; but tasks of a few rows cost more than they save.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, ROW_ID) if rows.rdd.getNumPartitions() < cores else rows
+    wanted = min(cores, math.ceil(count / ROWS_PER_TASK))
+    return rows.repartition(wanted, ROW_ID) if rows.rdd.getNumPartitions() < wanted else rows
 
 
 def fit_preps(table: TrainingTable, numeric_strategy: str = "median") -> dict[int, Prep]:
