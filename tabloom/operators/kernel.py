@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,6 +17,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.functions.arrays import to_lists, to_matrix
+
 
 def fourier_basis(width: int, size: int, gamma: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     random = np.random.RandomState(seed)
@@ -44,17 +46,14 @@ class FourierMap(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
     def _transform(self, dataset: DataFrame) -> DataFrame:
         size, gamma, seed = (self.getOrDefault(p) for p in (self.size, self.gamma, self.seed))
 
-        @F.pandas_udf("array<double>")
-        def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("array<double>")
+        def project(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             basis = None
             for vectors in batches:
-                if not len(vectors):
-                    yield pd.Series([], dtype=object)
-                    continue
-                x = np.stack([np.asarray(v, dtype=float) for v in vectors.to_numpy()])
-                if basis is None:
+                x = to_matrix(vectors)
+                if basis is None and len(x):
                     basis = fourier_basis(x.shape[1], size, gamma, seed)
-                yield pd.Series(list(np.sqrt(2.0 / size) * np.cos(x @ basis[0] + basis[1])))
+                yield to_lists(np.sqrt(2.0 / size) * np.cos(x @ basis[0] + basis[1]) if len(x) else x)
 
         projected = project(vector_to_array(F.col(self.getInputCol())))
         return dataset.withColumn(self.getOutputCol(), array_to_vector(projected))

@@ -19,13 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.functions.arrays import to_matrix
 from tabloom.session import write_table
 
 BROADCAST_CELLS = 4_000_000  # numbers, about 32 MB
+BROADCAST_ROWS = 20_000  # beyond this, pruning saves more than the shuffles cost
 PIVOTS = 128
 BLOCK_ROWS = 20_000
 CHUNK_CELLS = 4_000_000
@@ -51,7 +54,7 @@ def nearest(
     width = references.select(F.size("vector")).first()
     if width is None:
         raise ValueError("There are no reference rows.")
-    limit = broadcast_cells // max(1, width[0])
+    limit = min(BROADCAST_ROWS, broadcast_cells // max(1, width[0]))
     head = references.limit(limit + 1).toPandas() if limit else None
     if head is not None and len(head) <= limit:
         return _broadcast_search(queries, head, k)
@@ -102,15 +105,17 @@ def _broadcast_search(queries: DataFrame, references: pd.DataFrame, k: int) -> D
         (_matrix(references["vector"]), references["ref"].to_numpy(), references["value"].to_numpy(dtype=float))
     )
 
-    @F.pandas_udf(NEIGHBOURS)
-    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(NEIGHBOURS)
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         refs, ids, values = shared.value
         for vectors in batches:
-            lists: list[list] = [[] for _ in range(len(vectors))]
-            if len(vectors):
-                for row, at, gap in zip(*top_k(_matrix(vectors), refs, ids, k)):
-                    lists[row].append({"distance": float(gap), "ref": int(ids[at]), "value": float(values[at])})
-            yield pd.Series(lists)
+            q = to_matrix(vectors)
+            rows, at, gaps = top_k(q, refs, ids, k) if len(q) else (np.empty(0, int), np.empty(0, int), np.empty(0))
+            found = pa.StructArray.from_arrays(
+                [pa.array(gaps), pa.array(ids[at], pa.int64()), pa.array(values[at])], ["distance", "ref", "value"]
+            )
+            offsets = np.searchsorted(rows, np.arange(len(q) + 1)).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), found)
 
     return queries.withColumn("neighbours", search(F.col("vector")))
 
@@ -147,17 +152,22 @@ def _block_search(queries: DataFrame, references: DataFrame, k: int, pivots: int
         .select("cell", "qb", "rb", "ref", "vector", "value")
     )
 
-    def search(_key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"_qid": [], "distance": [], "ref": [], "value": []})
-        ids = b["ref"].to_numpy()
-        rows, at, gaps = top_k(_matrix(a["vector"]), _matrix(b["vector"]), ids, k)
-        return pd.DataFrame(
-            {"_qid": a["_qid"].to_numpy()[rows], "distance": gaps, "ref": ids[at], "value": b["value"].to_numpy()[at]}
+    def search(_key, a: pa.Table, b: pa.Table) -> pa.Table:
+        q, refs = to_matrix(a["vector"].combine_chunks()), to_matrix(b["vector"].combine_chunks())
+        ids, values = b["ref"].to_numpy(), b["value"].to_numpy()
+        rows, at, gaps = top_k(q, refs, ids, k) if len(q) and len(refs) else ([], [], [])
+        rows, at = np.asarray(rows, int), np.asarray(at, int)
+        return pa.table(
+            {
+                "_qid": pa.array(a["_qid"].to_numpy()[rows], pa.int64()),
+                "distance": pa.array(gaps, pa.float64()),
+                "ref": pa.array(ids[at], pa.int64()),
+                "value": pa.array(values[at], pa.float64()),
+            }
         )
 
     keys = ["cell", "qb", "rb"]
-    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
         search, "_qid bigint, distance double, ref bigint, value double"
     )
     best = Window.partitionBy("_qid").orderBy("distance", "ref")
@@ -173,15 +183,15 @@ def _block_search(queries: DataFrame, references: DataFrame, k: int, pivots: int
 def _cell_udf(df: DataFrame, centres: np.ndarray):
     shared = df.sparkSession.sparkContext.broadcast(centres)
 
-    @F.pandas_udf("cell int, distance double")
-    def cell(vectors: pd.Series) -> pd.DataFrame:
-        points = shared.value
-        if not len(vectors):
-            return pd.DataFrame({"cell": [], "distance": []})
-        x = _matrix(vectors)
-        rough = (points * points).sum(axis=1)[None, :] - 2.0 * x @ points.T
-        at = rough.argmin(axis=1)
-        return pd.DataFrame({"cell": at, "distance": np.sqrt(((x - points[at]) ** 2).sum(axis=1))})
+    @F.arrow_udf("struct<cell:int,distance:double>")
+    def cell(vectors: pa.Array) -> pa.Array:
+        points, x = shared.value, to_matrix(vectors)
+        at, gaps = np.empty(0, np.int32), np.empty(0)
+        if len(x):
+            rough = (points * points).sum(axis=1)[None, :] - 2.0 * x @ points.T
+            at = rough.argmin(axis=1).astype(np.int32)
+            gaps = np.sqrt(((x - points[at]) ** 2).sum(axis=1))
+        return pa.StructArray.from_arrays([pa.array(at), pa.array(gaps)], ["cell", "distance"])
 
     return cell
 

@@ -47,6 +47,7 @@ class Options:
     forest_depth: int | None = None
     boosted_depth: int = 6
     fourier_features: int = 256
+    kernel_iterations: int = 100
     neighbours: int = 5
     seed: int = 42
     parallelism: int = 4
@@ -153,7 +154,7 @@ def _kernel_svc(df, context, params):
         gamma=scaled_gamma(df, FEATURES),
         seed=context.options.seed,
     )
-    settings = {"regParam": 1.0 / max(1, context.rows), "maxIter": 100, "tol": KERNEL_TOLERANCE} | params
+    settings = {"regParam": 1.0 / max(1, context.rows), "maxIter": context.options.kernel_iterations, "tol": KERNEL_TOLERANCE} | params
     linear = LinearSVC(featuresCol="_fourier", labelCol=LABEL, **settings)
     if context.classes > 2:
         linear = OneVsRest(
@@ -166,7 +167,7 @@ def _kernel_svc(df, context, params):
         rawPredictionCol="_platt_raw",
         probabilityCol="probability",
         regParam=1.0 / max(1, context.rows),
-        maxIter=25,
+        maxIter=min(25, context.options.kernel_iterations),
     )
     return Pipeline(stages=[mapped, linear, platt]).fit(df)
 
@@ -182,7 +183,7 @@ def _kernel_huber(df, context, params):
     )
     mean, spread = df.agg(F.avg(LABEL), F.stddev_pop(LABEL)).first()
     spread = spread or 1.0
-    settings = {"regParam": 1.0 / max(1, context.rows), "maxIter": 100, "tol": KERNEL_TOLERANCE} | params
+    settings = {"regParam": 1.0 / max(1, context.rows), "maxIter": context.options.kernel_iterations, "tol": KERNEL_TOLERANCE} | params
     linear = LinearRegression(
         featuresCol="_fourier", labelCol="_scaled", predictionCol="_scaled_prediction", loss="huber", **settings
     )
