@@ -70,6 +70,6 @@ def test_too_many_categories_are_refused(spark):
 
 def test_engineering_pipeline(spark, people):
     fitted = prep.fit_prep(people, feature_schema(people))
-    data = fitted.model.transform(people).withColumn("label", F.monotonically_increasing_id() % 2)
+    data = fitted.model.transform(people).withColumn("label", (F.coalesce("income", F.lit(0.0)) > 50).cast("double"))
     pipeline = features.engineering_pipeline("label", "classification", enable_polynomial_features=True, k=3)
     assert len(pipeline.fit(data).transform(data).first()["_selected"]) == 3
