@@ -121,13 +121,19 @@ def _pick(name: str, lo: float | None, hi: float | None, fraction: float) -> Col
 
 
 def _narrow(df, values, ranks, found, accuracy):
-    brackets = {}
+    shared: dict[tuple, list[int]] = {}
     for (name, rank), (lo, hi, below, inside) in ranks.items():
-        share = (rank - below + 0.5) / inside
-        slack = 2.0 / accuracy
-        edges = F.array(F.lit(max(0.0, share - slack)), F.lit(min(1.0, share + slack)))
-        brackets[(name, rank)] = F.percentile_approx(_inside(values[name], lo, hi), edges, accuracy)
-    edges = chunked_agg(df, brackets)
+        shared.setdefault((name, lo, hi, below, inside), []).append(rank)
+    sketches = {}
+    for group, members in shared.items():
+        name, lo, hi, below, inside = group
+        shares = [(rank - below + 0.5) / inside + side * 2.0 / accuracy for rank in members for side in (-1, 1)]
+        wanted = F.array(*[F.lit(min(1.0, max(0.0, share))) for share in shares])
+        sketches[group] = F.percentile_approx(_inside(values[name], lo, hi), wanted, accuracy)
+    edges = {}
+    for group, found_edges in chunked_agg(df, sketches).items():
+        for i, rank in enumerate(shared[group]):
+            edges[group[0], rank] = (found_edges[2 * i], found_edges[2 * i + 1])
     tallies = {}
     for (name, rank), (lo, hi) in edges.items():
         tallies[(name, rank, "below")] = F.count_if(values[name] < F.lit(lo))

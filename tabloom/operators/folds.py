@@ -118,21 +118,30 @@ def train_test_split(df: DataFrame, key: Sequence[str], test_share: float = 0.2,
 
 
 def assign_folds(
-    df: DataFrame, target: str, problem_type: str, folds: int, key: Sequence[str] | None = None, seed: int = SEED
+    df: DataFrame,
+    target: str,
+    problem_type: str,
+    folds: int,
+    key: Sequence[str] | None = None,
+    seed: int = SEED,
+    rows: int | None = None,
+    smallest: int | None = None,
 ) -> tuple[DataFrame, int]:
     """Folds for cross-validation and how many there are.
 
     Classification is stratified by label. Regression is balanced exactly while
-    the table is small (every fold must hold rows) and map-only beyond.
+    the table is small (every fold must hold rows) or has no key, and map-only
+    beyond. ``rows`` and ``smallest`` (rows of the smallest class) save a pass
+    if they are known.
     """
     if problem_type == "classification":
-        smallest = df.groupBy(col(target)).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0]
+        if smallest is None:
+            smallest = df.groupBy(col(target)).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0]
         k = effective_folds(folds, smallest)
         return stratified_folds(df, [target], k, key, seed), k
-    if key is not None and not fits_within(df, SMALL_ROWS):
-        return hash_folds(df, folds, key, seed), folds
-    if key is not None or fits_within(df, SMALL_ROWS):
-        k = effective_folds(folds, df.count())
-        whole = df.withColumn("_all", F.lit(0))
-        return stratified_folds(whole, ["_all"], k, key, seed).drop("_all"), k
-    return _folds_without_key(df.withColumn("_all", F.lit(0)), ["_all"], folds, seed, SMALL_ROWS).drop("_all"), folds
+    rows = df.count() if rows is None else rows
+    k = effective_folds(folds, rows)
+    if key is not None and rows > SMALL_ROWS:
+        return hash_folds(df, k, key, seed), k
+    whole = df.withColumn("_all", F.lit(0))
+    return stratified_folds(whole, ["_all"], k, key, seed).drop("_all"), k

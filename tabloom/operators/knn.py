@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.arrays import to_matrix
-from tabloom.session import write_table
+from tabloom.session import fits_within, write_table
 
 BROADCAST_CELLS = 4_000_000  # numbers, about 32 MB
 BROADCAST_ROWS = 20_000  # beyond this, pruning saves more than the shuffles cost
@@ -55,9 +55,8 @@ def nearest(
     if width is None:
         raise ValueError("There are no reference rows.")
     limit = min(BROADCAST_ROWS, broadcast_cells // max(1, width[0]))
-    head = references.limit(limit + 1).toPandas() if limit else None
-    if head is not None and len(head) <= limit:
-        return _broadcast_search(queries, head, k)
+    if fits_within(references, limit):
+        return _broadcast_search(queries, references.toPandas(), k)
     return _block_search(queries, references, k, pivots, block_rows)
 
 

@@ -263,12 +263,16 @@ def _fold_categories(df, columns, fold, parts, max_categories):
             raise ValueError(
                 f"Columns {wide} have more than {max_categories} categories; drop them or raise max_categories."
             )
-    for i, part in enumerate(parts):
-        present = counts.where(F.col(f"p{i}") > 0)
-        mode = F.min_by("value", F.struct(-F.col(f"p{i}"), _value_order(df, columns)))
-        labels = F.sort_array(F.collect_list("value")) if max_categories is not None else F.array(F.lit(""))
-        for row in present.groupBy("column").agg(mode.alias("mode"), labels.alias("labels")).collect():
-            found[part][row["column"]] = (row["mode"], row["labels"])
+    wanted = []
+    for i in range(len(parts)):
+        seen = F.when(F.col(f"p{i}") > 0, F.struct(-F.col(f"p{i}"), _value_order(df, columns)))
+        wanted.append(F.min_by("value", seen).alias(f"mode{i}"))
+        if max_categories is not None:
+            wanted.append(F.sort_array(F.collect_list(F.when(F.col(f"p{i}") > 0, F.col("value")))).alias(f"labels{i}"))
+    for row in counts.groupBy("column").agg(*wanted).collect():
+        for i, part in enumerate(parts):
+            if row[f"mode{i}"] is not None:
+                found[part][row["column"]] = (row[f"mode{i}"], row[f"labels{i}"] if max_categories is not None else [])
     if max_categories is not None:
         counts.unpersist()
     return found

@@ -70,13 +70,17 @@ class Training:
     preps: dict[int, Prep]
 
 
-def label_values(df: DataFrame, target: str) -> list:
-    """Distinct labels in sorted order; their number is checked."""
-    found = df.where(col(target).isNotNull()).select(col(target).alias("v")).distinct()
-    values = [r["v"] for r in found.limit(MAX_CLASSES + 1).collect()]
-    if len(values) > MAX_CLASSES:
+def class_sizes(df: DataFrame, target: str) -> dict:
+    """Rows per label (``None``: no label); the number of labels is checked."""
+    found = df.groupBy(col(target).alias("v")).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 2).collect()
+    if len(found) > MAX_CLASSES + 1:
         raise ValueError(f"Target column '{target}' has more than {MAX_CLASSES} classes.")
-    return sorted(values)
+    return {r["v"]: r["n"] for r in found}
+
+
+def label_values(df: DataFrame, target: str) -> list:
+    """Distinct labels in sorted order."""
+    return sorted(v for v in class_sizes(df, target) if v is not None)
 
 
 def encode_labels(df: DataFrame, target: str, labels: Sequence, output: str = LABEL) -> DataFrame:
@@ -110,24 +114,26 @@ def training_table(
     schema = feature_schema(df.select(*[col(c) for c in chosen]))
     extra = [c for c in (key or ()) if c not in chosen]
     rows = df.select(*[col(c) for c in [*chosen, *extra, target]])
-    dropped = rows.where(col(target).isNull()).count()
-    rows = rows.where(col(target).isNotNull())
-    labels = None
+    labels = smallest = None
     if problem_type == CLASSIFICATION:
-        values = label_values(rows, target)
+        sizes = class_sizes(rows, target)
+        dropped = sizes.pop(None, 0)
+        count, values = sum(sizes.values()), sorted(sizes)
         if len(values) < 2:
             raise ValueError(
                 "Target column must contain at least two unique non-null values to detect a problem type."
             )
-        rows = encode_labels(rows, target, values)
+        smallest = min(sizes.values())
         labels = label_texts(values, df.schema[target].dataType)
+        rows = encode_labels(rows.where(col(target).isNotNull()), target, values)
     else:
-        rows = rows.withColumn(LABEL, col(target).cast("double"))
-    rows, k = assign_folds(rows, target, problem_type, folds, key, seed)
+        count, dropped = rows.agg(F.count(col(target)), F.count_if(col(target).isNull())).first()
+        rows = rows.where(col(target).isNotNull()).withColumn(LABEL, col(target).cast("double"))
+    rows, k = assign_folds(rows, target, problem_type, folds, key, seed, count, smallest)
     rows = rows.withColumnRenamed("fold", FOLD).withColumn(ROW_ID, F.monotonically_increasing_id())
     rows = write_table(rows, "training")
     return TrainingTable(
-        rows, target, problem_type, schema, k, labels, dropped, rows.count(), list(key) if key else None
+        rows, target, problem_type, schema, k, labels, dropped, count, list(key) if key else None
     )
 
 
@@ -199,6 +205,7 @@ def train_all(
 
     for part in [*range(table.folds), FULL]:
         data = prepared(table, preps[part]).persist(StorageLevel.MEMORY_AND_DISK)
+        data.count()  # fill the cache once, before the families read it side by side
         rows = table.count - sizes.get(part, 0)
         context = context_for(table, rows, len(preps[part].feature_names), options)
         if part == FULL:
