@@ -24,6 +24,7 @@ from tabloom.plans.training import (
     train_all,
     training_table,
 )
+from tabloom.session import write_table
 from tabloom.sources.tables import load
 
 HASH_ORDER = "md5(concat_ws('|', '42', o_orderkey::VARCHAR)), o_orderkey"
@@ -141,7 +142,7 @@ def _knn(spark, sf, value: str, output) -> DataFrame:
     rows = load(spark, sf, "embeddings").select(
         "vec_id", "label", F.col("embedding").cast("array<double>").alias("vector")
     )
-    rows = folds.stratified_folds(rows, ["label"], 3, ["vec_id"])
+    rows = write_table(folds.stratified_folds(rows, ["label"], 3, ["vec_id"]), "folds")
     parts = []
     for fold in range(3):
         references = rows.where(F.col("fold") != fold).select(F.col("vec_id").alias("ref"), "vector", F.col(value).alias("value"))

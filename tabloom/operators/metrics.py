@@ -89,7 +89,7 @@ def residuals(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 def residual_bins(df: DataFrame, actual: str, predicted: str, bins: int = 50) -> DataFrame:
     """Residual plot data of bounded size: residual range per slice of predictions."""
-    table = residuals(df, actual, predicted)
+    table = residuals(df, actual, predicted).where(F.col("predicted").isNotNull())
     low, high = table.agg(F.min("predicted"), F.max("predicted")).first()
     if low is None:
         low = high = 0.0

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +15,8 @@ from tabloom.functions.columns import as_double, as_text, col, missing_to_null,
 from tabloom.functions.quantiles import chunked_agg, exact_quantiles
 from tabloom.operators.detection import feature_schema, require_column, value_counts, wide_counts
 
+WIDE = 16
+FLAT = 1e-13  # variance of a constant, in units of its column's variance
 QUARTILES = (0.25, 0.5, 0.75)
 DESCRIBE_COLUMNS = (
     "position bigint, column string, `count` bigint, `unique` bigint, top string, freq bigint, "
@@ -103,8 +108,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """Equal-width histogram, the maximum in the last bin; empty bins left out."""
-    long = df.select(F.lit(column).alias("feature"), as_double(column).alias("value"))
-    return _binned(long, bins).drop("feature")
+    return _binned(df, [column], bins).drop("feature")
 
 
 def numeric_histograms(df: DataFrame, target: str, features: int = 6, bins: int = 25) -> DataFrame:
@@ -112,26 +116,34 @@ def numeric_histograms(df: DataFrame, target: str, features: int = 6, bins: int
     chosen = feature_schema(df, target, rule="eda").numeric[:features]
     if not chosen:
         raise ValueError("No numeric feature columns found for numeric EDA.")
-    long = df.select(*[as_double(c).alias(c) for c in chosen]).unpivot(
-        [], [col(c) for c in chosen], "feature", "value"
-    )
-    return _binned(long, bins)
+    return _binned(df, chosen, bins)
 
 
-def _binned(long: DataFrame, bins: int) -> DataFrame:
-    long = long.where(F.col("value").isNotNull())
-    limits = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    bin_of = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
-        F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1))
+def _binned(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
+    """The limits are one row of constants, so binning is a projection and the
+    only thing shuffled is a count per bin."""
+    limits = chunked_agg(
+        df, {(c, end): f(as_double(c)) for c in columns for end, f in (("lo", F.min), ("hi", F.max))}
     )
-    # one row per feature: broadcasting it is safe
-    return (
-        long.join(F.broadcast(limits), "feature")
-        .groupBy("feature", bin_of.cast("bigint").alias("bin"), (F.col("lo") + bin_of * width).alias("bin_start"))
+    slots, starts = [], []
+    for c in columns:
+        lo, hi = limits[c, "lo"], limits[c, "hi"]
+        if lo is None:  # nothing but missing values
+            lo = hi = 0.0
+        width = (hi - lo) / float(bins)
+        slot = F.least(F.floor((as_double(c) - F.lit(lo)) / F.lit(width or 1.0)), F.lit(bins - 1))
+        # least() skips nulls, so a missing value must be kept out of it
+        slots.append(F.when(as_double(c).isNotNull(), slot.cast("bigint")).alias(c))
+        starts += [F.lit(c), F.struct(F.lit(lo).alias("lo"), F.lit(width).alias("width"))]
+    start = F.create_map(*starts)[F.col("feature")]
+    counts = (
+        df.select(*slots)
+        .unpivot([], [col(c) for c in columns], "feature", "bin")
+        .where(F.col("bin").isNotNull())
+        .groupBy("feature", "bin")
         .agg(F.count("*").alias("n"))
-        .select("feature", "bin", "bin_start", "n")
     )
+    return counts.select("feature", "bin", (start["lo"] + F.col("bin") * start["width"]).alias("bin_start"), "n")
 
 
 def class_balance(df: DataFrame, target: str) -> DataFrame:
@@ -154,14 +166,16 @@ def _pair_correlation(a: str, b: str) -> Column:
     return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
 
 
-def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+def correlation_matrix(df: DataFrame, columns: list[str], wide: int = WIDE) -> DataFrame:
     """Pairwise-complete Pearson matrix in long form, both triangles.
 
-    All pairs share one pass per chunk of expressions; the driver holds the
-    matrix only, never rows.
+    Few columns: all pairs in one aggregate. Many: a matrix product per batch
+    inside the tasks. The driver holds the matrix at most, never rows.
     """
     if len(columns) < 2:
         raise ValueError("At least two numeric columns are needed for correlations.")
+    if len(columns) > wide:
+        return _correlation_products(df, columns)
     pairs = {
         (a, b): _pair_correlation(a, b) for a, b in combinations_with_replacement(columns, 2)
     }
@@ -171,6 +185,51 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature string, other string, correlation double")
 
 
+def _correlation_products(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One pass for any number of columns.
+
+    With values centred and missing ones zero, sums over the rows where both
+    columns are present are products of the value, square and presence matrices.
+    """
+    d = len(columns)
+    found = chunked_agg(df, {(c, f): g(as_double(c)) for c in columns for f, g in (("m", F.avg), ("s", F.stddev_pop))})
+    centre = np.array([found[c, "m"] or 0.0 for c in columns])
+    spread = np.array([found[c, "s"] or 1.0 for c in columns])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, d, d))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            present = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num((x - centre) / spread, nan=0.0)
+            total += [present.T @ present, x.T @ present, (x * x).T @ present, x.T @ x]
+        at = np.indices((d, d)).reshape(2, -1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at[0]), pa.array(at[1]), *[pa.array(t.ravel()) for t in total]], ["i", "j", "n", "s", "q", "p"]
+        )
+
+    sums = (
+        df.select(*[as_double(c).alias(f"c{i}") for i, c in enumerate(columns)])
+        .mapInArrow(products, "i int, j int, n double, s double, q double, p double")
+        .groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+        .agg(
+            *[F.sum(F.when(F.col("i") <= F.col("j"), F.col(c))).alias(c) for c in ("n", "s", "q", "p")],
+            *[F.sum(F.when(F.col("i") >= F.col("j"), F.col(c))).alias(f"{c}2") for c in ("s", "q")],
+        )
+    )
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    variances = [F.col(q) / n - F.pow(F.col(m) / n, F.lit(2.0)) for q, m in (("q", "s"), ("q2", "s2"))]
+    constant = (variances[0] <= FLAT) | (variances[1] <= FLAT)
+    covariance = F.col("p") / n - F.col("s") / n * F.col("s2") / n
+    names = F.array(*[F.lit(c) for c in columns])
+    upper = sums.select(
+        names[F.col("a")].alias("feature"), names[F.col("b")].alias("other"),
+        F.when(~constant, covariance / F.sqrt(variances[0] * variances[1])).alias("correlation"),
+    )
+    both = F.array(F.struct("feature", "other"), F.struct(F.col("other").alias("feature"), F.col("feature").alias("other")))
+    return upper.select(F.explode(F.array_distinct(both)).alias("pair"), "correlation").select("pair.*", "correlation")
+
+
 def target_correlation_topk(df: DataFrame, target: str, k: int = 10) -> DataFrame:
     """Numeric features by absolute correlation with the target."""
     features = feature_schema(df, target, rule="eda").numeric
