@@ -54,6 +54,28 @@ CV_LINEAR = f"""WITH f AS (SELECT *, (row_number() OVER (ORDER BY {HASH_ORDER})
   FROM f JOIN fit ON fold = h GROUP BY fold"""
 
 
+def cv_scores_bayes(spark, sf):
+    """Accuracy of Gaussian naive Bayes per held-out fold."""
+    source = order_features(spark, sf).select("o_orderkey", "amount", "o_custkey", "o_orderstatus")
+    table = training_table(source, "o_orderstatus", "classification", 3, ["o_orderkey"])
+    scores = train_all(table, registry("classification", ["NaiveBayes"]), SMALL).fold_scores
+    return scores.select(F.col("fold").cast("bigint").alias("fold"), r("score", 6).alias("score"))
+
+
+_BAYES_LOSS = " + ".join(f"ln(2 * pi() * v{i}) + power({x} - m{i}, 2) / v{i}" for i, x in enumerate(("x", "o_custkey")))
+CV_BAYES = f"""WITH f AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY {HASH_ORDER}) - 1) % 3 AS fold
+    FROM {ORDER_FEATURES_SQL}),
+  held AS (SELECT DISTINCT fold AS h FROM f),
+  fill AS (SELECT h, quantile_cont(amount, 0.5::DOUBLE) AS m, count(*) AS n FROM held JOIN f ON fold <> h GROUP BY h),
+  stats AS MATERIALIZED (SELECT h, any_value(m) AS m, o_orderstatus AS c, ln(count(*) / any_value(n)::DOUBLE) AS prior,
+      avg(coalesce(amount, m)) AS m0, var_pop(coalesce(amount, m)) AS v0, avg(o_custkey) AS m1, var_pop(o_custkey) AS v1
+    FROM fill JOIN f ON fold <> h GROUP BY h, o_orderstatus),
+  scored AS (SELECT fold, o_orderkey, o_orderstatus, c, prior - 0.5 * ({_BAYES_LOSS}) AS score
+    FROM (SELECT *, coalesce(amount, m) AS x FROM f JOIN stats ON fold = h)),
+  guessed AS (SELECT fold, o_orderkey, any_value(o_orderstatus) AS actual, arg_max(c, score) AS guess FROM scored GROUP BY 1, 2)
+  SELECT fold, round(avg((actual = guess)::INT::DOUBLE), 6) + 0.0 AS score FROM guessed GROUP BY fold"""
+
+
 def cv_summary(spark, sf):
     scores = (
         load(spark, sf, "lineitem")
@@ -344,7 +366,7 @@ def holdout_compare(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        cv_scores_linear, cv_summary, train_all_classifiers, train_all_regressors, model_gbt_multiclass, model_linear,
+        cv_scores_linear, cv_scores_bayes, cv_summary, train_all_classifiers, train_all_regressors, model_gbt_multiclass, model_linear,
         model_ridge, knn_classify, knn_regress, gaussian_nb, tune_rf, tune_gbt, median_prune, best_trial, fold_scores,
         eval_classification, eval_regression, confusion_matrix, residuals, residual_bins, holdout_compare,
     )
@@ -361,6 +383,7 @@ QUERIES = {
 }
 ORACLES = {
     "cv_scores_linear": CV_LINEAR,
+    "cv_scores_bayes": CV_BAYES,
     "cv_summary": CV_SUMMARY,
     "model_linear": LINEAR,
     "model_ridge": RIDGE,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.columns import col, digest, hash32
 from tabloom.operators.ordering import SMALL_ROWS
-from tabloom.session import fits_within
+from tabloom.session import parts_for
 
 SEED = 42
 COPIES_PER_CHUNK = 100_000
@@ -39,12 +39,13 @@ def stratified_folds(
     if key is None:
         return _folds_without_key(df, strata, k, seed, small_rows)
     order = [digest(seed, *key), *[col(c) for c in key]]
-    if fits_within(df, small_rows):
+    rows = df.count()
+    if rows <= small_rows:
         window = Window.partitionBy(*[col(s) for s in strata]).orderBy(*order)
         return df.withColumn("fold", F.pmod(F.row_number().over(window) - 1, F.lit(k)).cast("bigint"))
     groups = [f"_s{i}" for i in range(len(strata))]
     ranged = df.withColumns(
-        {g: col(s) for g, s in zip(groups, strata)} | {"_range": hash_range(df, seed, key)}
+        {g: col(s) for g, s in zip(groups, strata)} | {"_range": hash_range(df, seed, key, rows)}
     )
     offsets = _offsets(ranged, groups, F.count("*"))
     inside = Window.partitionBy(*groups, "_range").orderBy(*order)
@@ -53,9 +54,9 @@ def stratified_folds(
     ).drop(*groups, "_range", "_local", "_offset")
 
 
-def hash_range(df: DataFrame, seed: int, key: Sequence[str]) -> Column:
-    """Equal slices of the hash space, one per shuffle partition: never skewed."""
-    ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def hash_range(df: DataFrame, seed: int, key: Sequence[str], rows: int) -> Column:
+    """Equal slices of the hash space, as many as the rows need: never skewed."""
+    ranges = parts_for(df.sparkSession, rows)
     return F.floor(hash32(seed, *key) * F.lit(float(ranges)) / F.lit(2.0**32)).cast("bigint")
 
 
@@ -78,12 +79,12 @@ def _shifted(rows: DataFrame, offsets: DataFrame, groups: list[str]) -> DataFram
 
 
 def _folds_without_key(df, strata, k, seed, small_rows):
-    columns = df.columns
+    columns, rows = df.columns, df.count()
     distinct = df.groupBy(*[col(c) for c in columns]).agg(F.count("*").alias("_copies"))
     groups = [f"_s{i}" for i in range(len(strata))]
     row_hash = F.md5(F.to_json(F.struct(F.lit(seed), *[col(c) for c in columns]), {"ignoreNullFields": "false"}))
     ranged = distinct.withColumns({g: col(s) for g, s in zip(groups, strata)} | {"_hash": row_hash})
-    ranged = ranged.withColumn("_range", hash_range(df, seed, ["_hash"]))
+    ranged = ranged.withColumn("_range", hash_range(df, seed, ["_hash"], rows))
     inside = (
         Window.partitionBy(*groups, "_range").orderBy("_hash").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -95,7 +96,7 @@ def _folds_without_key(df, strata, k, seed, small_rows):
     # is spread before it is written out
     chunk = F.lit(COPIES_PER_CHUNK)
     chunks = first.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / chunk))))
-    if not fits_within(df, small_rows):
+    if rows > small_rows:
         chunks = chunks.repartition(*[col(c) for c in columns], "_chunk")
     begin = F.col("_chunk") * chunk
     end = F.least(begin + chunk, F.col("_copies")) - 1

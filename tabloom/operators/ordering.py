@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import col
-from tabloom.session import fits_within, write_table
+from tabloom.session import parts_for, write_table
 
 SMALL_ROWS = 500_000
 PART = "_part"
@@ -31,10 +31,11 @@ def numbered(
     small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """``row_number()`` within ``groups`` by ``order``, 1-based."""
-    if fits_within(df, small_rows):
+    rows = df.count()
+    if rows <= small_rows:
         window = Window.partitionBy(*[col(g) for g in groups]).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))
-    table = range_parts(df, groups, order)
+    table = range_parts(df, groups, order, rows)
     per_part = table.groupBy(*[col(g) for g in groups], PART).agg(F.count("*").alias("_n"))
     earlier = (
         Window.partitionBy(*[col(g) for g in groups])
@@ -70,10 +71,11 @@ def running(
     inputs = {f"_s{i}": c for i, c in enumerate(sums.values())}
     inputs |= {f"_l{i}": c for i, c in enumerate(lasts.values())}
     narrow = df.withColumns(inputs)
-    if fits_within(df, small_rows):
+    rows = df.count()
+    if rows <= small_rows:
         window = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return _with_running(narrow, window, sums, lasts).drop(*inputs)
-    table = range_parts(narrow, [], order)
+    table = range_parts(narrow, [], order, rows)
     per_part = table.groupBy(PART).agg(
         *[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(len(sums))],
         *[
@@ -109,9 +111,9 @@ def _keys(order: Sequence[Column]) -> list[Column]:
     return [c.alias(f"_k{i}") for i, c in enumerate(order)]
 
 
-def range_parts(df: DataFrame, groups: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def range_parts(df: DataFrame, groups: Sequence[str], order: Sequence[Column], rows: int) -> DataFrame:
     """Rows range-partitioned on (groups, order, tie-breaker), part number kept."""
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts_for(df.sparkSession, rows)
     spread = (
         df.withColumn(TIE, F.monotonically_increasing_id())
         .repartitionByRange(parts, *[col(g) for g in groups], *order, TIE)

@@ -12,6 +12,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+ROWS_PER_PART = 2_000_000
 
 
 def local_session(cores: int | str = "*", app: str = "tabloom", **conf: str) -> SparkSession:
@@ -81,6 +82,12 @@ def fits_within(df: DataFrame, rows: int) -> bool:
     return df.count() <= rows
 
 
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for a table of ``rows`` rows: the setting, or more if needed."""
+    setting = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(2, setting, -(-rows // ROWS_PER_PART))
+
+
 def run_jobs(calls: Iterable[Callable[[], Any]], parallelism: int = 4) -> list[Any]:
     """Submit independent Spark jobs from driver threads, results in order."""
     calls = list(calls)
