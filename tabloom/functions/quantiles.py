@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tabloom.session import fits_within
 
 BUFFER_ROWS = 2_000_000
-SKETCH_ACCURACY = 20_000
+SKETCH_ACCURACY = 5_000
 CHUNK = 150
 
 

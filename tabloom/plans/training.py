@@ -30,6 +30,7 @@ from tabloom.plans.families import LABEL, ROW_ID, Context, Family, Options, para
 from tabloom.session import run_jobs, write_table
 
 FOLD = "_fold"
+RESERVED = {"fold", FOLD, ROW_ID, LABEL, FEATURES, "prediction", "predicted", "probability", "rawPrediction"}
 ROWS_PER_TASK = 100_000
 RESULTS = (
     "run_id string, position bigint, model_name string, mean_score double, std_score double, "
@@ -109,6 +110,9 @@ def training_table(
     ``key`` names columns that identify a row; they are used for the fold hash
     and are features only if listed in ``features``.
     """
+    taken = sorted(RESERVED & set(df.columns))
+    if taken:
+        raise ValueError(f"Rename the columns {taken}; training adds columns of that name.")
     df = missing_to_null(df)
     chosen = list(features) if features is not None else [c for c in df.columns if c != target and c not in (key or ())]
     schema = feature_schema(df.select(*[col(c) for c in chosen]))

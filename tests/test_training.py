@@ -51,6 +51,11 @@ def test_null_targets_are_dropped_and_reported(spark, houses):
     assert table.dropped_targets == 2 and table.count == 8
 
 
+def test_reserved_names_are_refused(houses):
+    with pytest.raises(ValueError, match="Rename the columns"):
+        training_table(houses.withColumnRenamed("city", "fold"), "price", "regression", 2)
+
+
 def test_failure_names_the_family(buyers):
     from tabloom.plans.families import Family
 
