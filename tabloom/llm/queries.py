@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import packing, records, token_counts
+from tabloom.llm import exact_dedup, mixing, packing, records, simhash, token_counts, toxicity
 from tabloom.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -25,16 +25,58 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, BYTE_VOCABULARY, limit=1024).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix of the sources takes of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as records and read back."""
     folder, shards = records.write_records(table(spark, sf_dir, "documents"), WORD_VOCABULARY, end_id=2)
     return records.read_records(folder, shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_copies(table(spark, sf_dir, "documents"), words=3, bits=3)
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts, and the row of each that stays."""
+    return exact_dedup.equal_texts(table(spark, sf_dir, "documents"))
+
+
+def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain:
+    """Poor quality first, then toxicity with its probability."""
+    return toxicity.train(docs, labels, {"poor": 1 - F.col("quality"), "toxic": F.col("toxic")})
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the chain for every document, and whether it is rejected."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity_chain(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain).select("doc_id", "p_poor", "p_toxic", "rejected")
+
+
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_token_counts": op2_token_counts,
+    "op4_mix": op4_mix,
     "op5_records": op5_records,
+    "op6_simhash": op6_simhash,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_exact_dedup": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id,
+  max(doc_id) OVER (PARTITION BY text) AS keep_id,
+  count(*) OVER (PARTITION BY text) AS group_size,
+  row_number() OVER (PARTITION BY text ORDER BY doc_id DESC) = 1 AS kept,
+  sha256(text) AS text_sha256
+FROM d""",
+}
