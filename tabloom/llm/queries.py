@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import exact_dedup, mixing, packing, records, simhash, token_counts, toxicity
+from tabloom.llm import exact_dedup, html_template, mixing, packing, records, secrets, simhash, syncmers, token_counts, toxicity
 from tabloom.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, BYTE_VOCABULARY, limit=1024).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_template.extract_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a mix of the sources takes of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -43,11 +49,39 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secrets.train(secrets.labelled_strings(docs))
+    found = secrets.find_secrets(docs, model)
+    base = F.concat("assign", "access", "hex")
+    return found.select(
+        "doc_id",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.concat(base, "random")).alias("spans"),
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts, and the row of each that stays."""
     return exact_dedup.equal_texts(table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited form, and their likeness."""
+    found = syncmers.edited_neighbours(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        syncmers.fingerprint(F.col("sketch")).alias("fingerprint"),
+        syncmers.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
+        syncmers.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        syncmers.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
 def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain:
     """Poor quality first, then toxicity with its probability."""
     return toxicity.train(docs, labels, {"poor": 1 - F.col("quality"), "toxic": F.col("toxic")})
@@ -63,10 +97,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_token_counts": op2_token_counts,
+    "op3_html": op3_html,
     "op4_mix": op4_mix,
     "op5_records": op5_records,
     "op6_simhash": op6_simhash,
+    "op7_secrets": op7_secrets,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
 }
 

@@ -178,6 +178,20 @@ def links(prints: DataFrame, bits: int = MOST_BITS, bucket: int = BUCKET) -> Dat
     return found.unionByName(_large_buckets(rows.join(large, ["side", "key"], "left_semi"), bits)) if some else found
 
 
+def _prints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """Id and fingerprint of each row, written once."""
+    made = docs.select(col(id_col).alias("id"), fingerprints(text_of(text_col), words).alias("print"))
+    return write_table(made, "prints")
+
+
+def _classes(made: DataFrame, bits: int, bucket: int) -> DataFrame:
+    """Label of the component of each distinct fingerprint: columns print, least (smallest id), label."""
+    distinct = write_table(made.groupBy("print").agg(F.min("id").alias("least")), "distinct")
+    labels = components(links(distinct.select("print"), bits, bucket))
+    members = distinct.join(labels, F.col("print") == F.col("node"), "left")
+    return write_table(members.select("print", "least", F.coalesce("label", "print").alias("label")), "members")
+
+
 def near_copies(
     docs: DataFrame,
     words: int = 3,
@@ -186,7 +200,7 @@ def near_copies(
     text_col: str = "text",
     bucket: int = BUCKET,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, print (long), fingerprint, component_id.
+    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
     Fingerprints within ``bits`` differing bits are linked; ``component_id`` is
     the smallest id reachable by links, null ids left out (null if all are).
@@ -194,22 +208,38 @@ def near_copies(
     null text counts as empty. Equal and repeated rows share a component. An
     empty table gives no rows. Other columns of ``docs`` are not read.
     """
-    made = docs.select(col(id_col).alias("id"), fingerprints(text_of(text_col), words).alias("print"))
-    made = write_table(made, "prints")
-    distinct = write_table(made.groupBy("print").agg(F.min("id").alias("least")), "distinct")
-    labels = components(links(distinct.select("print"), bits, bucket))
-    members = distinct.join(labels, F.col("print") == F.col("node"), "left")
-    members = write_table(members.select("print", "least", F.coalesce("label", "print").alias("label")), "members")
+    made = _prints(docs, words, id_col, text_col)
+    members = _classes(made, bits, bucket)
     least = write_table(members.groupBy("label").agg(F.min("least").alias("component_id")), "least")
     by_print = write_table(members.join(least, "label").select("print", "component_id"), "classes")
     joined = made.join(by_print, "print")
-    return joined.select(F.col("id").alias(id_col), "print", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+    return joined.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near(docs: DataFrame, words: int = 3, bits: int = MOST_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of each component with the smallest id, its columns as they are.
+def drop_near(
+    docs: DataFrame,
+    words: int = 3,
+    bits: int = MOST_BITS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    bucket: int = BUCKET,
+) -> DataFrame:
+    """One row of each component of ``near_copies``, its columns as they are.
 
-    Ids must be unique and not null, as they are what names the row that stays.
+    The row with the smallest id stays, null ids last; of rows with that id the
+    one with the smallest fingerprint, and one of those that agree in both.
     """
-    stay = near_copies(docs, words, bits, id_col, text_col).where(F.col("component_id") == col(id_col))
-    return docs.join(write_table(stay.select(id_col), "kept"), id_col, "left_semi").select(*[col(c) for c in docs.columns])
+    made = _prints(docs, words, id_col, text_col)
+    members = _classes(made, bits, bucket)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("print").alias("print")))
+    # written on both sides, so that a join splits the rows of a large group
+    leaders = members.select("print", "label")
+    by_label = made.groupBy("print").agg(first.alias("first")).join(leaders, "print").groupBy("label").agg(F.min("first").alias("first"))
+    stay = write_table(by_label.select(F.col("first.id").alias("_stay_id"), F.col("first.print").alias("_stay_print")), "stay")
+    names = [col(c) for c in docs.columns]
+    unnamed = made.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL")
+    if unnamed.isEmpty():  # the id tells the row
+        return docs.join(stay, col(id_col) == F.col("_stay_id"), "left_semi").select(*names)
+    marked = docs.withColumn("_print", fingerprints(text_of(text_col), words))
+    same = col(id_col).eqNullSafe(F.col("_stay_id")) & (F.col("_print") == F.col("_stay_print"))
+    return marked.join(stay, same).dropDuplicates(["_stay_id", "_stay_print"]).select(*names)
