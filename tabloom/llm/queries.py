@@ -84,7 +84,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain:
     """Poor quality first, then toxicity with its probability."""
-    return toxicity.train(docs, labels, {"poor": 1 - F.col("quality"), "toxic": F.col("toxic")})
+    return toxicity.train(docs, labels, {"poor": "1 - quality", "toxic": "toxic"})
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

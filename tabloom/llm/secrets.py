@@ -29,7 +29,9 @@ RUN = r"[A-Za-z0-9+/_=-]"
 LEAST_RUN = 20
 # mean log-likelihood ratio per pair of characters from which a run counts as random
 LEAST_RATIO = 0.5
+# counts added to each character, and weight of single characters where pairs are rare
 PRIOR = 0.5
+BACKING = 50.0
 # bounds of the labelled sample that a model is fitted on
 SAMPLE_STRINGS = 5_000
 SAMPLE_TEXTS = 2_000
@@ -51,8 +53,8 @@ def train(samples: DataFrame, string_col: str = "string", secret_col: str = "sec
     """Fit both chains to labelled strings: ``secret`` true for random ones, false for ordinary ones.
 
     Pairs with a character outside ``ALPHABET`` are left out, as are rows with a
-    null. Counts are smoothed, so a pair seen in neither class tells nothing,
-    and without samples every ratio is zero.
+    null. Chances of pairs are backed by those of single characters, and without
+    samples every ratio is zero.
     """
     at = F.sequence(F.lit(1), F.length(col(string_col)) - 1)
     pairs = samples.where(F.length(col(string_col)) > 1).select(
@@ -62,12 +64,13 @@ def train(samples: DataFrame, string_col: str = "string", secret_col: str = "sec
     counts = {True: {}, False: {}}
     for row in inside.groupBy("secret", "pair").agg(F.count("*").alias("n")).collect():  # two rows per pair at most
         counts[row.secret][row.pair] = row.n
-    ratios = []
-    for a in ALPHABET:
-        sums = {c: sum(counts[c].get(a + b, 0) for b in ALPHABET) + PRIOR * len(ALPHABET) for c in counts}
-        for b in ALPHABET:
-            chance = {c: (counts[c].get(a + b, 0) + PRIOR) / sums[c] for c in counts}
-            ratios.append(math.log(chance[True] / chance[False]))
+    chances = {}
+    for label, seen in counts.items():
+        single = {b: PRIOR + sum(seen.get(a + b, 0) for a in ALPHABET) for b in ALPHABET}
+        every = sum(single.values())
+        first = {a: sum(seen.get(a + b, 0) for b in ALPHABET) for a in ALPHABET}
+        chances[label] = {a + b: (seen.get(a + b, 0) + BACKING * single[b] / every) / (first[a] + BACKING) for a in ALPHABET for b in ALPHABET}
+    ratios = [math.log(chances[True][a + b] / chances[False][a + b]) for a in ALPHABET for b in ALPHABET]
     return Model(tuple(ratios))
 
 

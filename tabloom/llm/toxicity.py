@@ -101,9 +101,9 @@ class Chain:
         return score
 
 
-def _sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], limit: int, id_col: str, text_col: str) -> DataFrame:
+def _sample(docs: DataFrame, labels: DataFrame, categories: dict[str, str], limit: int, id_col: str, text_col: str) -> DataFrame:
     """Words and labels of at most ``limit`` labelled documents, drawn by a hash of the id."""
-    marked = labels.select(col(id_col).alias("id"), *[c.cast("double").alias(f"y_{n}") for n, c in categories.items()]).dropna()
+    marked = labels.select(col(id_col).alias("id"), *[F.expr(c).cast("double").alias(f"y_{n}") for n, c in categories.items()]).dropna()
     marked = marked.groupBy("id").agg(*[F.max(f"y_{n}").alias(f"y_{n}") for n in categories])
     drawn = marked.orderBy(F.xxhash64("id"), "id").limit(limit)
 
@@ -152,14 +152,14 @@ def _fit(rows: DataFrame, label: str, inputs: str) -> LogisticRegressionModel:
 def train(
     docs: DataFrame,
     labels: DataFrame,
-    categories: dict[str, Column],
+    categories: dict[str, str],
     id_col: str = "doc_id",
     text_col: str = "text",
     sample: int = SAMPLE,
     inputs: int = INPUTS,
     least_rows: int = LEAST_ROWS,
 ) -> Chain:
-    """A chain over ``categories``: name to a 0/1 column of ``labels``, in the order they are predicted.
+    """A chain over ``categories``: name to an expression over ``labels`` that is 0 or 1, in the order they are predicted.
 
     At most ``sample`` labelled documents are used, and at most ``inputs`` words
     or beginnings of words that occur in ``least_rows`` of them. Rows of labels
