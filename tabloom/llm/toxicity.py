@@ -33,7 +33,7 @@ LEAST_ROWS = 4
 FOLDS = 3
 LEAST_STRENGTH = 10.83  # chi-square of one degree at one in a thousand
 PENALTY = 0.0001
-ITERATIONS = 60
+ITERATIONS = 20
 PREFIXES = (5, 6, 7)
 CACHE_WORDS = 300_000
 
@@ -173,7 +173,7 @@ def train(
     if chain.vocabulary:
         counted = CountVectorizerModel.from_vocabulary(chain.vocabulary, inputCol="inputs", outputCol="words")
         rows = counted.transform(rows)
-    rows = rows.drop("inputs").withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS))).coalesce(8).persist()
+    rows = rows.drop("inputs").withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS))).coalesce(4).persist()
     held = [rows]
     width = len(chain.vocabulary)
     for i, name in enumerate(names):
