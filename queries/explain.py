@@ -84,7 +84,7 @@ def _fitted(source, target, problem, name):
     table = training_table(source, target, problem, 2)
     prep = fit_preps(table)[FULL]
     data = prepared(table, prep).persist()
-    model = registry(problem, [name])[name](data, context_for(table, table.count, len(prep.feature_names), SMALL))
+    model = registry(problem, [name])[name](data, context_for(table, FULL, len(prep.feature_names), SMALL))
     return data, model, prep.feature_names
 
 

@@ -106,7 +106,7 @@ def _fit(df: DataFrame, target: str, problem: str, family) -> DataFrame:
     table = training_table(df, target, problem, 2)
     prep = fit_preps(table)[FULL]
     data = prepared(table, prep).persist()
-    model = family(data, context_for(table, table.count, len(prep.feature_names), SMALL))
+    model = family(data, context_for(table, FULL, len(prep.feature_names), SMALL))
     found = metrics.evaluate(model.transform(data), problem, LABEL, "prediction")
     return found.select(F.lit(family.name).alias("model"), *[r(c, 4).alias(c) for c in found.columns])
 
@@ -137,7 +137,7 @@ def model_gbt_multiclass(spark, sf):
 def _predictions(spark, sf, family):
     table = training_table(_one_feature(spark, sf), "y", "regression", 2, ["o_orderkey"])
     prep = fit_preps(table)[FULL]
-    model = family(prepared(table, prep), context_for(table, table.count, len(prep.feature_names), SMALL))
+    model = family(prepared(table, prep), context_for(table, FULL, len(prep.feature_names), SMALL))
     found = predict(table, scoring_pipeline(table, prep, model))
     return found.select("o_orderkey", r("predicted", 3).alias("predicted"))
 
@@ -359,8 +359,8 @@ RESIDUAL_BINS = f"""SELECT bin, count(*) AS n, round(avg(predicted), 6) + 0.0 AS
 
 
 def holdout_compare(spark, sf):
-    source = class_items(spark, sf).withColumn("id", F.monotonically_increasing_id())
-    return benchmark.holdout_compare(source, "size_class", ["id"], folds=2, options=SMALL)
+    source = order_features(spark, sf).selectExpr("o_orderkey", "amount", "o_custkey", "y")
+    return benchmark.holdout_compare(source, "y", ["o_orderkey"], folds=2, options=SMALL)
 
 
 QUERIES = {

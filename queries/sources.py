@@ -133,7 +133,7 @@ def model_roundtrip(spark, sf):
     table = training_table(order_features(spark, sf), "y", "regression", 2, ["o_orderkey"], ["amount", "priority"])
     prep = fit_preps(table)[FULL]
     family = registry("regression", ["LinearRegression"])["LinearRegression"]
-    model = family(prepared(table, prep), context_for(table, table.count, len(prep.feature_names), SMALL))
+    model = family(prepared(table, prep), context_for(table, FULL, len(prep.feature_names), SMALL))
     pipeline = scoring_pipeline(table, prep, model)
     folder = fresh_path(spark, "models")
     row = stores.save_model(

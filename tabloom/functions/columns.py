@@ -58,8 +58,9 @@ def hash32(seed: int, *keys: str | Column) -> Column:
 
 
 def digest(seed: int, *keys: str | Column) -> Column:
+    """md5 of the seed and the key's texts; a null has a mark of its own, so its place counts."""
     columns = [col(k) if isinstance(k, str) else k for k in keys]
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in columns]))
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("\0null")) for c in columns]))
 
 
 def rows_from_columns(stats: DataFrame, entries: Sequence[Sequence[Column]], names: Sequence[str]) -> DataFrame:

@@ -55,7 +55,7 @@ def feature_schema(df: DataFrame, target: str | None = None, rule: str = "traini
 
 def require_column(df: DataFrame, target: str) -> None:
     if target not in df.columns:
-        raise ValueError(f"Target column '{target}' was not found in the dataset.")
+        raise ValueError(f"'{target}' was not found among the columns.")
 
 
 def split_features(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
@@ -141,10 +141,10 @@ def detect_problem(
         raise ValueError(f"Target column '{target}' is nested.")
     if not target_validity(df, target).first()["is_valid"]:
         raise ValueError(
-            "Target column must contain at least two unique non-null values to detect a problem type."
+            f"'{target}' needs at least two unique values besides null."
         )
     if len(df.columns) < 2:
-        raise ValueError("Dataset must contain at least one feature column besides the target.")
+        raise ValueError("There must be at least one feature column beside the target.")
     problem = task_type or problem_type_of(df.schema[target].dataType)
     if task_type is None and rule == "cardinality":
         problem = problem_types(df.select(col(target)), rule).first()["problem_type"]

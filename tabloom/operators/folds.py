@@ -130,9 +130,8 @@ def assign_folds(
 ) -> tuple[DataFrame, int]:
     """Folds for cross-validation and how many there are.
 
-    Classification is stratified by label. Regression is balanced exactly while
-    the table is small (every fold must hold rows) or has no key, and map-only
-    beyond. ``rows`` and ``smallest`` (rows of the smallest class) save a pass
+    Classification is stratified by label; regression is one stratum. Folds are
+    balanced exactly at every size. ``rows`` and ``smallest`` (rows of the smallest class) save a pass
     if they are known.
     """
     if problem_type == "classification":
@@ -142,7 +141,5 @@ def assign_folds(
         return stratified_folds(df, [target], k, key, seed), k
     rows = df.count() if rows is None else rows
     k = effective_folds(folds, rows)
-    if key is not None and rows > SMALL_ROWS:
-        return hash_folds(df, k, key, seed), k
     whole = df.withColumn("_all", F.lit(0))
     return stratified_folds(whole, ["_all"], k, key, seed).drop("_all"), k

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from tabloom.functions.columns import col
 from tabloom.operators.detection import CLASSIFICATION
 
-MAX_CLASSES = 2_000
-
 
 def accuracy(actual: Column, predicted: Column) -> Column:
     return F.avg(F.coalesce((actual == predicted).cast("double"), F.lit(0.0)))
@@ -33,12 +31,13 @@ def evaluate(df: DataFrame, problem_type: str, actual: str, predicted: str, grou
     """``accuracy``, or ``r2, mae, rmse``; optionally per group.
 
     One pass: the total spread comes from the variance, not from a second scan.
+    Regression metrics are over rows that have both values.
     """
     y, p = col(actual), col(predicted)
     if problem_type == CLASSIFICATION:
         metrics = [accuracy(y, p).alias("accuracy")]
     else:
-        total = F.nullif(F.var_pop(y), F.lit(0.0))
+        total = F.nullif(F.var_pop(F.when(p.isNotNull(), y)), F.lit(0.0))
         metrics = [
             (F.lit(1.0) - F.avg(F.pow(y - p, F.lit(2.0))) / total).alias("r2"),
             F.avg(F.abs(y - p)).alias("mae"),
@@ -58,11 +57,12 @@ def cv_summary(scores: DataFrame, groups: Sequence[str]) -> DataFrame:
     )
 
 
-def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """Counts over the labels seen in the actual values, zero-filled.
+def confusion_matrix(df: DataFrame, actual: str, predicted: str, zeros: bool = True) -> DataFrame:
+    """Counts over the labels seen in the actual values.
 
-    Predictions outside those labels are ignored. The grid is as wide as the
-    number of classes, which is checked; rows are only counted.
+    Predictions outside those labels are ignored. With ``zeros`` every pair of
+    labels has a row; without, only pairs that occur, which is the form for very
+    many classes. Rows are only counted.
     """
     counts = (
         df.where(col(actual).isNotNull())
@@ -70,12 +70,11 @@ def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
         .agg(F.count("*").alias("n"))
     )
     found = df.where(col(actual).isNotNull()).select(col(actual).alias("label")).distinct()
-    labels = [r["label"] for r in found.limit(MAX_CLASSES + 1).collect()]
-    if len(labels) > MAX_CLASSES:
-        raise ValueError(f"A confusion matrix needs at most {MAX_CLASSES} classes.")
-    label_array = F.array(*[F.lit(v) for v in sorted(labels)])
-    rows = df.sparkSession.range(1).select(F.explode(label_array).alias("actual"))
-    grid = rows.select("actual", F.explode(label_array).alias("predicted"))
+    if not zeros:
+        return counts.join(found, F.col("predicted") == F.col("label")).select("actual", "predicted", "n")
+    labels = found.agg(F.sort_array(F.collect_set("label")).alias("labels"))  # one entry per class
+    rows = labels.select(F.explode("labels").alias("actual"), "labels")
+    grid = rows.select("actual", F.explode("labels").alias("predicted"))
     return grid.join(counts, ["actual", "predicted"], "left").select(
         "actual", "predicted", F.coalesce("n", F.lit(0)).alias("n")
     )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,6 @@ from tabloom.functions.columns import as_double, as_text, col, missing_to_null,
 from tabloom.functions.quantiles import chunked_agg, exact_quantiles
 from tabloom.operators.detection import feature_schema, require_column, value_counts, wide_counts
 
-WIDE = 16
 FLAT = 1e-13  # variance of a constant, in units of its column's variance
 QUARTILES = (0.25, 0.5, 0.75)
 DESCRIBE_COLUMNS = (
@@ -115,7 +113,7 @@ def numeric_histograms(df: DataFrame, target: str, features: int = 6, bins: int
     """Histograms of the first numeric features, in long form."""
     chosen = feature_schema(df, target, rule="eda").numeric[:features]
     if not chosen:
-        raise ValueError("No numeric feature columns found for numeric EDA.")
+        raise ValueError("None of the features is numeric, so there is nothing to bin.")
     return _binned(df, chosen, bins)
 
 
@@ -166,31 +164,15 @@ def _pair_correlation(a: str, b: str) -> Column:
     return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
 
 
-def correlation_matrix(df: DataFrame, columns: list[str], wide: int = WIDE) -> DataFrame:
+def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pairwise-complete Pearson matrix in long form, both triangles.
 
-    Few columns: all pairs in one aggregate. Many: a matrix product per batch
-    inside the tasks. The driver holds the matrix at most, never rows.
+    One pass for any number of columns. With values centred and missing ones
+    zero, sums over the rows where both columns are present are products of the
+    value, square and presence matrices, which each task adds up over its rows.
     """
     if len(columns) < 2:
-        raise ValueError("At least two numeric columns are needed for correlations.")
-    if len(columns) > wide:
-        return _correlation_products(df, columns)
-    pairs = {
-        (a, b): _pair_correlation(a, b) for a, b in combinations_with_replacement(columns, 2)
-    }
-    found = chunked_agg(df, pairs)
-    rows = [(a, b, v) for (a, b), v in found.items()]
-    rows += [(b, a, v) for a, b, v in rows if a != b]
-    return df.sparkSession.createDataFrame(rows, "feature string, other string, correlation double")
-
-
-def _correlation_products(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One pass for any number of columns.
-
-    With values centred and missing ones zero, sums over the rows where both
-    columns are present are products of the value, square and presence matrices.
-    """
+        raise ValueError("Correlations take two numeric columns or more.")
     d = len(columns)
     found = chunked_agg(df, {(c, f): g(as_double(c)) for c in columns for f, g in (("m", F.avg), ("s", F.stddev_pop))})
     centre = np.array([found[c, "m"] or 0.0 for c in columns])
@@ -203,19 +185,18 @@ def _correlation_products(df: DataFrame, columns: list[str]) -> DataFrame:
             present = (~np.isnan(x)).astype(float)
             x = np.nan_to_num((x - centre) / spread, nan=0.0)
             total += [present.T @ present, x.T @ present, (x * x).T @ present, x.T @ x]
-        at = np.indices((d, d)).reshape(2, -1).astype(np.int32)
+        a, b = np.triu_indices(d)
+        n, s, q, p = total
         yield pa.RecordBatch.from_arrays(
-            [pa.array(at[0]), pa.array(at[1]), *[pa.array(t.ravel()) for t in total]], ["i", "j", "n", "s", "q", "p"]
+            [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *[pa.array(t) for t in (n[a, b], s[a, b], q[a, b], p[a, b], s[b, a], q[b, a])]],
+            ["a", "b", "n", "s", "q", "p", "s2", "q2"],
         )
 
     sums = (
         df.select(*[as_double(c).alias(f"c{i}") for i, c in enumerate(columns)])
-        .mapInArrow(products, "i int, j int, n double, s double, q double, p double")
-        .groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
-        .agg(
-            *[F.sum(F.when(F.col("i") <= F.col("j"), F.col(c))).alias(c) for c in ("n", "s", "q", "p")],
-            *[F.sum(F.when(F.col("i") >= F.col("j"), F.col(c))).alias(f"{c}2") for c in ("s", "q")],
-        )
+        .mapInArrow(products, "a int, b int, n double, s double, q double, p double, s2 double, q2 double")
+        .groupBy("a", "b")
+        .agg(*[F.sum(c).alias(c) for c in ("n", "s", "q", "p", "s2", "q2")])
     )
     n = F.nullif(F.col("n"), F.lit(0.0))
     variances = [F.col(q) / n - F.pow(F.col(m) / n, F.lit(2.0)) for q, m in (("q", "s"), ("q2", "s2"))]
@@ -248,7 +229,7 @@ def top_categories(df: DataFrame, target: str | None, features: int = 4, k: int
     """Most frequent values of the first categorical features, null included."""
     chosen = feature_schema(df, target, rule="eda").categorical[:features]
     if not chosen:
-        raise ValueError("No categorical feature columns found for categorical EDA.")
+        raise ValueError("None of the features is categorical.")
     counts = value_counts(df, chosen).withColumn("value", F.coalesce("value", F.lit("nan")))
     counts = counts.groupBy("column", "value").agg(F.sum("n").alias("n"))
     window = Window.partitionBy("column").orderBy(F.desc("n"), "value")

@@ -34,17 +34,20 @@ from tabloom.operators.prep import FEATURES
 LABEL = "_label"
 ROW_ID = "_rid"
 NORMAL_SOLVER_WIDTH = 4096
-DEEP_FOREST_ROWS = 1_000_000
 KERNEL_TOLERANCE = 1e-3
 
 
 @dataclass(frozen=True)
 class Options:
-    """Sizes of the families; the defaults are those of a full run."""
+    """Sizes of the families; the defaults are those of a full run, at every size of table.
+
+    Forests grow to ``forest_depth``: 65,536 leaves a tree, which the driver
+    holds as nodes whatever the rows.
+    """
 
     trees: int = 200
     rounds: int = 200
-    forest_depth: int | None = None
+    forest_depth: int = 16
     boosted_depth: int = 6
     fourier_features: int = 256
     kernel_iterations: int = 100
@@ -62,13 +65,6 @@ class Context:
     width: int
     options: Options = field(default_factory=Options)
 
-    def depth(self) -> int:
-        """Trees grow to MLlib's limit on small tables. A node table that deep
-        would not fit the driver on a large one, so depth is 16 there."""
-        if self.options.forest_depth is not None:
-            return self.options.forest_depth
-        return 30 if self.rows <= DEEP_FOREST_ROWS else 16
-
 
 Fit = Callable[[DataFrame, Context, dict[str, Any]], Any]
 
@@ -112,7 +108,7 @@ def _forest(classifier: bool) -> Fit:
     def fit(df, context, params):
         settings = {
             "numTrees": context.options.trees,
-            "maxDepth": context.depth(),
+            "maxDepth": context.options.forest_depth,
             "seed": context.options.seed,
             "featureSubsetStrategy": "sqrt" if classifier else "all",
         }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
@@ -33,16 +34,22 @@ def scored(records: DataFrame, pipeline: PipelineModel, feature_columns: Sequenc
 
 
 def score_latest(records: DataFrame, folder: str, output: str, events: str | None = None) -> DataFrame:
-    """Score with the newest model, write the result, and count it."""
+    """Score with the newest model and write the result; returns the rows of this call.
+
+    Each call writes ``output/run=<id>``, so ``output`` read as one table holds
+    all calls. The records are counted in what was written.
+    """
     spark = records.sparkSession
+    written = f"{output}/run={uuid.uuid4().hex[:12]}"
     try:
         pipeline, metadata = load_latest(spark, folder)
         result = scored(records, pipeline, metadata["feature_columns"])
-        result.write.mode("append").parquet(output)
+        result.write.parquet(written)
     except Exception as error:
         if events:
             record_failure(spark, events, f"batch_prediction_failure: {error}")
         raise
+    found = spark.read.schema(result.schema).parquet(written)
     if events:
-        record_prediction(spark, events, metadata["model_name"], records.count())
-    return spark.read.schema(result.schema).parquet(output)
+        record_prediction(spark, events, metadata["model_name"], found.count())
+    return found

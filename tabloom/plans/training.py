@@ -11,6 +11,7 @@ import math
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 from time import perf_counter
 from typing import Any
 
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from tabloom.functions.columns import col, missing_to_null
 from tabloom.operators.detection import CLASSIFICATION, FeatureSchema, feature_schema
 from tabloom.operators.folds import SEED, assign_folds
-from tabloom.operators.metrics import MAX_CLASSES, metric_name, score
+from tabloom.operators.metrics import metric_name, score
 from tabloom.operators.prep import FEATURES, FULL, Prep, fit_fold_preps
 from tabloom.plans.families import LABEL, ROW_ID, Context, Family, Options, parameters_json, registry
 from tabloom.session import run_jobs, write_table
@@ -57,6 +58,14 @@ class TrainingTable:
         names = set(self.schema.numeric) | set(self.schema.categorical)
         return [c for c in self.rows.columns if c in names]
 
+    @cached_property
+    def fold_sizes(self) -> dict[int, int]:
+        return {r[FOLD]: r["n"] for r in self.rows.groupBy(FOLD).agg(F.count("*").alias("n")).collect()}
+
+    def rows_without(self, part: int) -> int:
+        """Rows that a fit sees: all but those of a fold, or all for ``FULL``."""
+        return self.count - self.fold_sizes.get(part, 0)
+
 
 @dataclass
 class Training:
@@ -72,10 +81,8 @@ class Training:
 
 
 def class_sizes(df: DataFrame, target: str) -> dict:
-    """Rows per label (``None``: no label); the number of labels is checked."""
-    found = df.groupBy(col(target).alias("v")).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 2).collect()
-    if len(found) > MAX_CLASSES + 1:
-        raise ValueError(f"Target column '{target}' has more than {MAX_CLASSES} classes.")
+    """Rows per label (``None``: no label). A classifier holds one vector per label anyway."""
+    found = df.groupBy(col(target).alias("v")).agg(F.count("*").alias("n")).collect()
     return {r["v"]: r["n"] for r in found}
 
 
@@ -85,9 +92,11 @@ def label_values(df: DataFrame, target: str) -> list:
 
 
 def encode_labels(df: DataFrame, target: str, labels: Sequence, output: str = LABEL) -> DataFrame:
-    """Sorted classes to ``0 .. k-1``."""
-    table = F.create_map(*[x for i, v in enumerate(labels) for x in (F.lit(v), F.lit(float(i)))])
-    return df.withColumn(output, F.try_element_at(table, col(target)))
+    """Sorted classes to ``0 .. k-1``; other values to null."""
+    kind = df.schema[target].dataType
+    shape = T.StructType([T.StructField("_label_text", kind), T.StructField(output, T.DoubleType())])
+    table = df.sparkSession.createDataFrame([(v, float(i)) for i, v in enumerate(labels)], shape)
+    return df.drop(output).join(F.broadcast(table), col(target) == F.col("_label_text"), "left").drop("_label_text")
 
 
 def label_texts(labels: Sequence, data_type: T.DataType) -> list[str]:
@@ -125,7 +134,7 @@ def training_table(
         count, values = sum(sizes.values()), sorted(sizes)
         if len(values) < 2:
             raise ValueError(
-                "Target column must contain at least two unique non-null values to detect a problem type."
+                f"'{target}' needs at least two unique values besides null."
             )
         smallest = min(sizes.values())
         labels = label_texts(values, df.schema[target].dataType)
@@ -162,8 +171,9 @@ def fit_preps(table: TrainingTable, numeric_strategy: str = "median") -> dict[in
     return fit_fold_preps(table.rows, table.schema, FOLD, table.folds, numeric_strategy)
 
 
-def context_for(table: TrainingTable, rows: int, width: int, options: Options) -> Context:
-    return Context(rows, len(table.labels) if table.labels else 0, width, options)
+def context_for(table: TrainingTable, part: int, width: int, options: Options) -> Context:
+    """What a fit on everything but ``part`` knows; penalties depend on its rows."""
+    return Context(table.rows_without(part), len(table.labels) if table.labels else 0, width, options)
 
 
 def fold_score(table: TrainingTable, family: Family, data: DataFrame, fold: int, context: Context, params=None) -> float:
@@ -189,7 +199,6 @@ def train_all(
     families = families if families is not None else registry(table.problem_type)
     run_id = run_id or new_run_id()
     preps = fit_preps(table, numeric_strategy)
-    sizes = {r[FOLD]: r["n"] for r in table.rows.groupBy(FOLD).agg(F.count("*").alias("n")).collect()}
     times = dict.fromkeys(families, 0.0)
     scores: list[tuple[str, str, int, float]] = []
     failures: dict[str, Exception] = {}
@@ -210,8 +219,7 @@ def train_all(
     for part in [*range(table.folds), FULL]:
         data = prepared(table, preps[part]).persist(StorageLevel.MEMORY_AND_DISK)
         data.count()  # fill the cache once, before the families read it side by side
-        rows = table.count - sizes.get(part, 0)
-        context = context_for(table, rows, len(preps[part].feature_names), options)
+        context = context_for(table, part, len(preps[part].feature_names), options)
         if part == FULL:
             calls = [
                 lambda n=n, f=f: timed(n, lambda: _kept(f(data, context), table, preps[FULL], data))
@@ -278,7 +286,7 @@ def out_of_fold(table: TrainingTable, family: Family, preps: dict[int, Prep], op
     parts = None
     for fold in range(table.folds):
         data = prepared(table, preps[fold])
-        context = context_for(table, table.count, len(preps[fold].feature_names), options)
+        context = context_for(table, fold, len(preps[fold].feature_names), options)
         model = family(data.where(F.col(FOLD) != fold), context)
         part = model.transform(data.where(F.col(FOLD) == fold)).select(ROW_ID, FOLD, LABEL, "prediction")
         parts = part if parts is None else parts.unionByName(part)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
@@ -80,7 +81,7 @@ def search_space(model_name: str) -> dict[str, tuple]:
     name = ALIASES.get(model_name, model_name)
     base = name.removesuffix("Classifier").removesuffix("Regressor")
     if base not in SPACES:
-        raise ValueError(f"Unsupported tunable model: {model_name}")
+        raise ValueError(f"There is no search space for {model_name}.")
     return SPACES[base]
 
 
@@ -148,8 +149,8 @@ def tune(
     name = ALIASES.get(model_name, model_name)
     if name not in tunable(table.problem_type):
         raise ValueError(
-            f"Model '{model_name}' is not supported for advanced tuning. "
-            f"Supported models: {sorted(tunable(table.problem_type))}"
+            f"{model_name} is not supported for advanced tuning of this problem; "
+            f"there are {', '.join(sorted(tunable(table.problem_type)))}."
         )
     family = registry(table.problem_type, [name])[name]
     lower = table.problem_type != CLASSIFICATION
@@ -167,7 +168,7 @@ def tune(
         totals = dict.fromkeys(alive, 0.0)
         for fold in range(table.folds):
             data = prepared(table, preps[fold]).persist(StorageLevel.MEMORY_AND_DISK)
-            context = context_for(table, table.count, len(preps[fold].feature_names), inner)
+            context = context_for(table, fold, len(preps[fold].feature_names), inner)
             scores = run_jobs(
                 [lambda t=t: fold_score(table, family, data, fold, context, proposals[t]) for t in alive],
                 options.parallelism,
@@ -179,7 +180,7 @@ def tune(
                 means[trial].append(totals[trial] / (fold + 1))
                 earlier = [history[t][fold] for t in completed]
                 pruned = should_prune(pick(means[trial]), earlier, fold, lower)
-                ledger.append([study, trial, fold, value, means[trial][-1], pruned, str(sorted(proposals[trial].items()))])
+                ledger.append([study, trial, fold, value, means[trial][-1], pruned, json.dumps(proposals[trial], sort_keys=True)])
                 if not pruned:
                     still.append(trial)
             alive = still
@@ -188,7 +189,7 @@ def tune(
             completed.append(trial)
     best = pick(completed, key=lambda t: (history[t][-1], t if lower else -t))
     data = prepared(table, preps[FULL]).persist(StorageLevel.MEMORY_AND_DISK)
-    context = context_for(table, table.count, len(preps[FULL].feature_names), options)
+    context = context_for(table, FULL, len(preps[FULL].feature_names), options)
     model = family(data, context, proposals[best])
     data.unpersist()
     trials = table.rows.sparkSession.createDataFrame(ledger, LEDGER)

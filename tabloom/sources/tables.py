@@ -47,28 +47,50 @@ def read_csv(
     """CSV with a header; types from one aggregate over all columns and rows.
 
     Whole numbers become bigint, or double if any are missing; other numbers
-    double; complete true/false columns boolean; the rest text.
+    double; complete true/false columns boolean; the rest text. Rows with fewer
+    fields than the header end in nulls; rows with more are refused, and so are
+    files whose header differs from that of the others.
     """
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
-        raise ValueError("The dataset is empty.")
-    names = header_names(first[0][0].lstrip("﻿"), separator)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    names = _common_header(spark, path, separator)
+    spare = next(n for n in (f"_spare{i}" for i in range(len(names) + 1)) if n not in names)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, spare]])
     text = (
         spark.read.schema(schema)
         .option("header", True)
         .option("sep", separator)
         .option("escape", '"')
+        .option("enforceSchema", True)
         .option("multiLine", multi_line)
         .csv(path)
     )
-    clean = text.select(*[F.when(~col(n).isin(*na_tokens), col(n)).alias(n) for n in names])
-    return clean.select(*[cast_as(n, kind) for n, kind in infer_types(clean).items()])
+    clean = text.select(*[F.when(~col(n).isin(*na_tokens), col(n)).alias(n) for n in names], spare)
+    kinds, excess = _infer(clean, names, F.count(spare))
+    if excess:
+        raise ValueError(f"{excess} rows have more fields than the header has names.")
+    return clean.select(*[cast_as(n, kind) for n, kind in kinds.items()])
+
+
+def _common_header(spark: SparkSession, path: str, separator: str) -> list[str]:
+    """Column names of the first line that every file at ``path`` begins with."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
+    begins = lines.where("b = 0").withColumn("at", F.monotonically_increasing_id())
+    heads = begins.groupBy("f").agg(F.min_by("value", "at").alias("head")).agg(F.count_distinct("head").alias("n"), F.min("head").alias("head"))
+    found = heads.first()
+    if not found.n:
+        raise ValueError("The file has no header line.")
+    if found.n > 1:
+        raise ValueError(f"The files at {path} have {found.n} different headers.")
+    return header_names(found["head"].lstrip("﻿").rstrip("\r"), separator)
 
 
 def infer_types(text: DataFrame) -> dict[str, str]:
-    checks = [F.count("*").alias("rows")]
-    for i, name in enumerate(text.columns):
+    """Type of each text column, from one aggregate."""
+    return _infer(text, text.columns, F.lit(0))[0]
+
+
+def _infer(text: DataFrame, names: Sequence[str], excess: Column) -> tuple[dict[str, str], int]:
+    checks = [F.count("*").alias("rows"), excess.alias("excess")]
+    for i, name in enumerate(names):
         value = col(name)
         checks += [
             F.count(value).alias(f"n{i}"),
@@ -78,7 +100,7 @@ def infer_types(text: DataFrame) -> dict[str, str]:
         ]
     found = text.agg(*checks).first()
     kinds = {}
-    for i, name in enumerate(text.columns):
+    for i, name in enumerate(names):
         present = found[f"n{i}"]
         if present == 0:
             kinds[name] = "double"
@@ -90,7 +112,7 @@ def infer_types(text: DataFrame) -> dict[str, str]:
             kinds[name] = "boolean"
         else:
             kinds[name] = "string"
-    return kinds
+    return kinds, found["excess"]
 
 
 def cast_as(name: str, kind: str) -> Column:

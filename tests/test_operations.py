@@ -6,6 +6,7 @@ from pyspark.ml.feature import SQLTransformer
 
 from tabloom import session
 from tabloom.plans import monitoring, tracking
+from tabloom.plans import scoring
 from tabloom.plans.scoring import scored
 from tabloom.sources import registry, stores, tables
 
@@ -30,7 +31,7 @@ def test_metrics_follow_events(spark, tmp_path):
 def test_latest_model(spark, tmp_path, pipeline):
     folder = str(tmp_path / "store")
     assert stores.latest_model(spark, folder) is None
-    assert stores.readiness(spark, folder)["status"] == "degraded"
+    assert not stores.readiness(spark, folder)["ready"]
     with pytest.raises(FileNotFoundError):
         stores.load_latest(spark, folder)
     stores.save_model(spark, pipeline, folder, {"model_name": "old"}, is_fallback=True)
@@ -63,6 +64,28 @@ CSV = """zero,zero,,flag,n,mixed,text,blank
 """
 
 
+def test_csv_refuses_long_rows_and_other_headers(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("x,y\n1,2\n3,4,5\n6\n")
+    with pytest.raises(ValueError, match="1 rows have more fields"):
+        tables.read_csv(spark, str(tmp_path / "long.csv"))
+    (tmp_path / "short.csv").write_text("x,y\n1,2\n6\n")
+    assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "short.csv")).orderBy("x").collect()] == [(1, 2.0), (6, None)]
+    for i, head in enumerate(("a,b", "b,a")):
+        (tmp_path / "many").mkdir(exist_ok=True)
+        (tmp_path / "many" / f"{i}.csv").write_text(f"{head}\n1,2\n")
+    with pytest.raises(ValueError, match="2 different headers"):
+        tables.read_csv(spark, str(tmp_path / "many"))
+
+
+def test_scoring_returns_the_rows_of_the_call(spark, tmp_path, pipeline):
+    folder, output = str(tmp_path / "store"), str(tmp_path / "out")
+    stores.save_model(spark, pipeline, folder, {"model_name": "m", "feature_columns": []})
+    for n in (3, 5):
+        assert scoring.score_latest(spark.range(n).withColumnRenamed("id", "x"), folder, output, str(tmp_path / "events")).count() == n
+    assert spark.read.parquet(output).count() == 8
+    assert monitoring.metrics(spark, str(tmp_path / "events"))["total_predictions"] == 8
+
+
 def test_csv_names_and_types(spark, tmp_path):
     (tmp_path / "t.csv").write_text(CSV)
     df = tables.read_csv(spark, str(tmp_path / "t.csv"))
