@@ -1,8 +1,8 @@
 """Exact order statistics without sorting or gathering a column.
 
 ``percentile`` keeps every distinct value of a column in one aggregation
-buffer. That is fine while the number of rows is known to be small; beyond it
-the rank is bracketed by a mergeable sketch, the rows below and inside the
+buffer. That is fine while the buffers of a pass together hold few rows; beyond
+that the rank is bracketed by a mergeable sketch, the rows below and inside the
 bracket are counted exactly, and the bracket is narrowed until what is inside
 fits one buffer. Each round is one map-side aggregate over the whole table, so
 nothing is shuffled but one row per task.
@@ -16,8 +16,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.session import fits_within
-
 BUFFER_ROWS = 2_000_000
 SKETCH_ACCURACY = 5_000
 CHUNK = 150
@@ -40,7 +38,7 @@ def exact_quantiles(
     names = {f"v{i}": name for i, name in enumerate(values)}
     narrow = df.select(*[values[name].alias(alias) for alias, name in names.items()])
     columns = {alias: F.col(alias) for alias in names}
-    if fits_within(df, buffer_rows):
+    if df.count() * len(values) <= buffer_rows:  # a pass holds the buffers of all expressions
         found = _direct(narrow, columns, probabilities)
     else:
         found = _by_rank(narrow, columns, probabilities, buffer_rows, accuracy)
@@ -102,12 +100,26 @@ def order_statistics(df, values, wanted, counts, buffer_rows=BUFFER_ROWS, accura
                 key: _pick(key[0], lo, hi, (key[1] - below + 0.5) / inside)
                 for key, (lo, hi, below, inside) in small.items()
             }
-            for (name, rank), value in chunked_agg(df, picks).items():
-                found[name][rank] = value
+            for part in _passes({key: small[key][3] for key in picks}, buffer_rows):
+                for (name, rank), value in chunked_agg(df, {key: picks[key] for key in part}).items():
+                    found[name][rank] = value
         open_ranks = _narrow(df, values, large, found, accuracy) if large else {}
     return found
 
 
+def _passes(rows: Mapping[tuple, int], limit: int) -> list[list[tuple]]:
+    """Keys in groups whose buffers together hold ``limit`` rows at most."""
+    groups: list[list[tuple]] = []
+    held = 0
+    for key, n in rows.items():
+        if not groups or held + n > limit:
+            groups.append([])
+            held = 0
+        groups[-1].append(key)
+        held += n
+    return groups
+
+
 def _inside(value: Column, lo: float | None, hi: float | None) -> Column:
     if lo is None:
         return value

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.functions.columns import as_double, as_text, col, missing_to_null, rows_from_columns
+from tabloom.functions.columns import as_double, as_text, col, missing_to_null, rows_from_columns, text_values
 from tabloom.functions.quantiles import chunked_agg, exact_quantiles
 from tabloom.operators.detection import feature_schema, require_column, value_counts, wide_counts
 
@@ -230,8 +230,8 @@ def top_categories(df: DataFrame, target: str | None, features: int = 4, k: int
     chosen = feature_schema(df, target, rule="eda").categorical[:features]
     if not chosen:
         raise ValueError("None of the features is categorical.")
-    counts = value_counts(df, chosen).withColumn("value", F.coalesce("value", F.lit("nan")))
-    counts = counts.groupBy("column", "value").agg(F.sum("n").alias("n"))
+    texts = text_values(df, chosen).withColumn("value", F.coalesce("value", F.lit("nan")))
+    counts = texts.groupBy("column", "value").agg(F.count("*").alias("n"))
     window = Window.partitionBy("column").orderBy(F.desc("n"), "value")
     return (
         counts.withColumn("rank", F.row_number().over(window).cast("bigint"))
