@@ -100,16 +100,16 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keys = write_table(keyed.select("id", "k", "h", F.length("text").alias("n")).groupBy("id", "k", "h").agg(F.first("n").alias("n"), F.count("*").alias("rows")), "keys")
     counted = keys.agg(F.count("*").alias("n"), F.max("rows").alias("rows")).first()
     placed = numbered(keys, [], [F.col("id").desc_nulls_last(), F.col("h").desc()], "at", small_rows=0)
-    placed = write_table(placed.select("k", "h", "n", "at"), "order")
+    placed = write_table(placed.select("id", "k", "h", "n", "at"), "order")
     after = placed.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("at").alias("next_at"))
     links = placed.join(after, F.col("at") % F.lit(max(counted.n, 1)) + 1 == F.col("next_at"))
-    links = write_table(links.select("k", "h", "n", "next_k", "next_h"), "links")
+    links = write_table(links.select("id", "k", "h", "n", "next_k", "next_h"), "links")
 
-    texts = with_sketch(keyed, F.col("text"), "sketch")
-    ahead = texts.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), "text", F.col("sketch").alias("next_sketch"))
-    given = links.join(ahead, ["next_k", "next_h"]).select(
-        "k", "h", F.left("text", F.floor(F.col("n") / 3).cast("int")).alias("lead"), "next_sketch"
-    )
+    # both joins take the same columns of the texts, so that one exchange serves them
+    texts = with_sketch(keyed.drop("id"), F.col("text"), "sketch")
+    following = (F.col("l.next_k") == F.col("t.k")) & (F.col("l.next_h") == F.col("t.h"))
+    lead = F.left("t.text", F.floor(F.col("l.n") / 3).cast("int")).alias("lead")
+    given = links.alias("l").join(texts.alias("t"), following).select("l.id", "l.k", "l.h", lead, F.col("t.sketch").alias("next_sketch"))
     if (counted.rows or 1) > 1:
         given = given.dropDuplicates(["k", "h"])
     joined = texts.join(given, ["k", "h"])
