@@ -57,7 +57,7 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, multiple: in
             F.sum(F.when(~stopped, F.col("weight"))).alias("weight"),
         ).first()
         above = ((r.total or 0) - (r.full or 0.0)) / r.weight if r.weight else level
-        if above <= level * (1 + 1e-12):
+        if above <= level + abs(level) * 1e-12:
             break
         level = above
     return ranked.select("source", "source_size", F.least(F.col("weight") * F.lit(max(level, 0.0)), most).alias("target"))
