@@ -11,8 +11,8 @@ from tabloom.plans.families import Options
 from tabloom.sources.tables import load
 
 CONFIG = Path(__file__).resolve().parent.parent / "config" / "datasets.json"
-# small ensembles, so that a query is quick; the library default is 200
-SMALL = Options(trees=5, rounds=3, forest_depth=5, boosted_depth=4, fourier_features=32, kernel_iterations=15)
+# the sizes of a full run
+OPTIONS = Options()
 
 MIXED_COLUMNS = ("quantity", "l_extendedprice", "l_discount", "l_tax", "flag", "l_linestatus")
 MIXED_SQL = """(SELECT

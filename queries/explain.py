@@ -6,7 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from queries.common import SMALL, class_items, order_features, r, regression_items, rounded
+from queries.common import OPTIONS, class_items, order_features, r, regression_items, rounded
 from tabloom.operators import attribution
 from tabloom.operators.prep import FEATURES, FULL
 from tabloom.plans.families import ROW_ID, registry
@@ -84,7 +84,7 @@ def _fitted(source, target, problem, name):
     table = training_table(source, target, problem, 2)
     prep = fit_preps(table)[FULL]
     data = prepared(table, prep).persist()
-    model = registry(problem, [name])[name](data, context_for(table, FULL, len(prep.feature_names), SMALL))
+    model = registry(problem, [name])[name](data, context_for(table, FULL, len(prep.feature_names), OPTIONS))
     return data, model, prep.feature_names
 
 
@@ -122,7 +122,7 @@ def shap_sampling(spark, sf):
     """Any family: here Gaussian naive Bayes; sums meet the prediction exactly."""
     source = order_features(spark, sf).select("amount", "o_custkey", "o_orderstatus")
     data, model, names = _fitted(source, "o_orderstatus", "classification", "NaiveBayes")
-    found = attribution.sampling_attribution(data, model, names, ROW_ID, samples=2)
+    found = attribution.sampling_attribution(data, model, names, ROW_ID)
     sums = found.values.groupBy("row", "class").agg(F.sum("phi").alias("total"))
     outputs = model.transform(data).select(
         F.col(ROW_ID).alias("row"), F.posexplode(vector_to_array("probability")).alias("class", "output")

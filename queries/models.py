@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queries.common import ORDER_FEATURES_SQL, SMALL, class_items, order_features, r, regression_items, rounded
+from queries.common import ORDER_FEATURES_SQL, OPTIONS, class_items, order_features, r, regression_items, rounded
 from tabloom.operators import folds, knn, metrics
 from tabloom.operators.prep import FEATURES, FULL
 from tabloom.plans import benchmark, tuning
@@ -36,7 +36,7 @@ def _one_feature(spark, sf):
 
 def _cv_linear(spark, sf):
     table = training_table(_one_feature(spark, sf), "y", "regression", 5, ["o_orderkey"])
-    return train_all(table, registry("regression", ["LinearRegression"]), SMALL)
+    return train_all(table, registry("regression", ["LinearRegression"]), OPTIONS)
 
 
 def cv_scores_linear(spark, sf):
@@ -58,7 +58,7 @@ def cv_scores_bayes(spark, sf):
     """Accuracy of Gaussian naive Bayes per held-out fold."""
     source = order_features(spark, sf).select("o_orderkey", "amount", "o_custkey", "o_orderstatus")
     table = training_table(source, "o_orderstatus", "classification", 3, ["o_orderkey"])
-    scores = train_all(table, registry("classification", ["NaiveBayes"]), SMALL).fold_scores
+    scores = train_all(table, registry("classification", ["NaiveBayes"]), OPTIONS).fold_scores
     return scores.select(F.col("fold").cast("bigint").alias("fold"), r("score", 6).alias("score"))
 
 
@@ -91,14 +91,12 @@ CV_SUMMARY = """SELECT l_suppkey, round(avg(score), 8) + 0.0 AS mean_score, roun
 
 def train_all_classifiers(spark, sf):
     table = training_table(class_items(spark, sf), "size_class", "classification", 2)
-    names = ["LogisticRegression", "NaiveBayes", "RandomForestClassifier", "BoostedTreesClassifier"]
-    return train_all(table, registry("classification", names), SMALL).results.drop("run_id")
+    return train_all(table, registry("classification"), OPTIONS).results.drop("run_id")
 
 
 def train_all_regressors(spark, sf):
     table = training_table(regression_items(spark, sf), "y", "regression", 2)
-    names = ["LinearRegression", "RandomForestRegressor", "BoostedTreesRegressor"]
-    return train_all(table, registry("regression", names), SMALL).results.drop("run_id")
+    return train_all(table, registry("regression"), OPTIONS).results.drop("run_id")
 
 
 def _fit(df: DataFrame, target: str, problem: str, family) -> DataFrame:
@@ -109,7 +107,7 @@ def _fit(df: DataFrame, target: str, problem: str, family) -> DataFrame:
     table = training_table(df, target, problem, 2)
     prep = fit_preps(table)[FULL]
     data = prepared(table, prep).persist()
-    model = family(data, context_for(table, FULL, len(prep.feature_names), SMALL))
+    model = family(data, context_for(table, FULL, len(prep.feature_names), OPTIONS))
     predicted = model.transform(data)
     label, guess = F.col(LABEL), F.col("prediction")
     if problem == "classification":
@@ -159,7 +157,7 @@ def model_gbt_multiclass(spark, sf):
 def _predictions(spark, sf, family):
     table = training_table(_one_feature(spark, sf), "y", "regression", 2, ["o_orderkey"])
     prep = fit_preps(table)[FULL]
-    model = family(prepared(table, prep), context_for(table, FULL, len(prep.feature_names), SMALL))
+    model = family(prepared(table, prep), context_for(table, FULL, len(prep.feature_names), OPTIONS))
     found = predict(table, scoring_pipeline(table, prep, model))
     return found.select("o_orderkey", r("predicted", 3).alias("predicted"))
 
@@ -243,28 +241,15 @@ BAYES = f"""WITH rows AS MATERIALIZED {_CLASSED},
     SELECT id, any_value(l_orderkey) AS l_orderkey, any_value(l_linenumber) AS l_linenumber, any_value(l_quantity) AS l_quantity,
       any_value(l_discount) AS l_discount, any_value(l_tax) AS l_tax, arg_max(c, score) AS predicted FROM scored GROUP BY id)"""
 
-FOREST = {
-    "numTrees": ("int", 2, 6, 2),
-    "maxDepth": ("int", 2, 5, 1),
-    "minInstancesPerNode": ("int", 1, 4, 1),
-    "featureSubsetStrategy": ("choice", ("sqrt", "log2", "all")),
-}
-BOOSTED = {
-    "maxIter": ("int", 2, 4, 1),
-    "maxDepth": ("int", 2, 4, 1),
-    "stepSize": ("log", 0.05, 0.3, None),
-    "subsamplingRate": ("float", 0.6, 1.0, None),
-}
-
 
 def tune_rf(spark, sf):
     table = training_table(regression_items(spark, sf), "y", "regression", 2)
-    return tuning.tune(table, "RandomForestRegressor", 4, SMALL, FOREST).trials.drop("study_id")
+    return tuning.tune(table, "RandomForestRegressor", options=OPTIONS).trials.drop("study_id")
 
 
 def tune_gbt(spark, sf):
     table = training_table(class_items(spark, sf), "size_class", "classification", 2)
-    return tuning.tune(table, "BoostedTreesClassifier", 3, SMALL, BOOSTED).trials.drop("study_id")
+    return tuning.tune(table, "BoostedTreesClassifier", options=OPTIONS).trials.drop("study_id")
 
 
 def _ledger(spark, sf):
@@ -382,7 +367,7 @@ RESIDUAL_BINS = f"""SELECT bin, count(*) AS n, round(avg(predicted), 6) + 0.0 AS
 
 def holdout_compare(spark, sf):
     source = order_features(spark, sf).selectExpr("o_orderkey", "amount", "o_custkey", "y")
-    return benchmark.holdout_compare(source, "y", ["o_orderkey"], folds=2, options=SMALL)
+    return benchmark.holdout_compare(source, "y", ["o_orderkey"], folds=2, options=OPTIONS)
 
 
 QUERIES = {

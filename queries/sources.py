@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queries.common import CONFIG, ORDER_FEATURES_SQL, SMALL, order_features, r
+from queries.common import CONFIG, ORDER_FEATURES_SQL, OPTIONS, order_features, r
 from tabloom.operators import detection, folds, rows
 from tabloom.plans import tracking
 from tabloom.plans.families import parameters_json, registry
@@ -133,7 +133,7 @@ def model_roundtrip(spark, sf):
     table = training_table(order_features(spark, sf), "y", "regression", 2, ["o_orderkey"], ["amount", "priority"])
     prep = fit_preps(table)[FULL]
     family = registry("regression", ["LinearRegression"])["LinearRegression"]
-    model = family(prepared(table, prep), context_for(table, FULL, len(prep.feature_names), SMALL))
+    model = family(prepared(table, prep), context_for(table, FULL, len(prep.feature_names), OPTIONS))
     pipeline = scoring_pipeline(table, prep, model)
     folder = fresh_path(spark, "models")
     row = stores.save_model(
