@@ -3,12 +3,15 @@
 Tokens of a page are its opening tags, each named by its path, and its blocks of
 text, named by path and words. Tokens of a host with one occurrence vector over
 its pages (the same number of times on each page) form an equivalence class.
-Classes that are frequent (on at least half of the pages, and on at least
-``LEAST_PAGES`` different ones) and hold a tag are valid; nested by the paths of
-their tags they are the template of the host. Blocks of text that belong to the
-template are boilerplate of that host, whatever their markup says. What is left
-are its slots, and of these the ones in menus, headers, footers, forms, adverts,
-notices or comments are set aside by the elements they lie in.
+Pages of a host that agree in their article count as one, so copies that differ
+in an advert, a menu or a title do not make a template of their article. Classes
+that are frequent (on at least half of these pages, and on at least
+``LEAST_PAGES``) and hold a tag are valid; nested by the paths of their tags they
+are the template of the host. Blocks of text that belong to the template are
+boilerplate of that host, whatever their markup says; inside an article or main
+element only those that are links alone. What is left are its slots, and of these
+the ones in menus, headers, footers, forms, adverts, notices or comments are set
+aside by the elements they lie in.
 
 Occurrence vectors are never built: a vector is the exclusive or of a hash of
 each page and count, so tokens of one class agree in it, and a host with a third
@@ -43,6 +46,18 @@ def _text_token(block: Block) -> int:
     return digest(block.path, f"text {block.text}")
 
 
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Host and page of each page, and a hash of the blocks of its article as the markup tells it."""
+    for whole in batches:
+        for batch in steps(whole, "html"):
+            found = []
+            for html in utf8(batch.column("html")).to_pylist():
+                left = [b for b in read(html)[0] if not b.aside]
+                texts = [b.text for b in left if b.main] or [b.text for b in left if not b.linked]
+                found.append(digest(len(texts), "\n".join(texts)))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array(found, pa.int64())], ["host", "page", "content"])
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens of each page: host, page, token, count, place of the first, parent, whether text."""
     for whole in batches:
@@ -75,15 +90,20 @@ def templates(pages: DataFrame, page_col: str = "page_id", url_col: str = "url",
 
     Columns: host (hash), vector (names the class), token, parent (token of the
     element it lies in), is_text, place (order among tokens of its kind), support
-    (pages), whole (on every page of the host).
+    (pages with different articles), whole (on all of these of the host).
     """
     given = pages.select(
         F.xxhash64(host_of(col(url_col))).alias("host"), F.xxhash64(col(page_col), col(url_col), col(html_col)).alias("page"), col(html_col).alias("html")
     )
-    hosts = given.select("host", "page", F.xxhash64("html").alias("version")).groupBy("host", "version").agg(F.count_distinct("page").alias("pages"))
-    hosts = hosts.groupBy("host").agg(F.sum("pages").alias("pages"), F.count("*").alias("versions")).where(F.col("versions") >= LEAST_PAGES)
+    contents = given.mapInArrow(_contents, "host long, page long, content long").groupBy("host", "content").agg(F.min("page").alias("page"))
+    contents = write_table(contents, "contents")
+    hosts = contents.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    # one row of each different page, also where rows are repeated
+    drawn = contents.join(hosts, "host").select(F.col("host").alias("drawn_host"), F.col("page").alias("drawn_page"))
+    drawn = given.join(drawn, (F.col("page") == F.col("drawn_page")) & (F.col("host") == F.col("drawn_host")), "left_semi")
+    drawn = drawn.dropDuplicates(["host", "page"])
     schema = "host long, page long, token long, n int, place int, parent long, is_text boolean"
-    seen = given.mapInArrow(_tokens, schema).groupBy("host", "token").agg(
+    seen = drawn.mapInArrow(_tokens, schema).groupBy("host", "token").agg(
         F.count("*").alias("support"),
         F.bit_xor(F.xxhash64("page", "n")).alias("vector"),
         F.min("place").alias("place"),
@@ -92,7 +112,7 @@ def templates(pages: DataFrame, page_col: str = "page_id", url_col: str = "url",
     )
     seen = write_table(seen.where(F.col("support") >= LEAST_PAGES), "tokens")
     frequent = seen.join(hosts, "host").where(F.col("support") * 2 >= F.col("pages"))
-    frequent = write_table(frequent.withColumn("whole", F.col("support") >= F.col("pages")).drop("versions", "pages"), "frequent")
+    frequent = write_table(frequent.withColumn("whole", F.col("support") >= F.col("pages")).drop("pages"), "frequent")
     classes = frequent.groupBy("host", "support", "vector").agg(F.min("is_text").alias("only_text")).where("NOT only_text")
     return frequent.join(classes.drop("only_text"), ["host", "support", "vector"])
 
@@ -117,14 +137,15 @@ def main_blocks(html: str, known: dict[int, tuple[int, bool]]) -> tuple[list[str
 
     ``known`` has the text tokens of the host's template with their place and
     whether they are on every page. A token out of the template's order does not
-    count on this page, nor inside an article one that is not on every page.
+    count on this page, nor inside an article one that is not on every page or
+    has text outside links: articles may share a paragraph.
     """
     blocks, _ = read(html)
     left: list[Block] = []
     dropped, last = 0, -1
     for block in blocks:
         place, whole = known.get(_text_token(block), (-1, False)) if known else (-1, False)
-        if place > last and (whole or not block.main):
+        if place > last and (whole and block.linked or not block.main):
             last = place
             dropped += 1
         elif not block.aside:
@@ -139,10 +160,10 @@ def extract_text(pages: DataFrame, page_col: str = "page_id", url_col: str = "ur
     ``text`` has the blocks of the article in page order, joined by an empty
     line; character references are decoded and white space within a block is one
     space. It is empty if there is none, as for null or empty html. Pages of a
-    host with fewer than ``LEAST_PAGES`` different ones have no deduced template
-    and are read by their markup alone; a null address is a host of its own.
-    Rows are kept as they are, repeated ones and null ids included; copies of a
-    page count once towards the number of different pages. An empty table gives
+    host with fewer than ``LEAST_PAGES`` different articles have no deduced
+    template and are read by their markup alone; a null address is a host of its
+    own. Rows are kept as they are, repeated ones and null ids included; copies
+    of an article count once in the template. An empty table gives
     no rows. Other columns of ``pages`` are not read.
     """
     found = templates(pages, page_col, url_col, html_col).where("is_text")

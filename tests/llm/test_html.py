@@ -88,6 +88,29 @@ def test_near_copies_within_a_host_keep_their_article(make_pages):
     assert found[2] == "Common paragraph one.\n\nCommon two.\n\nOwn 2." and found[11] == "Another 1 story."
 
 
+def test_near_copies_that_fill_a_host_keep_their_article(make_pages):
+    story = "<article><p>The whole story.</p><p>Its end.</p></article>"
+    rows = [(i, f"https://n.example/{i}", f"<title>{i}</title><nav>menu {i}</nav><div class=ad>advert {i}</div>{story}") for i in range(6)]
+    plain = "<div><p>Plain story.</p><p>Its end.</p></div>"
+    rows += [(10 + i, f"https://p.example/{i}", f"<title>{i}</title><nav>menu {i}</nav><div class=ad>advert {i}</div>{plain}") for i in range(6)]
+    found = {r.page_id: r.text for r in html_template.extract_text(make_pages(rows)).collect()}
+    assert {found[i] for i in range(6)} == {"The whole story.\n\nIts end."}
+    assert {found[10 + i] for i in range(6)} == {"Plain story.\n\nIts end."}
+
+
+def test_a_paragraph_that_all_articles_share_is_kept(make_pages):
+    rows = [page(i, f"<article><p>We tested this.</p><p>Own {i}.</p></article>") for i in range(6)]
+    found = {r.page_id: r.text for r in html_template.extract_text(make_pages(rows)).collect()}
+    assert all(found[i] == f"We tested this.\n\nOwn {i}." for i in range(6))
+
+
+def test_repeated_rows_and_copies_count_once(make_pages):
+    rows = [page(i, f"<div id=post-{i}><p>Story {i}.</p></div>") for i in range(5)]
+    copies = [page(50 + i, "<div id=post-9><p>Story nine.</p></div>") for i in range(8)]
+    found = html_template.extract_text(make_pages([*rows, *[rows[0]] * 7, *copies])).collect()
+    assert Counter(r.text for r in found) == Counter({"Story 0.": 8, "Story nine.": 8, **{f"Story {i}.": 1 for i in range(1, 5)}})
+
+
 def test_templates_hold_nested_classes(make_pages):
     rows = [page(i, f"<p>{i}</p>" * (1 + i % 3)) for i in range(9)]
     tokens = html_template.templates(make_pages(rows)).collect()
