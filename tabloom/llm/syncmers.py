@@ -4,10 +4,10 @@ A text becomes short tokens: runs of up to four characters, begun anew after
 white space. Of every ``K`` tokens in a row the ``K - S + 1`` inner runs of
 ``S`` tokens are hashed; the K-mer is an anchor (a closed syncmer) if the least
 of those hashes belongs to the first or the last of them. Whether it is depends
-on its own tokens only, so an edit moves no anchor outside its reach. The
-fingerprint is the least hashes of the anchors in order, a sample of the set of
-anchors that is drawn alike from every text, and likeness is the share of
-common anchors among the least of both. All of it is column functions.
+on its own tokens only, so an edit moves no anchor outside its reach. Likeness is
+the share of common anchors among all anchors of both texts, where an anchor
+counts at each of its positions and is matched once. The printed fingerprint is
+the least hashes of the anchors. All of it is column functions.
 """
 
 from __future__ import annotations
@@ -50,15 +50,14 @@ def anchors(hashes: Column, runs: Column) -> Column:
 
 
 def sketch(hashes: Column, places: Column) -> Column:
-    """The least distinct hashes of the anchors, ``KEPT`` at most.
+    """The hashes of all anchors in order, one for each position.
 
     Texts of fewer than ``2 * K`` tokens have too few anchors to compare; each of
     their tokens counts as one.
     """
-    digits = F.lit((1 << 4 * DIGITS) - 1)
-    found = F.transform(places, lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(K)]).bitwiseAND(digits))
-    single = F.transform(hashes, lambda h: F.xxhash64(h).bitwiseAND(digits))
-    return F.slice(F.sort_array(F.array_distinct(F.when(F.size(hashes) >= 2 * K, found).otherwise(single))), 1, KEPT)
+    found = F.transform(places, lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(K)]))
+    single = F.transform(hashes, lambda h: F.xxhash64(h))
+    return F.sort_array(F.when(F.size(hashes) >= 2 * K, found).otherwise(single))
 
 
 def with_sketch(df: DataFrame, text: Column, name: str) -> DataFrame:
@@ -71,19 +70,44 @@ def with_sketch(df: DataFrame, text: Column, name: str) -> DataFrame:
 
 
 def fingerprint(sketch_: Column) -> Column:
-    """A sketch as text: its hashes in hex, in order."""
-    return F.array_join(F.transform(sketch_, lambda h: F.lpad(F.lower(F.hex(h)), DIGITS, "0")), "")
+    """The ``KEPT`` least of the hashes (their last ``DIGITS`` digits) as hex, in order."""
+    least = F.slice(F.sort_array(F.array_distinct(F.transform(sketch_, lambda h: h.bitwiseAND(F.lit((1 << 4 * DIGITS) - 1))))), 1, KEPT)
+    return F.array_join(F.transform(least, lambda h: F.lpad(F.lower(F.hex(h)), DIGITS, "0")), "")
+
+
+def _again(sketch_: Column) -> Column:
+    """The hashes of a sketch without the first of each kind."""
+    return F.filter(sketch_, lambda h, i: h == F.get(sketch_, i - 1))
+
+
+def _paired(a: Column, b: Column) -> Column:
+    """How many hashes of ``a`` have one of ``b`` of their own: both in one order, the last bit tells them apart."""
+    both = F.sort_array(F.concat(F.transform(a, lambda h: h.bitwiseAND(F.lit(-2))), F.transform(b, lambda h: h.bitwiseOR(F.lit(1)))))
+
+    def step(state: Column, h: Column) -> Column:
+        kind = h.bitwiseAND(F.lit(-2))
+        waiting = F.when(kind == state["kind"], state["waiting"]).otherwise(F.lit(0))
+        ours, match = h == kind, (h != kind) & (waiting > 0)
+        waiting = F.when(ours, waiting + 1).when(match, waiting - 1).otherwise(waiting)
+        pairs = F.when(match, state["pairs"] + 1).otherwise(state["pairs"])
+        return F.struct(kind.alias("kind"), waiting.alias("waiting"), pairs.alias("pairs"))
+
+    begin = F.struct(F.lit(0).cast("long").alias("kind"), F.lit(0).alias("waiting"), F.lit(0).alias("pairs"))
+    return F.aggregate(both, begin, step)["pairs"]
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of common hashes among the least of both sketches; 1 if both are empty."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, KEPT)
-    common = F.size(F.array_intersect(F.array_intersect(least, a), b))
-    return F.when(F.size(least) == 0, F.lit(1.0)).otherwise(common / F.size(least))
+    """Share of common anchors among all of both sketches (columns of a table); 1 if both are empty.
+
+    An anchor that occurs at several positions is matched as often as both have it.
+    """
+    common = F.size(F.array_intersect(a, b)) + _paired(_again(a), _again(b))
+    every = F.size(a) + F.size(b)
+    return F.when(every == 0, F.lit(1.0)).otherwise(common / (every - common))
 
 
 def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text beside an edited form and the next text, by their sketches.
+    """Each text beside an edited form and the next text, by all their anchors.
 
     Columns: doc_id, text, edited, sketch, edited_sketch, next_sketch. Documents
     follow each other by descending id (null ids last; several texts of one id by
@@ -97,23 +121,24 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     plain = docs.select(col(id_col).alias("id"), text.alias("text"))
     # a key without nulls; the hash tells a null id from the number that stands for it
     keyed = plain.select("id", F.coalesce(F.col("id").cast("long"), F.lit(-(2**63))).alias("k"), F.xxhash64("id", "text").alias("h"), "text")
-    keys = write_table(keyed.select("id", "k", "h", F.length("text").alias("n")).groupBy("id", "k", "h").agg(F.first("n").alias("n"), F.count("*").alias("rows")), "keys")
+    keys = write_table(keyed.groupBy("id", "k", "h").agg(F.count("*").alias("rows")), "keys")
     counted = keys.agg(F.count("*").alias("n"), F.max("rows").alias("rows")).first()
     placed = numbered(keys, [], [F.col("id").desc_nulls_last(), F.col("h").desc()], "at", small_rows=0)
-    placed = write_table(placed.select("id", "k", "h", "n", "at"), "order")
+    placed = write_table(placed.select("id", "k", "h", "at"), "order")
     after = placed.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("at").alias("next_at"))
     links = placed.join(after, F.col("at") % F.lit(max(counted.n, 1)) + 1 == F.col("next_at"))
-    links = write_table(links.select("id", "k", "h", "n", "next_k", "next_h"), "links")
+    links = write_table(links.select("id", "k", "h", "next_k", "next_h"), "links")
 
-    # both joins take the same columns of the texts, so that one exchange serves them
-    texts = with_sketch(keyed.drop("id"), F.col("text"), "sketch")
+    # both joins take the same columns of the texts, so that one exchange serves them; anchors are larger than texts and made after it
+    texts = keyed.drop("id")
     following = (F.col("l.next_k") == F.col("t.k")) & (F.col("l.next_h") == F.col("t.h"))
-    lead = F.left("t.text", F.floor(F.col("l.n") / 3).cast("int")).alias("lead")
-    given = links.alias("l").join(texts.alias("t"), following).select("l.id", "l.k", "l.h", lead, F.col("t.sketch").alias("next_sketch"))
+    given = links.alias("l").join(texts.alias("t"), following).select("l.id", "l.k", "l.h", F.col("t.text").alias("next"))
     if (counted.rows or 1) > 1:
         given = given.dropDuplicates(["k", "h"])
-    joined = texts.join(given, ["k", "h"])
+    joined = texts.join(given, ["k", "h"]).select("id", "text", "next")
     whole = F.length("text")
-    edited = F.concat(F.left("text", whole - F.floor(whole / 3).cast("int")), "lead")
-    joined = joined.select("id", "text", "sketch", "next_sketch", edited.alias("edited"))
-    return with_sketch(joined, F.col("edited"), "edited_sketch").withColumnRenamed("id", id_col)
+    third = F.floor(whole / 3).cast("int")
+    joined = joined.withColumn("edited", F.concat(F.left("text", whole - third), F.left("next", third)))
+    for name, of in (("sketch", "text"), ("next_sketch", "next"), ("edited_sketch", "edited")):
+        joined = with_sketch(joined, F.col(of), name)
+    return joined.drop("next").withColumnRenamed("id", id_col)

@@ -75,3 +75,24 @@ def test_few_documents(make_docs, n):
     rows = [(i, f"text number {i} with words") for i in range(n)]
     found = syncmers.edited_neighbours(make_docs(rows)).collect()
     assert Counter((r.doc_id, r.edited) for r in found) == Counter((i, e[0]) for i, e in (brute(rows).items() if rows else ()))
+
+
+def compared(spark, a, b):
+    """Likeness of two texts."""
+    frame = spark.createDataFrame([(a, b)], "a string, b string")
+    frame = syncmers.with_sketch(syncmers.with_sketch(frame, F.col("a"), "x"), F.col("b"), "y")
+    return frame.select(syncmers.likeness(F.col("x"), F.col("y"))).first()[0]
+
+
+def test_a_short_passage_in_long_texts_is_seen(spark):
+    rnd = random.Random(11)
+    words = [["".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(3, 9))) for _ in range(20_000)] for _ in range(2)]
+    assert compared(spark, " ".join(words[0]), " ".join(words[1])) < 0.0005
+    words[1][5000:5100] = words[0][12_000:12_100]
+    assert 0.001 < compared(spark, " ".join(words[0]), " ".join(words[1])) < 0.01
+
+
+def test_an_anchor_counts_at_each_position(spark):
+    passage = texts(1, 5)[0][:200]
+    assert compared(spark, passage, passage) == 1
+    assert 0.2 < compared(spark, passage, " ".join([passage] * 4)) < 0.3
