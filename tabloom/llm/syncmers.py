@@ -1,10 +1,12 @@
 """Document fingerprints from closed syncmers.
 
-A text becomes short tokens: runs of up to four characters, begun anew after
-white space. Of every ``K`` tokens in a row the ``K - S + 1`` inner runs of
-``S`` tokens are hashed; the K-mer is an anchor (a closed syncmer) if the least
-of those hashes belongs to the first or the last of them. Whether it is depends
-on its own tokens only, so an edit moves no anchor outside its reach. Likeness is
+A text without its white space, with ``W + K - 2`` blanks before and after it,
+becomes tokens: its windows of ``W`` characters, one from each character on. Of
+every ``K`` tokens in a row the ``K - S + 1`` inner runs of ``S`` tokens are
+hashed; the K-mer is an anchor (a closed syncmer) if the least of those hashes
+belongs to the first or the last of them. So anchors are of one kind for texts
+of every length and script. Whether a K-mer is one depends on
+its own tokens only, so an edit moves no anchor outside its reach. Likeness is
 the share of common anchors among all anchors of both texts, where an anchor
 counts at each of its positions and is matched once. The printed fingerprint is
 the least hashes of the anchors. All of it is column functions.
@@ -19,22 +21,35 @@ from tabloom.llm.common import col, text_of
 from tabloom.operators.ordering import numbered
 from tabloom.session import write_table
 
-TOKEN = r"[^\x20\x09-\x0D]{1,4}"
-K, S = 5, 2
+SPACE = r"[\x20\x09-\x0D]+"
+W, K, S = 8, 8, 5
+# characters of a K-mer; windows that overlap by S - 1 make a run or a K-mer from its first and last
+REACH = W + K - 1
+PAD = " " * (REACH - 1)
 KEPT = 48
 DIGITS = 8
 
 
+def solid(text: Column) -> Column:
+    """A text without its white space."""
+    return F.regexp_replace(text, SPACE, "")
+
+
+def windows(padded: Column) -> Column:
+    """Hashes of the ``W`` characters from each character on."""
+    return F.transform(F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{W}}}))."), F.lit(1)), lambda t: F.xxhash64(t))
+
+
 def tokens(text: Column) -> Column:
-    """Hashes of the tokens of a text, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
+    """Hashes of the tokens of a text, in order; none if it is blank."""
+    inside = solid(text)
+    return windows(F.when(F.length(inside) > 0, F.concat(F.lit(PAD), inside, F.lit(PAD))).otherwise(""))
 
 
 def inner(hashes: Column) -> Column:
     """Hashes of all runs of ``S`` tokens."""
     at = F.sequence(F.lit(0), F.size(hashes) - S)
-    runs = F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(S)]))
-    return F.when(F.size(hashes) >= K, runs)
+    return F.when(F.size(hashes) >= K, F.transform(at, lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + S - 1))))
 
 
 def anchors(hashes: Column, runs: Column) -> Column:
@@ -49,24 +64,26 @@ def anchors(hashes: Column, runs: Column) -> Column:
     return F.when(F.size(hashes) >= K, F.filter(at, closed))
 
 
-def sketch(hashes: Column, places: Column) -> Column:
-    """The hashes of all anchors in order, one for each position.
+def anchor_hashes(runs: Column, places: Column) -> Column:
+    """The hashes of all anchors, by position; a K-mer is told by its first and last run."""
+    return F.coalesce(F.transform(places, lambda i: F.xxhash64(F.get(runs, i), F.get(runs, i + K - S))), F.array().cast("array<long>"))
 
-    Texts of fewer than ``2 * K`` tokens have too few anchors to compare; each of
-    their tokens counts as one.
-    """
-    found = F.transform(places, lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(K)]))
-    single = F.transform(hashes, lambda h: F.xxhash64(h))
-    return F.sort_array(F.when(F.size(hashes) >= 2 * K, found).otherwise(single))
+
+def with_anchors(df: DataFrame, hashes: Column, name: str) -> DataFrame:
+    """``df`` with the positions and hashes of the anchors among tokens. Each step is a column of its own, so that none is computed twice."""
+    kept = df.columns
+    df = df.withColumn("_tokens", hashes)
+    df = df.withColumn("_runs", inner(F.col("_tokens")))
+    df = df.withColumn(f"{name}_places", anchors(F.col("_tokens"), F.col("_runs")))
+    df = df.withColumn(f"{name}_hashes", anchor_hashes(F.col("_runs"), F.col(f"{name}_places")))
+    return df.select(*[col(c) for c in kept], f"{name}_places", f"{name}_hashes")
 
 
 def with_sketch(df: DataFrame, text: Column, name: str) -> DataFrame:
-    """``df`` with the sketch of ``text``. Each step is a column of its own, so that none is computed twice."""
+    """``df`` with the sketch of ``text``: the hashes of all its anchors in order, one for each position."""
     kept = df.columns
-    df = df.withColumn("_tokens", tokens(text))
-    df = df.withColumn("_runs", inner(F.col("_tokens")))
-    df = df.withColumn("_places", anchors(F.col("_tokens"), F.col("_runs")))
-    return df.withColumn(name, sketch(F.col("_tokens"), F.col("_places"))).select(*[col(c) for c in kept], name)
+    df = with_anchors(df, tokens(text), name)
+    return df.select(*[col(c) for c in kept], F.sort_array(f"{name}_hashes").alias(name))
 
 
 def fingerprint(sketch_: Column) -> Column:
@@ -139,6 +156,18 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     whole = F.length("text")
     third = F.floor(whole / 3).cast("int")
     joined = joined.withColumn("edited", F.concat(F.left("text", whole - third), F.left("next", third)))
-    for name, of in (("sketch", "text"), ("next_sketch", "next"), ("edited_sketch", "edited")):
-        joined = with_sketch(joined, F.col(of), name)
-    return joined.drop("next").withColumnRenamed("id", id_col)
+    joined = with_sketch(joined, F.col("next"), "next_sketch")
+    joined = with_anchors(joined, tokens(F.col("text")), "own")
+    # anchors within what the edited text keeps are its own; the others lie in its end, from REACH - 1 characters before the lead on
+    head, lead = solid(F.left("text", whole - third)), solid(F.left("next", third))
+    joined = joined.withColumn("_head", F.concat(F.lit(PAD), head)).withColumn("_lead", lead)
+    blank = (F.length("_head") == len(PAD)) & (F.length("_lead") == 0)
+    end = F.when(~blank, F.concat(F.right("_head", F.lit(REACH - 1)), F.col("_lead"), F.lit(PAD))).otherwise("")
+    joined = with_anchors(joined, windows(end), "end")
+    last = F.length("_head") - REACH
+    joined = joined.withColumn("_last", last)
+    before = F.coalesce(F.size(F.filter("own_places", lambda i: i <= F.col("_last"))), F.lit(0))
+    joined = joined.withColumn("_before", F.greatest(before, F.lit(0)))
+    edited = F.sort_array(F.concat(F.slice("own_hashes", F.lit(1), F.col("_before")), F.col("end_hashes")))
+    found = joined.select("id", "text", F.sort_array("own_hashes").alias("sketch"), "next_sketch", "edited", edited.alias("edited_sketch"))
+    return found.withColumnRenamed("id", id_col)

@@ -96,3 +96,22 @@ def test_an_anchor_counts_at_each_position(spark):
     passage = texts(1, 5)[0][:200]
     assert compared(spark, passage, passage) == 1
     assert 0.2 < compared(spark, passage, " ".join([passage] * 4)) < 0.3
+
+
+def test_an_insertion_into_text_without_blanks_moves_no_anchor(spark):
+    rnd = random.Random(13)
+    for letters in ("天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往", "ABCDwxyz0189+/", "01"):
+        text = "".join(rnd.choice(letters) for _ in range(3000))
+        assert compared(spark, text, text[:5] + "*" + text[5:]) > 0.97
+
+
+@pytest.mark.parametrize("n", [2, 9, 10, 30, 60])
+def test_a_text_and_its_beginning_share_anchors_at_every_length(spark, n):
+    words = [f"{'abcdefgh'[i % 8]}{i:03d}" for i in range(n)]
+    assert compared(spark, " ".join(words), " ".join(words[:-1])) > 0.1
+
+
+def test_sketches_of_edited_texts_are_those_of_the_texts(make_docs):
+    rows = list(enumerate([*texts(40, 9), "", " \n ", "a", "ab", "abc  ", "天地玄", "x " * 50, "é😀" * 9]))
+    found = syncmers.with_sketch(syncmers.edited_neighbours(make_docs(rows)), F.col("edited"), "whole").collect()
+    assert len(found) == len(rows) and all(r.edited_sketch == r.whole for r in found)
