@@ -1,10 +1,12 @@
 """Secrets in texts: fixed patterns, and random strings told by character Markov models.
 
 Three patterns (assignments to telling names, access keys, long hex numbers)
-give the base spans. Beyond them every long run of key characters is scored by
-two first-order Markov models over characters, one trained on random strings
-and one on ordinary identifiers; runs whose log-likelihood ratio is high enough
-are added. All of it is column functions; the models are one short array.
+give the base spans. In what they leave, every run of key characters is walked
+with two first-order Markov models over characters, one trained on random
+strings and one on ordinary identifiers; stretches of a run whose log-likelihood
+ratio is high enough in its sum and its mean are added, so a key counts whatever
+path or name it is glued to. All of it is column functions; the models are one
+short array.
 """
 
 from __future__ import annotations
@@ -25,10 +27,14 @@ LEAST_ASSIGNED = 6
 KINDS = ("assign", "access", "hex", "random")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+LETTERS = 62  # of the alphabet, before the separators
 RUN = r"[A-Za-z0-9+/_=-]"
-LEAST_RUN = 20
-# mean log-likelihood ratio per pair of characters from which a run counts as random
+LEAST_RUN = 8
+# log-likelihood ratio from which a stretch counts as random: its mean per pair of characters, and its sum
 LEAST_RATIO = 0.5
+LEAST_SUM = 16.0
+# a stretch ends where the sum above the least mean has fallen by as much
+FALL = 5.0
 # counts added to each character, and weight of single characters where pairs are rare
 PRIOR = 0.5
 BACKING = 50.0
@@ -97,38 +103,112 @@ def find_secrets(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
 
     A span has kind, start and end, in code points of the whole text, end
     exclusive. Base kinds are leftmost, without overlap within a kind, over
-    whole texts; random runs that touch a base span are left out, as that span
-    stands for them. Null and empty texts have no spans; rows are kept as they
+    whole texts; random spans lie in what the base spans leave, begin and end
+    at separators (other than letters and digits), and take the ``=`` that pad a
+    run at its end. Null and empty texts have no spans; rows are kept as they
     are, and other columns of ``docs`` are not read.
     """
     rows = docs.select(col(id_col).alias("id"), text_of(text_col).alias("text"))
-    run = f"{RUN}{{{LEAST_RUN},}}"
-    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": run}
+    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
     rows = rows.withColumns({f"m_{k}": F.regexp_extract_all("text", F.lit(p), F.lit(0)) for k, p in patterns.items()})
     kept = {
         "assign": F.transform(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= LEAST_ASSIGNED),
         "access": F.transform("m_access", lambda _: F.lit(True)),
         "hex": F.transform("m_hex", lambda _: F.lit(True)),
-        "random": F.transform("m_random", lambda v: _ratio(v, model) >= LEAST_RATIO),
     }
     rows = rows.withColumns({f"k_{k}": F.when(F.size(f"m_{k}") > 0, keep) for k, keep in kept.items()})
     rows = rows.withColumns({f"b_{k}": F.when(F.size(f"m_{k}") > 0, F.split("text", p, -1)) for k, p in patterns.items()})
-    rows = rows.select("id", *[_positions(k).alias(k) for k in patterns])
+    rows = rows.select("id", "text", F.col("m_assign"), F.col("k_assign"), F.col("b_assign"), *[_positions(k).alias(k) for k in patterns])
+    # base spans give way to as many blanks: first the kept assignments, then the others
+    rows = rows.withColumn("left", F.when(F.size("m_assign") > 0, _blanked("assign")).otherwise(F.col("text"))).drop("text", "m_assign", "k_assign", "b_assign")
+    for kind in ("access", "hex"):
+        rows = rows.withColumn(f"m_{kind}", F.regexp_extract_all("left", F.lit(patterns[kind]), F.lit(0)))
+        rows = rows.withColumn(f"k_{kind}", F.transform(f"m_{kind}", lambda _: F.lit(True)))
+        rows = rows.withColumn(f"b_{kind}", F.when(F.size(f"m_{kind}") > 0, F.split("left", patterns[kind], -1)))
+        rows = rows.withColumn("left", F.when(F.size(f"m_{kind}") > 0, _blanked(kind)).otherwise(F.col("left")))
+    run = f"{RUN}{{{LEAST_RUN},}}"
+    rows = rows.withColumn("m_random", F.regexp_extract_all("left", F.lit(run), F.lit(0)))
+    rows = rows.withColumn("k_random", F.transform("m_random", lambda r: _stretches(r, model)))
+    rows = rows.withColumn("b_random", F.when(F.exists("k_random", lambda k: F.size(k) > 0), F.split("left", run, -1)))
+    rows = rows.select("id", "assign", "access", "hex", _random_positions().alias("random"))
     base = F.concat("assign", "access", "hex")
     free = F.filter("random", lambda r: ~F.exists(base, lambda b: (r["start"] < b["end"]) & (b["start"] < r["end"])))
     return rows.select(F.col("id").alias(id_col), "assign", "access", "hex", free.alias("random"))
 
 
-def _ratio(run: Column, model: Model) -> Column:
-    """Mean log-likelihood ratio of the pairs of a run."""
+def _blanked(kind: str) -> Column:
+    """The text with blanks in place of the kept matches."""
+    matches, keep = F.col(f"m_{kind}"), F.col(f"k_{kind}")
+    parts = F.transform(
+        F.col(f"b_{kind}"),
+        lambda b, i: F.concat(b, F.coalesce(F.when(F.get(keep, i), F.repeat(F.lit(" "), F.length(F.get(matches, i)))).otherwise(F.get(matches, i)), F.lit(""))),
+    )
+    return F.array_join(parts, "")
+
+
+def _with(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _stretches(run: Column, model: Model) -> Column:
+    """Random stretches of a run as (start, end), grown to the separators around them."""
     ratios, letters = model.column(), F.lit(ALPHABET)
+    none = F.from_json(F.lit("[]"), "array<struct<start: int, end: int>>")
+    names = ("at", "last", "start", "rise", "sum", "top", "top_sum", "end", "spans")
+
+    def state(*values: Column) -> Column:
+        return F.struct(*[v.alias(n) for v, n in zip(values, names)])
+
+    def ended(s: Column) -> Column:
+        return F.when(s["top_sum"] >= LEAST_SUM, F.concat(s["spans"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).otherwise(s["spans"])
+
+    zero, nought = F.lit(0), F.lit(0.0)
+
+    def step(s: Column, letter: Column) -> Column:
+        def moved(x: Column) -> Column:
+            """With the letter's place in the alphabet and the ratio of its pair, which says nothing at a separator."""
+            rise = s["rise"] + x["ratio"] - LEAST_RATIO
+            total, at = s["sum"] + x["ratio"], s["at"]
+            begun = state(at + 1, x["place"], at, nought, nought, nought, nought, at, ended(s))
+            higher = state(at + 1, x["place"], s["start"], rise, total, rise, total, at + 1, s["spans"])
+            lower = state(at + 1, x["place"], s["start"], rise, total, s["top"], s["top_sum"], s["end"], s["spans"])
+            return F.when((rise <= 0) | (s["top"] - rise > FALL), begun).when(rise > s["top"], higher).otherwise(lower)
+
+        place = F.instr(letters, letter)
+        pair = _with(place, lambda p: F.struct(p.alias("place"), F.when((s["last"] < 1) | (s["last"] > LETTERS) | (p > LETTERS), nought).otherwise(F.get(ratios, (s["last"] - 1) * len(ALPHABET) + p - 1)).alias("ratio")))
+        return _with(pair, moved)
 
-    def step(total: Column, i: Column) -> Column:
-        a = F.instr(letters, F.substring(run, i, 1))
-        b = F.instr(letters, F.substring(run, i + 1, 1))
-        return total + F.get(ratios, (a - 1) * len(ALPHABET) + b - 1)
+    begin = state(zero, zero, zero, nought, nought, nought, nought, zero, none)
+    found = F.aggregate(F.split(run, ""), begin, step, ended)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(run) - 1), F.lit(0.0), step) / (F.length(run) - 1)
+    def grown(span: Column) -> Column:
+        before = F.length(F.regexp_extract(F.reverse(F.substring(run, F.lit(1), span["start"])), "^[A-Za-z0-9]*", 0))
+        after = F.length(F.regexp_extract(F.substring(run, span["end"] + 1, F.length(run)), "^[A-Za-z0-9]*(?:={1,2}$)?", 0))
+        return F.struct((span["start"] - before).alias("start"), (span["end"] + after).alias("end"))
+
+    def joined(spans: Column, span: Column) -> Column:
+        last = F.element_at(spans, -1)
+        one = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
+        rest = F.slice(spans, F.lit(1), F.size(spans) - 1)
+        return F.when(F.size(spans) == 0, F.array(span)).when(span["start"] < last["end"], F.concat(rest, F.array(one))).otherwise(F.concat(spans, F.array(span)))
+
+    return F.aggregate(F.transform(found, grown), none, joined)
+
+
+def _random_positions() -> Column:
+    """Spans of the random stretches in the text."""
+    matches, keep, between = F.col("m_random"), F.col("k_random"), F.col("b_random")
+    none = F.from_json(F.lit("[]"), SPANS)
+
+    def step(state: Column, i: Column) -> Column:
+        start = state["at"] + F.length(F.get(between, i))
+        spans = F.transform(F.get(keep, i), lambda s: F.struct(F.lit("random").alias("kind"), (start + s["start"]).alias("start"), (start + s["end"]).alias("end")))
+        return F.struct((start + F.length(F.get(matches, i))).alias("at"), F.when(F.size(F.get(keep, i)) > 0, F.concat(state["spans"], spans)).otherwise(state["spans"]).alias("spans"))
+
+    begin = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    walked = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), begin, step)["spans"]
+    return F.when(between.isNotNull(), walked).otherwise(none)
 
 
 def _positions(kind: str) -> Column:

@@ -60,6 +60,29 @@ def test_random_spans_keep_off_base_spans(make_docs, model):
     assert line == f"random:6:46,assign:51:{51 + 46}"
 
 
+def test_keys_glued_to_ordinary_names_are_found(make_docs, model):
+    rnd = random.Random(21)
+    keys = [random_key(rnd, 24) for _ in range(60)]
+    texts = [f"see customer_name/account_interest/total_configuration={k} there" for k in keys]
+    rows = secrets.find_secrets(make_docs(list(enumerate(texts))), model).collect()
+    assert sum(keys[r.doc_id] in [texts[r.doc_id][s.start : s.end] for s in r.random] for r in rows) >= 50
+
+
+def test_a_run_around_a_base_span_keeps_the_rest(make_docs, model):
+    key = random_key(random.Random(8), 40)
+    text = f"session/{key}/token=abc123"
+    row = secrets.find_secrets(make_docs([(1, text)]), model).first()
+    assert [text[s.start : s.end] for s in row.assign] == ["token=abc123"]
+    assert [text[s.start : s.end] for s in row.random] == [key]
+
+
+def test_short_random_strings_are_told_by_their_sum(make_docs, model):
+    rnd = random.Random(31)
+    docs = [(i, f"with {random_key(rnd, 16)} in it") for i in range(100)] + [(1000 + i, w) for i, w in enumerate(["customer_name", "get_next_value", "internationalization", "responsibility"])]
+    hits = {r.doc_id for r in secrets.find_secrets(make_docs(docs), model).collect() if r.random}
+    assert len([i for i in hits if i < 1000]) >= 80 and not [i for i in hits if i >= 1000]
+
+
 def test_without_samples_nothing_is_added(spark, make_docs):
     empty = secrets.train(spark.createDataFrame([], "string string, secret boolean"))
     assert set(empty.ratios) == {0.0}
