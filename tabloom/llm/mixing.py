@@ -7,7 +7,9 @@ exponentially tilted rates, exp(tilt * size), limited to the same multiple. The
 tilt solves a convex dual with one unknown per source, found by Newton steps on
 a table of (source, size, documents); each step is one aggregate over it. Rates
 are then rounded into whole copies, carrying what rounding left over from large
-documents to smaller ones.
+documents to smaller ones: first the few documents that weigh much in a group,
+over the whole source; the rates of the others are then balanced anew to what is
+left of the target, and rounded in groups.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ STEPS = 60
 CLOSE = 1e-7
 # documents that one task rounds together; larger sources are dealt into several such groups
 GROUP = 2_000
+# part of a group's mean words from which a document is rounded over its whole source; fewer than HEAVY documents a group are
+HEAVY = 4
 
 
 def word_count(text: Column) -> Column:
@@ -147,11 +151,36 @@ def _copies(multiple: int):
             want = rate * size + carry
             copies[i] = n = min(multiple, max(0, math.floor(want / size + 0.5)))
             carry = want - n * size
-        return rows.assign(copies=copies)[["id", "source", "copies"]]
+        return rows.assign(copies=copies)[["id", "source", "size", "copies"]]
 
     return run
 
 
+def _left(first: DataFrame, sizes: DataFrame, facts: DataFrame, heavy: Column, multiple: int) -> DataFrame:
+    """New rates of the other documents of the sources in ``first``: source, found, mean and tilt, or a fixed rate."""
+    taken = first.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
+    light = (
+        sizes.withColumnRenamed("documents", "n")
+        .alias("s")
+        .join(facts.alias("f"), F.col("s.source").eqNullSafe(F.col("f.source")))
+        .where(~heavy)
+        .select("s.source", "s.size", F.col("s.n").alias("documents"))
+    )
+    light = write_table(light, "light")
+    words = light.groupBy("source").agg(F.sum(F.col("size") * F.col("documents")).alias("source_size"))
+    goals = (
+        words.alias("w")
+        .join(taken.alias("t"), F.col("w.source").eqNullSafe(F.col("t.source")))
+        .join(facts.alias("f"), F.col("w.source").eqNullSafe(F.col("f.source")))
+        .select("w.source", "w.source_size", (F.col("f.target") - F.col("t.taken")).alias("target"))
+    )
+    goals = write_table(goals, "left")
+    found = tilts(light, goals.where("target > 0"), multiple)
+    fixed = F.when(F.col("g.target") <= 0, F.lit(0.0)).when(F.col("f.tilt").isNull(), F.lit(float(multiple)))
+    joined = goals.alias("g").join(found.alias("f"), F.col("g.source").eqNullSafe(F.col("f.source")), "left")
+    return write_table(joined.select("g.source", F.lit(True).alias("found"), "f.mean", "f.tilt", fixed.alias("fixed")), "rates")
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -190,14 +219,24 @@ def mix(
     rate = F.when(F.col("tilt").isNull(), F.lit(float(multiple))).otherwise(
         F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(math.log(multiple))))
     )
+    heavy = F.col("size") * HEAVY * groups > F.col("source_size")
     dealt = (
         units.alias("u")
         .join(facts.alias("f"), F.col("u.source").eqNullSafe(F.col("f.source")))
-        .select("u.id", "u.source", "u.size", rate.alias("rate"), order_of("u").alias("order"), F.pmod(order_of("u"), groups).alias("group"))
+        .select("u.id", "u.source", "u.size", rate.alias("rate"), order_of("u").alias("order"), F.pmod(order_of("u"), groups).alias("group"), heavy.alias("heavy"))
     )
     id_type = units.schema["id"].dataType.simpleString()
     source_type = units.schema["source"].dataType.simpleString()
-    copies = dealt.groupBy("source", "group").applyInPandas(_copies(multiple), f"id {id_type}, source {source_type}, copies long")
+    kinds = f"id {id_type}, source {source_type}, size long, copies long"
+    first = write_table(dealt.where("heavy").groupBy("source").applyInPandas(_copies(multiple), kinds), "heavy")
+    others = dealt.where("NOT heavy")
+    if not first.isEmpty():
+        left = _left(first, sizes, facts, heavy, multiple)
+        names = [F.col(f"d.{c}") for c in ("id", "source", "size", "order", "group")]
+        again = F.least(F.exp(F.col("l.tilt") * F.col("d.size") / F.col("l.mean")), F.lit(float(multiple)))
+        rate = F.when(F.col("l.found").isNull(), F.col("d.rate")).otherwise(F.coalesce(F.col("l.fixed"), again))
+        others = others.alias("d").join(left.alias("l"), F.col("d.source").eqNullSafe(F.col("l.source")), "left").select(*names, rate.alias("rate"))
+    copies = others.groupBy("source", "group").applyInPandas(_copies(multiple), kinds).unionByName(first)
     copies = write_table(copies, "copies")
     ours = copies.select(F.col("id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("copies").alias("_copies"))
     facts = facts.select(F.col("source").alias("_fact_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))

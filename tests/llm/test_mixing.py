@@ -93,3 +93,17 @@ def test_an_empty_table_stays_empty(make_docs):
 def test_texts_without_words(make_docs):
     found = mixing.mix(make_docs([(1, "", "a"), (2, None, "b")])).collect()
     assert [(r.size, r.source_size, r.target, r.taken) for r in found] == [(0, 0, 0.0, 0)] * 2
+
+
+def test_one_very_long_document_in_each_group(make_docs, monkeypatch):
+    """Long documents that outweigh their group leave no error in it, and the short ones stay in the mix."""
+    monkeypatch.setattr(mixing, "GROUP", 50)
+    rnd = random.Random(17)
+    rows = [(i, "w " * rnd.randrange(1, 20), "a") for i in range(1000)] + [(1000 + i, "w " * 3000, "a") for i in range(20)]
+    rows += [(5000 + i, "w " * 60, "b") for i in range(600)] + [(9000, "w " * 100_000, "c"), *[(9001 + i, "w " * 50, "c") for i in range(800)]]
+    found = mixing.mix(make_docs(rows)).collect()
+    for source in "abc":
+        ours = [r for r in found if r.source == source]
+        assert abs(sum(r.taken for r in ours) - ours[0].target) <= 0.01 * ours[0].target, source
+    short = [r for r in found if r.source == "a" and r.doc_id < 1000]
+    assert sum(r.copies > 0 for r in short) > 100
