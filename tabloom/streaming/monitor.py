@@ -1,9 +1,9 @@
 """Monitoring totals kept up to date by a stream.
 
-The stream keeps one small state row per window and model and writes the rows
-that changed in each batch. A batch that is replayed after a failure overwrites
-its own folder, so nothing is counted twice; the totals are the newest row per
-window and model, folded together.
+Each batch of the stream writes its own totals per window and model, one small
+row each, and the totals are the sums over all batches. No window is ever closed,
+so an event counts however late it comes. A batch that is replayed after a
+failure overwrites its own folder, so nothing is counted twice.
 """
 
 from __future__ import annotations
@@ -18,11 +18,10 @@ WINDOWS = (
 )
 
 
-def window_totals(events: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
-    """Tumbling windows over a stream with ``ts, event_id, model, ok, predictions``."""
+def window_totals(events: DataFrame, width: str = "1 day") -> DataFrame:
+    """Tumbling windows over events with ``ts, event_id, model, ok, predictions``."""
     return (
         events.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", late)
         .groupBy(F.window("ts", width), "model", "ok")
         .agg(
             F.sum("predictions").alias("predictions"),
@@ -38,14 +37,14 @@ def window_totals(events: DataFrame, width: str = "1 day", late: str = "1 day")
     )
 
 
-def start(totals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Process what is there, writing changed windows batch by batch."""
+def start(events: DataFrame, path: str, checkpoint: str, width: str = "1 day") -> StreamingQuery:
+    """Process what is there, writing the totals of each batch, late events included."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        window_totals(batch, width).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
-        totals.writeStream.outputMode("update")
+        events.writeStream
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -54,11 +53,14 @@ def start(totals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def current_windows(spark: SparkSession, path: str) -> DataFrame:
-    """The newest state of every window and model."""
+    """The totals of every window and model over all batches."""
     rows = spark.read.schema(WINDOWS + ", batch bigint").option("basePath", path).parquet(path)
-    fields = [c for c in rows.columns if c not in ("window_start", "model", "ok", "batch")]
-    newest = rows.groupBy("window_start", "model", "ok").agg(F.max_by(F.struct(*fields), "batch").alias("s"))
-    return newest.select("window_start", "model", "ok", "s.*")
+    found = rows.groupBy("window_start", "model", "ok").agg(
+        F.sum("predictions").alias("predictions"),
+        F.sum("events").alias("events"),
+        F.max(F.struct("last_ts", "last_id")).alias("last"),
+    )
+    return found.select("window_start", "model", "ok", "predictions", "events", "last.last_ts", "last.last_id")
 
 
 def totals_from_windows(windows: DataFrame) -> DataFrame:
