@@ -10,7 +10,8 @@ import xxhash
 
 # Names of elements by what HTML says of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript iframe textarea title template xmp svg math canvas object audio video".split())
+RAW = frozenset("script style noscript iframe textarea title template xmp svg canvas object audio video".split())
+RAW_TO_END = frozenset("script style textarea title".split())  # the others need their end, or are read as if they were not there
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main menu nav ol p pre section summary table caption tbody td tfoot th thead tr ul head".split()
@@ -36,7 +37,13 @@ ASIDE_WORDS = frozenset(
     "footer header masthead topbar toolbar comment comments commentlist reply replies respond disqus discussion share sharing social "
     "newsletter subscribe subscription signup login search pagination pager skip paywall".split()
 )
+# labels with these words do not name the element itself, nor do labels that begin with those
+NOT_OWN = frozenset("no has with without".split())
+NOT_OWN_FIRST = frozenset("tag category cat type format post page".split())
+COMMENT_WORDS = frozenset("comment comments reply replies".split())
 MAIN = frozenset(("article", "main"))
+# how an element is set aside: by a word in its class or id, by what it is, or as an article within the former
+BY_WORD, BY_KIND, SPARE = 1, 2, 3
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)",
@@ -48,33 +55,57 @@ WORD = re.compile(r"[A-Za-z][a-z]+|[A-Z]+|[a-z]")
 
 @dataclass(slots=True)
 class Block:
-    """Text of one block: where it stands, whether that is set aside, and what part of it is links."""
+    """Text of one block: where it stands, whether that is set aside, and what part of it is links.
+
+    ``spare`` blocks are set aside too, but are the article of a page without another.
+    """
 
     path: int
     text: str
     aside: bool
     main: bool
     linked: bool
+    spare: bool = False
 
 
 def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(source)} if source.strip(" /") else {}
 
 
-def _is_aside(name: str, attributes: dict[str, str], in_main: bool) -> bool:
+def _aside(name: str, attributes: dict[str, str], in_main: bool) -> int:
+    """How an element is set aside by itself, 0 if it is not."""
     if name in ASIDE_NAMES or name == "header" and not in_main:
-        return True
+        return BY_KIND
     if name in ("html", "body"):
-        return False
+        return 0
     if attributes.get("role", "").lower() in ASIDE_ROLES or attributes.get("aria-hidden") == "true" or "hidden" in attributes:
-        return True
+        return BY_KIND
     if "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
+        return BY_KIND
+    if name == "main" or attributes.get("role") == "main" or name == "header":
+        return 0
     for label in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         words = [w.lower() for w in WORD.findall(label)]
-        if words and words[0] not in ("no", "has", "with", "without") and ASIDE_WORDS.intersection(words):
-            return name != "header" or not in_main
-    return False
+        if not words or NOT_OWN.intersection(words):
+            continue
+        if name == "article":
+            if words[0] in COMMENT_WORDS:
+                return BY_WORD
+        elif words[0] in ASIDE_WORDS or words[-1] in ASIDE_WORDS and (words[0] not in NOT_OWN_FIRST or COMMENT_WORDS.intersection(words)):
+            return BY_WORD
+    return 0
+
+
+def _inherited(parent: int, own: int, name: str, attributes: dict[str, str], in_main: bool) -> int:
+    """How an element is set aside within its parent: one set aside by a word gives way to an article in it."""
+    if parent == SPARE:
+        return BY_KIND if own else SPARE
+    if parent == BY_WORD and not own and not in_main:
+        if name == "main" or attributes.get("role") == "main":
+            return 0
+        if name == "article":
+            return SPARE
+    return max(parent, own)
 
 
 def _signature(name: str, attributes: dict[str, str]) -> str:
@@ -92,11 +123,12 @@ def read(html: str) -> tuple[list[Block], list[tuple[int, int]]]:
     blocks: list[Block] = []
     tags: list[tuple[int, int]] = []
     # name, path, set aside, within the main part, within a link
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]
     buffer: list[str] = []
     plain = False  # text outside links in the buffer
     at, end = 0, len(html)
     names: dict[tuple[int, str], int] = {}
+    endless: set[str] = set()  # raw elements without an end from here on
 
     def flush() -> None:
         nonlocal plain
@@ -105,7 +137,7 @@ def read(html: str) -> tuple[list[Block], list[tuple[int, int]]]:
             buffer.clear()
             if text:
                 _, path, aside, main, _ = stack[place()]
-                blocks.append(Block(path, text, aside, main, not plain))
+                blocks.append(Block(path, text, aside > 0, main, not plain, aside == SPARE))
         plain = False
 
     def place() -> int:
@@ -151,11 +183,14 @@ def read(html: str) -> tuple[list[Block], list[tuple[int, int]]]:
             buffer.append(" ")
             continue
         if name in RAW:
-            if not m[3].rstrip().endswith("/"):
-                tail = re.compile(rf"</{re.escape(name)}[\s/>]|\Z", re.I).search(html, at)
-                at = tail.start()
-                if at < end:
-                    at = TAG.search(html, at).end()
+            if not m[3].rstrip().endswith("/") and name not in endless:
+                tail = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(html, at)
+                if tail:
+                    at = TAG.search(html, tail.start()).end()
+                elif name in RAW_TO_END:
+                    at = end
+                else:
+                    endless.add(name)
             continue
         if name in BLOCK:
             flush()
@@ -172,7 +207,7 @@ def read(html: str) -> tuple[list[Block], list[tuple[int, int]]]:
         tags.append((path, parent[1]))
         if name in VOID:
             continue
-        aside = parent[2] or _is_aside(name, attributes, parent[3])
+        aside = _inherited(parent[2], _aside(name, attributes, parent[3]), name, attributes, parent[3])
         stack.append((name, path, aside, parent[3] or name in MAIN or attributes.get("role") == "main", parent[4] or name == "a"))
     flush()
     return blocks, tags

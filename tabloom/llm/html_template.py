@@ -46,14 +46,19 @@ def _text_token(block: Block) -> int:
     return digest(block.path, f"text {block.text}")
 
 
+def _article(left: list[Block]) -> list[str]:
+    """Texts of the article among blocks: those in it, or else all but links."""
+    inside = [b.text for b in left if b.main and not b.spare] or [b.text for b in left if b.spare]
+    return inside or [b.text for b in left if not b.linked]
+
+
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Host and page of each page, and a hash of the blocks of its article as the markup tells it."""
     for whole in batches:
         for batch in steps(whole, "html"):
             found = []
             for html in utf8(batch.column("html")).to_pylist():
-                left = [b for b in read(html)[0] if not b.aside]
-                texts = [b.text for b in left if b.main] or [b.text for b in left if not b.linked]
+                texts = _article([b for b in read(html)[0] if not b.aside or b.spare])
                 found.append(digest(len(texts), "\n".join(texts)))
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array(found, pa.int64())], ["host", "page", "content"])
 
@@ -148,10 +153,9 @@ def main_blocks(html: str, known: dict[int, tuple[int, bool]]) -> tuple[list[str
         if place > last and (whole and block.linked or not block.main):
             last = place
             dropped += 1
-        elif not block.aside:
+        elif not block.aside or block.spare:
             left.append(block)
-    inside = [b.text for b in left if b.main]
-    return inside or [b.text for b in left if not b.linked], dropped
+    return _article(left), dropped
 
 
 def extract_text(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

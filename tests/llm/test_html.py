@@ -45,6 +45,27 @@ def test_blocks(html, blocks):
     assert kept(html) == blocks
 
 
+@pytest.mark.parametrize(
+    ("html", "blocks"),
+    [
+        ("<article class='post tag-search category-promotion'><p>a</p></article>", ["a"]),
+        ("<article class='promo-story'><p>a</p></article>", ["a"]),
+        ("<div class='content-with-sidebar'><article><p>a</p></article></div>", ["a"]),
+        ("<div class='content-with-sidebar'><p>a</p></div>", ["a"]),
+        ("<div class='discussion'><article><p>a</p><div class=ad>x</div></article></div><p>out</p>", ["a"]),
+        ("<div id='sidebar-layout'><main><p>a</p></main><p>s</p></div>", ["a"]),
+        ("<article><p>a</p></article><div class=related><article><p>b</p></article></div>", ["a"]),
+        ("<article><p>a</p></article><section id=comments><article class=comment-body><p>b</p></article></section>", ["a"]),
+        ("<div class='left-sidebar'>x</div><div class='post-comments'>y</div><p>a</p>", ["a"]),
+        ("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p>", ["let x=1 be"]),
+        ("<p>a</p><object data=x><p>b</p><video src=y><p>c</p><svg><p>d", ["a", "b", "c", "d"]),
+        ("<p>a</p><video>no</video><p>b</p><style>p{}<p>c", ["a", "b"]),
+    ],
+)
+def test_words_and_raw_elements_leave_the_article(html, blocks):
+    assert kept(html) == blocks
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='a'>", "</div>", "<b>", "text ", "&lt;", "<li", "<!--", "-->", '"', "'", "<script>", "</script>", "<br/>", ">", "é"]), max_size=25))
 def test_any_markup_is_read(parts):
