@@ -165,9 +165,9 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     end = F.when(~blank, F.concat(F.right("_head", F.lit(REACH - 1)), F.col("_lead"), F.lit(PAD))).otherwise("")
     joined = with_anchors(joined, windows(end), "end")
     last = F.length("_head") - REACH
-    joined = joined.withColumn("_last", last)
-    before = F.coalesce(F.size(F.filter("own_places", lambda i: i <= F.col("_last"))), F.lit(0))
-    joined = joined.withColumn("_before", F.greatest(before, F.lit(0)))
+    # positions up to the last one, counted outside a lambda, which would measure the text for each of them
+    found = F.array_position(F.sort_array(F.array_append("own_places", last)), last) - 1 + F.array_contains("own_places", last).cast("int")
+    joined = joined.withColumn("_before", F.coalesce(found, F.lit(0)).cast("int"))
     edited = F.sort_array(F.concat(F.slice("own_hashes", F.lit(1), F.col("_before")), F.col("end_hashes")))
     found = joined.select("id", "text", F.sort_array("own_hashes").alias("sketch"), "next_sketch", "edited", edited.alias("edited_sketch"))
     return found.withColumnRenamed("id", id_col)
