@@ -71,14 +71,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited form, and their likeness."""
     found = syncmers.edited_neighbours(table(spark, sf_dir, "documents"))
+    found = syncmers.with_likeness(found, "sketch", "edited_sketch", "near_edited")
+    found = syncmers.with_likeness(found, "sketch", "next_sketch", "near_next")
     return found.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         syncmers.fingerprint(F.col("sketch")).alias("fingerprint"),
         syncmers.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
-        syncmers.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        syncmers.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        "near_edited",
+        "near_next",
     )
 
 

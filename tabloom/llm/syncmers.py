@@ -1,15 +1,20 @@
 """Document fingerprints from closed syncmers.
 
-A text without its white space, with ``W + K - 2`` blanks before and after it,
-becomes tokens: its windows of ``W`` characters, one from each character on. Of
-every ``K`` tokens in a row the ``K - S + 1`` inner runs of ``S`` tokens are
-hashed; the K-mer is an anchor (a closed syncmer) if the least of those hashes
-belongs to the first or the last of them. So anchors are of one kind for texts
-of every length and script. Whether a K-mer is one depends on
-its own tokens only, so an edit moves no anchor outside its reach. Likeness is
-the share of common anchors among all anchors of both texts, where an anchor
-counts at each of its positions and is matched once. The printed fingerprint is
-the least hashes of the anchors. All of it is column functions.
+A text becomes tokens cut by its content: at white space, after a few characters
+of every kind (so that text without blanks is cut as well, and again at the same
+places after an edit), and after ``LONGEST`` characters. With empty tokens before
+and after it, every ``K`` tokens in a row are a K-mer, and every ``S`` of them an
+inner run. A K-mer is an anchor (a closed syncmer) if the least hash of its
+``K - S + 1`` inner runs belongs to the first or the last of them. Whether a K-mer
+is one depends on its own tokens only, so an edit moves no anchor outside its
+reach, and one of ``K - S`` K-mers in a row is an anchor at least. Texts of every
+length and script have anchors of one kind.
+
+A fingerprint lists all anchors of a text in order, each with a hash of its tokens
+and the distance to the one before, and so their positions. Two fingerprints are
+matched by position: common anchors tell by how much one text is shifted against
+the other (the median of their offsets), and those are matched, each once, that
+agree with that shift but for a band. All of it is column functions.
 """
 
 from __future__ import annotations
@@ -21,106 +26,131 @@ from tabloom.llm.common import col, text_of
 from tabloom.operators.ordering import numbered
 from tabloom.session import write_table
 
-SPACE = r"[\x20\x09-\x0D]+"
-W, K, S = 8, 8, 5
-# characters of a K-mer; windows that overlap by S - 1 make a run or a K-mer from its first and last
-REACH = W + K - 1
-PAD = " " * (REACH - 1)
-KEPT = 48
+# White space, and the characters that end a token: some letters and digits,
+# marks on letters, and every letter of scripts from U+2E80 on, which are written without blanks.
+SPACE = r"\x20\x09-\x0D"
+ENDS = r"!-,./:-@\[-`{-~037jkqvxzJKQVXZ\p{M}\x{2E80}-\x{10FFFF}"
+LONGEST = 32
+TOKEN = rf"[^{SPACE}{ENDS}]{{0,{LONGEST - 1}}}[{ENDS}]|[^{SPACE}{ENDS}]{{1,{LONGEST}}}"
+K, S = 12, 2
 DIGITS = 8
+# positions agree within this many tokens, and this part of the longer text
+NEAR, PART = 16, 8
+# an anchor is one long: 31 bits of its hash, 31 bits of its position (with room to shift it both ways), and the side it is on
+ROOM = 1 << 29
+HASH = (1 << 31) - 1
 
 
-def solid(text: Column) -> Column:
-    """A text without its white space."""
-    return F.regexp_replace(text, SPACE, "")
-
-
-def windows(padded: Column) -> Column:
-    """Hashes of the ``W`` characters from each character on."""
-    return F.transform(F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{W}}}))."), F.lit(1)), lambda t: F.xxhash64(t))
+def tokens(text: Column) -> Column:
+    """Tokens of a text in order, none empty."""
+    return F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
 
 
-def tokens(text: Column) -> Column:
-    """Hashes of the tokens of a text, in order; none if it is blank."""
-    inside = solid(text)
-    return windows(F.when(F.length(inside) > 0, F.concat(F.lit(PAD), inside, F.lit(PAD))).otherwise(""))
+def padded(tokens_: Column) -> Column:
+    """Tokens with empty ones around them; none if there are none."""
+    edge = F.array_repeat(F.lit(""), K - 1)
+    return F.when(F.size(tokens_) > 0, F.concat(edge, tokens_, edge)).otherwise(tokens_)
 
 
-def inner(hashes: Column) -> Column:
-    """Hashes of all runs of ``S`` tokens."""
-    at = F.sequence(F.lit(0), F.size(hashes) - S)
-    return F.when(F.size(hashes) >= K, F.transform(at, lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + S - 1))))
+def inner(tokens_: Column) -> Column:
+    """Hashes of all runs of ``S`` tokens, by the first of them; the last ``S - 1`` reach beyond the end and are not used."""
+    return F.transform(tokens_, lambda t, i: F.xxhash64(t, *[F.get(tokens_, i + j) for j in range(1, S)]))
 
 
-def anchors(hashes: Column, runs: Column) -> Column:
-    """Positions (first token) of the closed syncmers of a text."""
+def places(runs: Column) -> Column:
+    """Positions (first token) of the closed syncmers of a text with these runs."""
     last = K - S
-    at = F.sequence(F.lit(0), F.size(hashes) - K)
 
     def closed(i: Column) -> Column:
-        edge = F.least(F.get(runs, i), F.get(runs, i + last))
-        return edge <= F.least(*[F.get(runs, i + j) for j in range(1, last)])
+        return F.least(F.get(runs, i), F.get(runs, i + last)) <= F.least(*[F.get(runs, i + j) for j in range(1, last)])
 
-    return F.when(F.size(hashes) >= K, F.filter(at, closed))
+    return F.when(F.size(runs) >= K, F.filter(F.sequence(F.lit(0), F.size(runs) - K), closed)).otherwise(F.array().cast("array<int>"))
 
 
-def anchor_hashes(runs: Column, places: Column) -> Column:
-    """The hashes of all anchors, by position; a K-mer is told by its first and last run."""
-    return F.coalesce(F.transform(places, lambda i: F.xxhash64(F.get(runs, i), F.get(runs, i + K - S))), F.array().cast("array<long>"))
+def anchors(runs: Column, places_: Column) -> Column:
+    """Hash and position of each anchor, in order, as one long."""
 
+    def packed(i: Column) -> Column:
+        whole = F.xxhash64(*[F.get(runs, i + j) for j in range(0, K - S + 1, S)])
+        return F.shiftleft(whole.bitwiseAND(F.lit(HASH)), 32) + (i.cast("long") + ROOM) * 2
+
+    return F.transform(places_, packed)
 
-def with_anchors(df: DataFrame, hashes: Column, name: str) -> DataFrame:
-    """``df`` with the positions and hashes of the anchors among tokens. Each step is a column of its own, so that none is computed twice."""
-    kept = df.columns
-    df = df.withColumn("_tokens", hashes)
-    df = df.withColumn("_runs", inner(F.col("_tokens")))
-    df = df.withColumn(f"{name}_places", anchors(F.col("_tokens"), F.col("_runs")))
-    df = df.withColumn(f"{name}_hashes", anchor_hashes(F.col("_runs"), F.col(f"{name}_places")))
-    return df.select(*[col(c) for c in kept], f"{name}_places", f"{name}_hashes")
+
+def position(anchor: Column) -> Column:
+    return F.shiftright(anchor, 1).bitwiseAND(F.lit(HASH)) - ROOM
 
 
 def with_sketch(df: DataFrame, text: Column, name: str) -> DataFrame:
-    """``df`` with the sketch of ``text``: the hashes of all its anchors in order, one for each position."""
+    """``df`` with the sketch of ``text``: all its anchors in order. Each step is a column of its own, so that none is computed twice."""
     kept = df.columns
-    df = with_anchors(df, tokens(text), name)
-    return df.select(*[col(c) for c in kept], F.sort_array(f"{name}_hashes").alias(name))
+    t, r, p = (f"_{name}_{c}" for c in "trp")
+    df = df.withColumn(t, tokens(text))
+    df = df.withColumn(t, padded(F.col(t)))
+    df = df.withColumn(r, inner(F.col(t)))
+    df = df.withColumn(p, places(F.col(r)))
+    return df.select(*[col(c) for c in kept], anchors(F.col(r), F.col(p)).alias(name))
 
 
 def fingerprint(sketch_: Column) -> Column:
-    """The ``KEPT`` least of the hashes (their last ``DIGITS`` digits) as hex, in order."""
-    least = F.slice(F.sort_array(F.array_distinct(F.transform(sketch_, lambda h: h.bitwiseAND(F.lit((1 << 4 * DIGITS) - 1))))), 1, KEPT)
-    return F.array_join(F.transform(least, lambda h: F.lpad(F.lower(F.hex(h)), DIGITS, "0")), "")
-
-
-def _again(sketch_: Column) -> Column:
-    """The hashes of a sketch without the first of each kind."""
-    return F.filter(sketch_, lambda h, i: h == F.get(sketch_, i - 1))
+    """A sketch in print: of each anchor the distance to the one before (or to the beginning) and the hash, in hexadecimal digits."""
 
+    def printed(anchor: Column, i: Column) -> Column:
+        gap = position(anchor) - F.when(i > 0, position(F.get(sketch_, i - 1))).otherwise(F.lit(0))
+        # the distance is less than 16
+        return F.lower(F.lpad(F.hex(F.shiftright(anchor, 32) + F.shiftleft(gap, 32)), DIGITS + 1, "0"))
 
-def _paired(a: Column, b: Column) -> Column:
-    """How many hashes of ``a`` have one of ``b`` of their own: both in one order, the last bit tells them apart."""
-    both = F.sort_array(F.concat(F.transform(a, lambda h: h.bitwiseAND(F.lit(-2))), F.transform(b, lambda h: h.bitwiseOR(F.lit(1)))))
+    return F.array_join(F.transform(sketch_, printed), "")
 
-    def step(state: Column, h: Column) -> Column:
-        kind = h.bitwiseAND(F.lit(-2))
-        waiting = F.when(kind == state["kind"], state["waiting"]).otherwise(F.lit(0))
-        ours, match = h == kind, (h != kind) & (waiting > 0)
-        waiting = F.when(ours, waiting + 1).when(match, waiting - 1).otherwise(waiting)
-        pairs = F.when(match, state["pairs"] + 1).otherwise(state["pairs"])
-        return F.struct(kind.alias("kind"), waiting.alias("waiting"), pairs.alias("pairs"))
 
-    begin = F.struct(F.lit(0).cast("long").alias("kind"), F.lit(0).alias("waiting"), F.lit(0).alias("pairs"))
-    return F.aggregate(both, begin, step)["pairs"]
+def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """``df`` with the likeness of two sketches: matched anchors among all of both, 1 if both are empty.
 
-
-def likeness(a: Column, b: Column) -> Column:
-    """Share of common anchors among all of both sketches (columns of a table); 1 if both are empty.
-
-    An anchor that occurs at several positions is matched as often as both have it.
+    Anchors match if their hashes agree and their positions do, once the median
+    offset of common anchors is taken off, within ``NEAR`` tokens and a
+    ``PART``-th of the longer text; each is matched once.
     """
-    common = F.size(F.array_intersect(a, b)) + _paired(_again(a), _again(b))
-    every = F.size(a) + F.size(b)
-    return F.when(every == 0, F.lit(1.0)).otherwise(common / (every - common))
+    kept = df.columns
+    x, y = col(a), col(b)
+    m, d = f"_{name}_m", f"_{name}_d"
+    # common hashes stand next to each other, by position
+    df = df.withColumn(m, F.sort_array(F.concat(x, F.transform(y, lambda v: v + 1))))
+    merged = col(m)
+
+    def apart(v: Column, i: Column) -> Column:
+        """Whether the next anchor has the same hash and is on the other side."""
+        following = F.get(merged, i + 1)
+        return (F.shiftright(following, 32) == F.shiftright(v, 32)) & ((following - v).bitwiseAND(F.lit(1)) == 1)
+
+    def pairs() -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(merged) - 2), lambda i: apart(F.get(merged, i), i))
+        # position on the second side less that on the first
+        sided = lambda v, w: F.when(v.bitwiseAND(F.lit(1)) == 0, position(w) - position(v)).otherwise(position(v) - position(w))
+        return F.sort_array(F.transform(at, lambda i: sided(F.get(merged, i), F.get(merged, i + 1))))
+
+    offsets = F.when(F.size(merged) > 1, pairs()).otherwise(F.array().cast("array<long>"))
+    df = df.withColumn(d, offsets)
+    df = df.withColumn(d, F.get(d, F.floor(F.size(d) / 2).cast("int")))
+    shift = col(d)
+    aligned = F.when(shift == 0, merged).otherwise(F.sort_array(F.concat(x, F.transform(y, lambda v: v + 1 - shift * 2))))
+    end = lambda s: F.coalesce(position(F.element_at(s, -1)), F.lit(0))
+    reach = f"_{name}_w"
+    df = df.withColumn(reach, 2 * (F.lit(NEAR) + F.floor(F.greatest(F.when(F.size(x) > 0, end(x)), F.when(F.size(y) > 0, end(y)), F.lit(0)) / PART)) + 1)
+    width = col(reach)
+
+    def step(state: Column, v: Column) -> Column:
+        gap = v - state["waiting"]
+        met = (gap <= width) & (gap.bitwiseAND(F.lit(1)) == 1)
+        none = F.struct(F.lit(-1).cast("long").alias("waiting"), (state["n"] + 1).alias("n"))
+        return F.when(met, none).otherwise(F.struct(v.alias("waiting"), state["n"].alias("n")))
+
+    begin = F.struct(F.lit(-1).cast("long").alias("waiting"), F.lit(0).alias("n"))
+    common = F.when(shift.isNull(), F.lit(0)).otherwise(F.aggregate(aligned, begin, step)["n"])
+    every = F.size(x) + F.size(y)
+    n = f"_{name}_n"
+    df = df.withColumn(n, common)
+    found = F.when(every == 0, F.lit(1.0)).otherwise(F.col(n) / (every - F.col(n)))
+    return df.select(*[col(c) for c in kept], found.alias(name))
 
 
 def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,28 +176,16 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     links = placed.join(after, F.col("at") % F.lit(max(counted.n, 1)) + 1 == F.col("next_at"))
     links = write_table(links.select("id", "k", "h", "next_k", "next_h"), "links")
 
-    # both joins take the same columns of the texts, so that one exchange serves them; anchors are larger than texts and made after it
-    texts = keyed.drop("id")
+    # each text is worked on once, before both joins, which take the same columns of it, so that one exchange serves them
+    texts = with_sketch(keyed.drop("id"), F.col("text"), "sketch")
     following = (F.col("l.next_k") == F.col("t.k")) & (F.col("l.next_h") == F.col("t.h"))
-    given = links.alias("l").join(texts.alias("t"), following).select("l.id", "l.k", "l.h", F.col("t.text").alias("next"))
+    given = links.alias("l").join(texts.alias("t"), following)
+    given = given.select("l.id", "l.k", "l.h", F.col("t.text").alias("next"), F.col("t.sketch").alias("next_sketch"))
     if (counted.rows or 1) > 1:
         given = given.dropDuplicates(["k", "h"])
-    joined = texts.join(given, ["k", "h"]).select("id", "text", "next")
+    joined = texts.join(given, ["k", "h"]).select("id", "text", "sketch", "next", "next_sketch")
     whole = F.length("text")
     third = F.floor(whole / 3).cast("int")
     joined = joined.withColumn("edited", F.concat(F.left("text", whole - third), F.left("next", third)))
-    joined = with_sketch(joined, F.col("next"), "next_sketch")
-    joined = with_anchors(joined, tokens(F.col("text")), "own")
-    # anchors within what the edited text keeps are its own; the others lie in its end, from REACH - 1 characters before the lead on
-    head, lead = solid(F.left("text", whole - third)), solid(F.left("next", third))
-    joined = joined.withColumn("_head", F.concat(F.lit(PAD), head)).withColumn("_lead", lead)
-    blank = (F.length("_head") == len(PAD)) & (F.length("_lead") == 0)
-    end = F.when(~blank, F.concat(F.right("_head", F.lit(REACH - 1)), F.col("_lead"), F.lit(PAD))).otherwise("")
-    joined = with_anchors(joined, windows(end), "end")
-    last = F.length("_head") - REACH
-    # positions up to the last one, counted outside a lambda, which would measure the text for each of them
-    found = F.array_position(F.sort_array(F.array_append("own_places", last)), last) - 1 + F.array_contains("own_places", last).cast("int")
-    joined = joined.withColumn("_before", F.coalesce(found, F.lit(0)).cast("int"))
-    edited = F.sort_array(F.concat(F.slice("own_hashes", F.lit(1), F.col("_before")), F.col("end_hashes")))
-    found = joined.select("id", "text", F.sort_array("own_hashes").alias("sketch"), "next_sketch", "edited", edited.alias("edited_sketch"))
-    return found.withColumnRenamed("id", id_col)
+    joined = with_sketch(joined.drop("next"), F.col("edited"), "edited_sketch")
+    return joined.select(F.col("id").alias(id_col), "text", "edited", "sketch", "edited_sketch", "next_sketch")
