@@ -53,11 +53,16 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 WORD = re.compile(r"[A-Za-z][a-z]+|[A-Z]+|[a-z]")
 
 
+# elements that can hold a whole article
+HOLDERS = frozenset("html body main article section div center table tbody tr td blockquote details dl ul ol form fieldset".split())
+
+
 @dataclass(slots=True)
 class Block:
     """Text of one block: where it stands, whether that is set aside, and what part of it is links.
 
     ``spare`` blocks are set aside too, but are the article of a page without another.
+    ``worded`` ones are set aside by a word in a label only.
     """
 
     path: int
@@ -66,6 +71,17 @@ class Block:
     main: bool
     linked: bool
     spare: bool = False
+    worded: bool = False
+    links: int = 0  # characters of the text inside links, about
+
+
+@dataclass(slots=True)
+class Tag:
+    """An element of a page: its path names it and those around it."""
+
+    path: int
+    parent: int
+    holder: bool
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -118,27 +134,28 @@ def digest(parent: int, what: str) -> int:
     return found - (1 << 64) if found >> 63 else found
 
 
-def read(html: str) -> tuple[list[Block], list[tuple[int, int]]]:
-    """The blocks of a page in order, and its opening tags as (path, path of the parent)."""
+def read(html: str) -> tuple[list[Block], list[Tag]]:
+    """The blocks of a page in order, and its opening tags."""
     blocks: list[Block] = []
-    tags: list[tuple[int, int]] = []
+    tags: list[Tag] = []
     # name, path, set aside, within the main part, within a link
     stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]
     buffer: list[str] = []
-    plain = False  # text outside links in the buffer
+    plain, links = False, 0  # whether the buffer has text outside links, and characters inside them
     at, end = 0, len(html)
     names: dict[tuple[int, str], int] = {}
     endless: set[str] = set()  # raw elements without an end from here on
 
     def flush() -> None:
-        nonlocal plain
+        nonlocal plain, links
         if buffer:
             text = " ".join("".join(buffer).split())
             buffer.clear()
             if text:
                 _, path, aside, main, _ = stack[place()]
-                blocks.append(Block(path, text, aside > 0, main, not plain, aside == SPARE))
-        plain = False
+                inside = min(links, len(text)) if plain else len(text)
+                blocks.append(Block(path, text, aside > 0, main, not plain, aside == SPARE, aside in (BY_WORD, SPARE), inside))
+        plain, links = False, 0
 
     def place() -> int:
         """The innermost open block element."""
@@ -148,9 +165,12 @@ def read(html: str) -> tuple[list[Block], list[tuple[int, int]]]:
         return 0
 
     def write(text: str) -> None:
-        nonlocal plain
+        nonlocal plain, links
         buffer.append(unescape(text) if "&" in text else text)
-        plain = plain or (not stack[-1][4] and not text.isspace())
+        if stack[-1][4]:
+            links += len(text)
+        else:
+            plain = plain or not text.isspace()
 
     def close(names_: frozenset | set, borders: frozenset | set) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -204,7 +224,7 @@ def read(html: str) -> tuple[list[Block], list[tuple[int, int]]]:
         path = names.get(key)
         if path is None:
             path = names[key] = digest(*key)
-        tags.append((path, parent[1]))
+        tags.append(Tag(path, parent[1], name in HOLDERS))
         if name in VOID:
             continue
         aside = _inherited(parent[2], _aside(name, attributes, parent[3]), name, attributes, parent[3])
