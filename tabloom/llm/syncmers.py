@@ -32,7 +32,7 @@ SPACE = r"\x20\x09-\x0D"
 ENDS = r"!-,./:-@\[-`{-~037jkqvxzJKQVXZ\p{M}\x{2E80}-\x{10FFFF}"
 LONGEST = 32
 TOKEN = rf"[^{SPACE}{ENDS}]{{0,{LONGEST - 1}}}[{ENDS}]|[^{SPACE}{ENDS}]{{1,{LONGEST}}}"
-K, S = 12, 2
+K, S = 14, 2
 DIGITS = 8
 # positions agree within this many tokens, and this part of the longer text
 NEAR, PART = 16, 8
@@ -168,24 +168,24 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     plain = docs.select(col(id_col).alias("id"), text.alias("text"))
     # a key without nulls; the hash tells a null id from the number that stands for it
     keyed = plain.select("id", F.coalesce(F.col("id").cast("long"), F.lit(-(2**63))).alias("k"), F.xxhash64("id", "text").alias("h"), "text")
-    keys = write_table(keyed.groupBy("id", "k", "h").agg(F.count("*").alias("rows")), "keys")
+    third = F.floor(F.length("text") / 3).cast("int")
+    keys = write_table(keyed.groupBy("id", "k", "h").agg(F.count("*").alias("rows"), F.max(third).alias("third")), "keys")
     counted = keys.agg(F.count("*").alias("n"), F.max("rows").alias("rows")).first()
     placed = numbered(keys, [], [F.col("id").desc_nulls_last(), F.col("h").desc()], "at", small_rows=0)
-    placed = write_table(placed.select("id", "k", "h", "at"), "order")
+    placed = write_table(placed.select("id", "k", "h", "third", "at"), "order")
     after = placed.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("at").alias("next_at"))
     links = placed.join(after, F.col("at") % F.lit(max(counted.n, 1)) + 1 == F.col("next_at"))
-    links = write_table(links.select("id", "k", "h", "next_k", "next_h"), "links")
+    links = write_table(links.select("id", "k", "h", "third", "next_k", "next_h"), "links")
 
-    # each text is worked on once, before both joins, which take the same columns of it, so that one exchange serves them
+    # each text is worked on once, before both joins, which take the same columns of it, so that one exchange serves them;
+    # of the next text no more goes on than its sketch and the part that is wanted
     texts = with_sketch(keyed.drop("id"), F.col("text"), "sketch")
     following = (F.col("l.next_k") == F.col("t.k")) & (F.col("l.next_h") == F.col("t.h"))
     given = links.alias("l").join(texts.alias("t"), following)
-    given = given.select("l.id", "l.k", "l.h", F.col("t.text").alias("next"), F.col("t.sketch").alias("next_sketch"))
+    given = given.select("l.id", "l.k", "l.h", "l.third", F.left("t.text", F.col("l.third")).alias("lead"), F.col("t.sketch").alias("next_sketch"))
     if (counted.rows or 1) > 1:
         given = given.dropDuplicates(["k", "h"])
-    joined = texts.join(given, ["k", "h"]).select("id", "text", "sketch", "next", "next_sketch")
-    whole = F.length("text")
-    third = F.floor(whole / 3).cast("int")
-    joined = joined.withColumn("edited", F.concat(F.left("text", whole - third), F.left("next", third)))
-    joined = with_sketch(joined.drop("next"), F.col("edited"), "edited_sketch")
+    joined = texts.join(given, ["k", "h"]).select("id", "text", "sketch", "third", "lead", "next_sketch")
+    joined = joined.withColumn("edited", F.concat(F.left("text", F.length("text") - F.col("third")), F.col("lead"))).drop("third", "lead")
+    joined = with_sketch(joined, F.col("edited"), "edited_sketch")
     return joined.select(F.col("id").alias(id_col), "text", "edited", "sketch", "edited_sketch", "next_sketch")
