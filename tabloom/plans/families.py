@@ -9,12 +9,11 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     NaiveBayes,
@@ -22,10 +21,11 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import SQLTransformer
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.operators.boosting import Settings, fit_boosted
 from tabloom.operators.detection import CLASSIFICATION
 from tabloom.operators.kernel import FourierMap, scaled_gamma
 from tabloom.operators.neighbours import Neighbours
@@ -49,6 +49,7 @@ class Options:
     rounds: int = 200
     forest_depth: int = 16
     boosted_depth: int = 6
+    boosted_leaves: int = 31
     fourier_features: int = 256
     kernel_iterations: int = 100
     neighbours: int = 5
@@ -73,6 +74,7 @@ Fit = Callable[[DataFrame, Context, dict[str, Any]], Any]
 class Family:
     name: str
     fit: Fit
+    leafy: bool | None = None  # boosted trees: best leaf first, or level by level
 
     def __call__(self, df: DataFrame, context: Context, params: dict[str, Any] | None = None) -> Any:
         return self.fit(df, context, params or {})
@@ -118,25 +120,24 @@ def _forest(classifier: bool) -> Fit:
     return fit
 
 
+def boosted_settings(leafy: bool, options: Options, params: dict[str, Any]) -> Settings:
+    """Trees grown level by level, or best leaf first; ``params`` come under MLlib's names."""
+    if leafy:
+        own = Settings(options.rounds, 0.05, 0, options.boosted_leaves, penalty=0.0, least_weight=1e-3, least_rows=20, seed=options.seed)
+    else:
+        own = Settings(options.rounds, 0.05, options.boosted_depth, rows_share=0.9, columns_share=0.9, seed=options.seed)
+    names = {"maxIter": "rounds", "maxDepth": "depth", "stepSize": "rate", "subsamplingRate": "rows_share", "leaves": "leaves"}
+    changed = {names[k]: v for k, v in params.items() if k in names}
+    if "featureSubsetStrategy" in params:
+        share = params["featureSubsetStrategy"]
+        changed["columns_share"] = 1.0 if share == "all" else float(share)
+    return replace(own, **changed)
+
+
 def _boosted(classifier: bool, leafy: bool) -> Fit:
     def fit(df, context, params):
-        settings = {
-            "maxIter": context.options.rounds,
-            # 31 leaves need five levels
-            "maxDepth": min(5, context.options.boosted_depth) if leafy else context.options.boosted_depth,
-            "stepSize": 0.05,
-            "seed": context.options.seed,
-        }
-        if not leafy:
-            settings |= {"subsamplingRate": 0.9, "featureSubsetStrategy": "0.9"}
-        settings |= params
-        if not classifier:
-            return GBTRegressor(**_columns(**settings)).fit(df)
-        booster = GBTClassifier(**_columns(**settings))
-        if context.classes <= 2:
-            return booster.fit(df)
-        several = OneVsRest(**_columns(classifier=booster, parallelism=context.options.parallelism))
-        return several.fit(df)
+        settings = boosted_settings(leafy, context.options, params)
+        return fit_boosted({0: df}, LABEL, context.classes if classifier else 0, settings)[0]
 
     return fit
 
@@ -206,16 +207,16 @@ CLASSIFIERS = (
     Family("KernelSVC", _kernel_svc),
     Family("KNN", _neighbours),
     Family("NaiveBayes", _naive_bayes),
-    Family("BoostedTreesClassifier", _boosted(True, False)),
-    Family("LeafyBoostedTreesClassifier", _boosted(True, True)),
+    Family("BoostedTreesClassifier", _boosted(True, False), False),
+    Family("LeafyBoostedTreesClassifier", _boosted(True, True), True),
 )
 REGRESSORS = (
     Family("LinearRegression", _linear),
     Family("RandomForestRegressor", _forest(False)),
     Family("KernelHuber", _kernel_huber),
     Family("KNNRegressor", _neighbours),
-    Family("BoostedTreesRegressor", _boosted(False, False)),
-    Family("LeafyBoostedTreesRegressor", _boosted(False, True)),
+    Family("BoostedTreesRegressor", _boosted(False, False), False),
+    Family("LeafyBoostedTreesRegressor", _boosted(False, True), True),
 )
 # the small registry of the hold-out comparison
 HOLDOUT = {
