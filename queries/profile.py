@@ -61,11 +61,11 @@ CELLS = f"SELECT 2 * count(*) - count(quantity) - count(flag) AS missing_cells F
 
 
 def duplicate_rows(spark, sf):
-    return profiling.duplicate_rows(mixed(spark, sf).select("quantity", "l_discount", "flag", "l_linestatus"))
+    return profiling.duplicate_rows(mixed(spark, sf))
 
 
 DUPLICATES = f"""SELECT sum(n - 1)::BIGINT AS duplicate_rows FROM (SELECT count(*) AS n FROM {MIXED_SQL}
-  GROUP BY quantity, l_discount, flag, l_linestatus)"""
+  GROUP BY {', '.join(MIXED_COLUMNS)})"""
 
 
 def target_summary(spark, sf):

@@ -239,8 +239,10 @@ def _problem_sql(cardinality: bool) -> str:
         rule = f"CASE WHEN count(DISTINCT {c}) < 20 THEN 'classification' ELSE '{by_type}' END"
         return rule if cardinality else f"'{by_type}'"
 
+    # the cardinality rule counts up to its limit
+    counted = "least(count(DISTINCT {}), 20)" if cardinality else "count(DISTINCT {})"
     return " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS distinct_values, {kind(c)} AS problem_type FROM lineitem"""
+        f"""SELECT '{c}' AS "column", {counted.format(c)} AS distinct_values, {kind(c)} AS problem_type FROM lineitem"""
         for c in PROBLEM_COLUMNS
     )
 

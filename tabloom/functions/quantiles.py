@@ -1,48 +1,44 @@
-"""Exact order statistics without sorting or gathering a column.
-
-``percentile`` keeps every distinct value of a column in one aggregation
-buffer. That is fine while the buffers of a pass together hold few rows; beyond
-that the rank is bracketed by a mergeable sketch, the rows below and inside the
-bracket are counted exactly, and the bracket is narrowed until what is inside
-fits one buffer. Each round is one map-side aggregate over the whole table, so
-nothing is shuffled but one row per task.
+"""Exact order statistics by radix selection, without sorting, sketching or gathering a column.
+
+A double becomes a 64-bit key of the same order. Each pass counts, for the
+stretches of keys that still hold a wanted rank, how many keys have each of the
+next 12 bits, and the least and the largest of them; the counts tell in which
+cell a rank lies. A rank is found once its cell holds one value only, after six
+passes at most whatever the table. All columns, ranks and groups share the
+passes, and what a task holds or sends is a row per cell.
+
+The rows of "all groups but one" need no pass of their own: cells are counted by
+group, and a part leaves out those of its group.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUFFER_ROWS = 2_000_000
-SKETCH_ACCURACY = 5_000
+BITS = 12
+CELLS = 1 << BITS
 CHUNK = 150
+# columns that one pass counts together
+TOGETHER = 64
+TOP = np.uint64(1 << 63)
+NOTHING = None
 
 
-def exact_quantiles(
-    df: DataFrame,
-    values: Mapping[str, Column],
-    probabilities: Sequence[float],
-    buffer_rows: int = BUFFER_ROWS,
-    accuracy: int = SKETCH_ACCURACY,
-) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles of several expressions, exactly.
+def keys_of(x: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit keys in the order of the doubles; both zeros are one, and so are all NaN, after everything else."""
+    bits = np.where(np.isnan(x), np.nan, x + 0.0).view(np.uint64)
+    return np.where(bits & TOP, ~bits, bits | TOP)
 
-    ``values`` maps a name to a double expression (null = not counted).
-    Returns one list per name, in the order of ``probabilities``.
-    """
-    if not values:
-        return {}
-    names = {f"v{i}": name for i, name in enumerate(values)}
-    narrow = df.select(*[values[name].alias(alias) for alias, name in names.items()])
-    columns = {alias: F.col(alias) for alias in names}
-    if df.count() * len(values) <= buffer_rows:  # a pass holds the buffers of all expressions
-        found = _direct(narrow, columns, probabilities)
-    else:
-        found = _by_rank(narrow, columns, probabilities, buffer_rows, accuracy)
-    return {names[alias]: quantiles for alias, quantiles in found.items()}
+
+def value_of(key: int) -> float:
+    bits = np.array([key], np.uint64)
+    return float(np.where(bits & TOP, bits ^ TOP, ~bits).view(np.float64)[0])
 
 
 def chunked_agg(df: DataFrame, expressions: Mapping[str, Column], chunk: int = CHUNK) -> dict:
@@ -56,123 +52,161 @@ def chunked_agg(df: DataFrame, expressions: Mapping[str, Column], chunk: int = C
     return result
 
 
-def _direct(df, values, probabilities):
-    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    found = chunked_agg(df, {n: F.percentile(v, wanted) for n, v in values.items()})
-    return {n: list(q) if q is not None else [None] * len(probabilities) for n, q in found.items()}
+def exact_quantiles(df: DataFrame, values: Mapping[str, Column], probabilities: Sequence[float]) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles of several expressions, exactly.
 
+    ``values`` maps a name to a double expression (null = not counted).
+    Returns one list per name, in the order of ``probabilities``.
+    """
+    found = quantiles_without(df, values, probabilities)
+    return {name: quantiles for (_, name), quantiles in found.items()}
+
+
+def quantiles_without(
+    df: DataFrame, values: Mapping[str, Column], probabilities: Sequence[float], group: Column | None = None, parts: Sequence[int | None] = (NOTHING,)
+) -> dict[tuple, list[float | None]]:
+    """Quantiles by (part, name), where a part is all rows but those of one group (``None``: all rows)."""
 
-def _by_rank(df, values, probabilities, buffer_rows, accuracy):
-    counts = chunked_agg(df, {n: F.count(v) for n, v in values.items()})
-    wanted: dict[str, set[int]] = {}
-    for name, n in counts.items():
-        ranks = [p * (n - 1) for p in probabilities] if n else []
-        wanted[name] = {r for rank in ranks for r in (math.floor(rank), math.ceil(rank))}
-    found = order_statistics(df, values, wanted, counts, buffer_rows, accuracy)
-    result: dict[str, list[float | None]] = {}
-    for name, n in counts.items():
-        quantiles: list[float | None] = []
+    def ranks(n: int) -> set[int]:
+        wanted = [p * (n - 1) for p in probabilities] if n else []
+        return {r for rank in wanted for r in (math.floor(rank), math.ceil(rank))}
+
+    result: dict[tuple, list[float | None]] = {}
+    for key, (n, at) in ordered(df, values, ranks, group, parts).items():
+        result[key] = []
         for p in probabilities:
-            if not n:
-                quantiles.append(None)
-                continue
             rank = p * (n - 1)
-            low, high = found[name][math.floor(rank)], found[name][math.ceil(rank)]
-            quantiles.append(low + (high - low) * (rank - math.floor(rank)))
-        result[name] = quantiles
+            low, high = (at[math.floor(rank)], at[math.ceil(rank)]) if n else (None, None)
+            result[key].append(low + (high - low) * (rank - math.floor(rank)) if n and low != high else low)
     return result
 
 
-def order_statistics(df, values, wanted, counts, buffer_rows=BUFFER_ROWS, accuracy=SKETCH_ACCURACY):
+def order_statistics(df: DataFrame, values: Mapping[str, Column], wanted: Mapping[str, set[int]]) -> dict[str, dict[int, float]]:
     """Values at zero-based ranks: ``{name: {rank: value}}``."""
-    found: dict[str, dict[int, float]] = {name: {} for name in wanted}
-    # an open rank: bounds (None = unbounded), rows below the bounds, rows inside
-    open_ranks = {
-        (name, rank): (None, None, 0, counts[name]) for name, ranks in wanted.items() for rank in ranks
-    }
-    while open_ranks:
-        small, large = {}, {}
-        for key, state in open_ranks.items():
-            (small if state[3] <= buffer_rows else large)[key] = state
-        if small:
-            picks = {
-                # the half step keeps float error off the neighbouring ranks
-                key: _pick(key[0], lo, hi, (key[1] - below + 0.5) / inside)
-                for key, (lo, hi, below, inside) in small.items()
-            }
-            for part in _passes({key: small[key][3] for key in picks}, buffer_rows):
-                for (name, rank), value in chunked_agg(df, {key: picks[key] for key in part}).items():
-                    found[name][rank] = value
-        open_ranks = _narrow(df, values, large, found, accuracy) if large else {}
+    out = {}
+    for name, ranks in wanted.items():
+        out[name] = ordered(df, {name: values[name]}, lambda n, r=ranks: r)[NOTHING, name][1]
+    return out
+
+
+def ordered(
+    df: DataFrame,
+    values: Mapping[str, Column],
+    ranks: Callable[[int], set[int]],
+    group: Column | None = None,
+    parts: Sequence[int | None] = (NOTHING,),
+) -> dict[tuple, tuple[int, dict[int, float]]]:
+    """Count, and values at the zero-based ``ranks(count)``, by (part, name)."""
+    names = list(values)
+    found: dict[tuple, tuple[int, dict[int, float]]] = {}
+    groups = sorted(p for p in parts if p is not NOTHING)
+    for start in range(0, len(names), TOGETHER):
+        own = names[start : start + TOGETHER]
+        narrow = df.select(*[values[n].cast("double").alias(f"v{i}") for i, n in enumerate(own)], (group if group is not None else F.lit(0)).cast("long").alias("g"))
+        for (part, i), result in _selected(narrow, len(own), ranks, groups, parts).items():
+            found[part, own[i]] = result
+    return found
+
+
+def _selected(narrow: DataFrame, width: int, ranks, groups: list[int], parts) -> dict[tuple, tuple[int, dict[int, float]]]:
+    found: dict[tuple, tuple[int, dict[int, float]]] = {(part, i): (0, {}) for part in parts for i in range(width)}
+    # rank within its stretch, by (part, column, rank)
+    left: dict[tuple, tuple[int, int]] = {}
+    prefixes: list[set[int]] = [{0} for _ in range(width)]
+    level = 0
+    while any(prefixes):
+        cells = _cells(narrow, width, groups, level, [sorted(p) for p in prefixes])
+        if level == 0:
+            for part in parts:
+                for i in range(width):
+                    n = sum(len_ for _, len_, _, _ in _of_part(cells.get((i, 0), {}), part))
+                    found[part, i] = (n, {})
+                    left |= {(part, i, rank): (0, rank) for rank in (ranks(n) if n else ())}
+        onward: dict[tuple, tuple[int, int]] = {}
+        for (part, i, rank), (prefix, inside) in left.items():
+            for cell, n, low, high in _of_part(cells[i, prefix], part):
+                if inside < n:
+                    if low == high:
+                        found[part, i][1][rank] = value_of(low)
+                    else:
+                        onward[part, i, rank] = (_further(prefix, cell, level), inside)
+                    break
+                inside -= n
+        left = onward
+        prefixes = [set() for _ in range(width)]
+        for (_, i, _), (prefix, _) in left.items():
+            prefixes[i].add(prefix)
+        level += 1
     return found
 
 
-def _passes(rows: Mapping[tuple, int], limit: int) -> list[list[tuple]]:
-    """Keys in groups whose buffers together hold ``limit`` rows at most."""
-    groups: list[list[tuple]] = []
-    held = 0
-    for key, n in rows.items():
-        if not groups or held + n > limit:
-            groups.append([])
-            held = 0
-        groups[-1].append(key)
-        held += n
-    return groups
-
-
-def _inside(value: Column, lo: float | None, hi: float | None) -> Column:
-    if lo is None:
-        return value
-    return F.when(value.between(F.lit(lo), F.lit(hi)), value)
-
-
-def _pick(name: str, lo: float | None, hi: float | None, fraction: float) -> Column:
-    """The smallest value whose cumulative share reaches ``fraction``."""
-    inside = name if lo is None else f"CASE WHEN {name} BETWEEN double('{lo!r}') AND double('{hi!r}') THEN {name} END"
-    return F.expr(f"percentile_disc({fraction!r}D) WITHIN GROUP (ORDER BY {inside})")
-
-
-def _narrow(df, values, ranks, found, accuracy):
-    shared: dict[tuple, list[int]] = {}
-    for (name, rank), (lo, hi, below, inside) in ranks.items():
-        shared.setdefault((name, lo, hi, below, inside), []).append(rank)
-    sketches = {}
-    for group, members in shared.items():
-        name, lo, hi, below, inside = group
-        shares = [(rank - below + 0.5) / inside + side * 2.0 / accuracy for rank in members for side in (-1, 1)]
-        wanted = F.array(*[F.lit(min(1.0, max(0.0, share))) for share in shares])
-        sketches[group] = F.percentile_approx(_inside(values[name], lo, hi), wanted, accuracy)
-    edges = {}
-    for group, found_edges in chunked_agg(df, sketches).items():
-        for i, rank in enumerate(shared[group]):
-            edges[group[0], rank] = (found_edges[2 * i], found_edges[2 * i + 1])
-    tallies = {}
-    for (name, rank), (lo, hi) in edges.items():
-        tallies[(name, rank, "below")] = F.count_if(values[name] < F.lit(lo))
-        tallies[(name, rank, "low")] = F.count_if(values[name] == F.lit(lo))
-        tallies[(name, rank, "inside")] = F.count_if(values[name].between(F.lit(lo), F.lit(hi)))
-        tallies[(name, rank, "high")] = F.count_if(values[name] == F.lit(hi))
-    counted = chunked_agg(df, tallies)
-    still_open = {}
-    for (name, rank), (lo, hi) in edges.items():
-        below, low, inside, high = (counted[(name, rank, k)] for k in ("below", "low", "inside", "high"))
-        old = ranks[(name, rank)]
-        if below <= rank < below + low:
-            found[name][rank] = lo
-        elif below + inside - high <= rank < below + inside:
-            found[name][rank] = hi
-        elif below <= rank < below + inside and inside < old[3]:
-            still_open[(name, rank)] = (lo, hi, below, inside)
-        elif rank < below:  # the sketch was off: take the side that holds the rank
-            still_open[(name, rank)] = _side(df, values[name], rank, old, None, lo)
-        else:
-            still_open[(name, rank)] = _side(df, values[name], rank, old, hi, None)
-    return still_open
-
-
-def _side(df, value, rank, old, lo, hi):
-    bounds = df.agg(F.min(value), F.max(value)).first()
-    low = lo if lo is not None else (old[0] if old[0] is not None else bounds[0])
-    high = hi if hi is not None else (old[1] if old[1] is not None else bounds[1])
-    row = df.agg(F.count_if(value < F.lit(low)), F.count_if(value.between(F.lit(low), F.lit(high)))).first()
-    return (low, high, row[0], row[1])
+def _shift(level: int) -> int:
+    """Bits below those that a level tells apart."""
+    return max(0, 64 - BITS * (level + 1))
+
+
+def _further(prefix: int, cell: int, level: int) -> int:
+    return (prefix << min(BITS, 64 - BITS * level)) + cell
+
+
+def _of_part(cells: dict[int, list], part: int | None) -> list[tuple[int, int, int, int]]:
+    """Cells in order with count, least and largest key, over all groups but one."""
+    merged = []
+    for cell in sorted(cells):
+        own = [(n, low, high) for g, n, low, high in cells[cell] if part is NOTHING or g != part]
+        if own:
+            merged.append((cell, sum(n for n, _, _ in own), min(low for _, low, _ in own), max(high for _, _, high in own)))
+    return merged
+
+
+def _cells(narrow: DataFrame, width: int, groups: list[int], level: int, prefixes: list[list[int]]) -> dict[tuple, dict[int, list]]:
+    """Rows of every cell, by (column, stretch), then cell: group, count, least and largest key."""
+    known = [np.array(p, np.uint64) for p in prefixes]
+    listed = np.array(groups, np.int64)
+    kinds = len(listed) + 1  # the last one: rows of no listed group
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [np.zeros(kinds * len(k) * CELLS, np.int64) for k in known]
+        lows = [np.full(len(c), np.uint64(0xFFFFFFFFFFFFFFFF)) for c in counts]
+        highs = [np.zeros(len(c), np.uint64) for c in counts]
+        shift = np.uint64(_shift(level))
+        for batch in batches:
+            g = batch.column(width).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+            kind = np.minimum(np.searchsorted(listed, g), max(0, kinds - 2))
+            kind = np.where(listed[kind] == g, kind, kinds - 1) if len(listed) else np.zeros(len(g), np.int64)
+            for i, own in enumerate(known):
+                if not len(own):
+                    continue
+                column = batch.column(i)
+                valid = column.is_valid().to_numpy(zero_copy_only=False)
+                key = keys_of(column.fill_null(0.0).to_numpy(zero_copy_only=False)[valid])
+                of = kind[valid]
+                if level:
+                    prefix = key >> np.uint64(64 - BITS * level)
+                    place = np.minimum(np.searchsorted(own, prefix), len(own) - 1)
+                    inside = own[place] == prefix
+                    key, place, of = key[inside], place[inside], of[inside]
+                else:
+                    place = np.zeros(len(key), np.int64)
+                cell = ((key >> shift) & np.uint64((1 << min(BITS, 64 - BITS * level)) - 1)).astype(np.int64)
+                at = (of * len(own) + place) * CELLS + cell
+                counts[i] += np.bincount(at, minlength=len(counts[i]))
+                np.minimum.at(lows[i], at, key)
+                np.maximum.at(highs[i], at, key)
+        for i, own in enumerate(known):
+            used = np.flatnonzero(counts[i])
+            if len(used):
+                of, rest = np.divmod(used, len(own) * CELLS)
+                place, cell = np.divmod(rest, CELLS)
+                signed = [(a[used] ^ TOP).view(np.int64) for a in (lows[i], highs[i])]
+                columns = [np.full(len(used), i), place, cell, of, counts[i][used], *signed]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["v", "place", "cell", "kind", "n", "low", "high"])
+
+    schema = ", ".join(f"{n} long" for n in ("v", "place", "cell", "kind", "n", "low", "high"))
+    cells = narrow.mapInArrow(run, schema).groupBy("v", "place", "cell", "kind").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    out: dict[tuple, dict[int, list]] = {}
+    for r in cells.collect():  # as many rows as cells, at most
+        group = groups[r.kind] if r.kind < len(groups) else NOTHING
+        stretch = out.setdefault((r.v, prefixes[r.v][r.place]), {})
+        stretch.setdefault(r.cell, []).append((group, r.n, r.low + (1 << 63), r.high + (1 << 63)))
+    return out

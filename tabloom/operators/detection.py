@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,21 +117,48 @@ def problem_type_of(data_type: T.DataType) -> str:
     return REGRESSION if isinstance(data_type, T.NumericType) else CLASSIFICATION
 
 
+def few_values(df: DataFrame, columns: list[str], limit: int) -> DataFrame:
+    """Distinct values per column, counted up to ``limit``: ``column, distinct_values``.
+
+    A task holds and sends ``limit`` values of a column at most, whatever the
+    column holds, and looks at it no more once it has them.
+    """
+    values = [as_double(c) + F.lit(0.0) if isinstance(df.schema[c].dataType, FLOATING) else col(c) for c in columns]
+    narrow = df.select(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[set] = [set() for _ in columns]
+        for batch in batches:
+            for i, own in enumerate(held):
+                if len(own) < limit:
+                    found = pc.drop_null(pc.unique(batch.column(i)))
+                    own.update(found.slice(0, 2 * limit).to_pylist())  # enough to fill it up, whatever it holds
+        pairs = [(i, str(v)) for i, own in enumerate(held) for v in sorted(own, key=str)[:limit]]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], pa.int32()), pa.array([v for _, v in pairs], pa.string())], ["position", "value"])
+
+    found = narrow.mapInArrow(bounded, "position int, value string").distinct().groupBy("position").agg(F.count("*").alias("n"))
+    listed = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(columns)], "position int, column string")
+    return listed.join(found, "position", "left").select("column", F.least(F.coalesce("n", F.lit(0)), F.lit(limit)).cast("bigint").alias("distinct_values"))
+
+
 def problem_types(df: DataFrame, rule: str = "dtype") -> DataFrame:
-    """The problem each column would pose as a target.
+    """The problem each column would pose as a target: ``column, distinct_values, problem_type``.
 
     ``rule="dtype"`` looks at the type only; ``rule="cardinality"`` also calls
-    a number with fewer than 20 distinct values a class label.
+    a number with fewer than 20 distinct values a class label, and counts
+    distinct values up to 20 only, which takes no shuffle of the values.
     """
     columns = [c for c in df.columns if not isinstance(df.schema[c].dataType, NESTED)]
-    counts = value_counts(df, columns).where(F.col("value").isNotNull())
-    stats = counts.groupBy("column").agg(F.count("*").alias("distinct_values"))
     by_type = F.create_map(
         *[F.lit(x) for c in columns for x in (c, problem_type_of(df.schema[c].dataType))]
     )
     problem = by_type[F.col("column")]
     if rule == "cardinality":
+        stats = few_values(df, columns, CLASS_LIMIT)
         problem = F.when(F.col("distinct_values") < CLASS_LIMIT, F.lit(CLASSIFICATION)).otherwise(problem)
+    else:
+        counts = value_counts(df, columns).where(F.col("value").isNotNull())
+        stats = counts.groupBy("column").agg(F.count("*").alias("distinct_values"))
     return stats.select("column", "distinct_values", problem.alias("problem_type"))
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.columns import as_double, col, quoted, text_values
-from tabloom.functions.quantiles import exact_quantiles
+from tabloom.functions.quantiles import NOTHING, quantiles_without
 from tabloom.operators.detection import FeatureSchema, feature_schema
 
 FULL = -1
@@ -43,6 +43,7 @@ class Prep:
     fills: dict[str, float | str]
     scales: dict[str, tuple[float, float]]
     dropped: list[str] = field(default_factory=list)
+    categories: dict[str, tuple[str, list[str]]] = field(default_factory=dict)
 
 
 def fit_prep(
@@ -123,7 +124,8 @@ def build_prep(
         raise ValueError("No usable feature columns: every column is empty.")
     stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES, handleInvalid="error"))
     stages.append(SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(helpers)}) FROM __THIS__"))
-    return Prep(_with_encoder(stages, numeric, categories), names, _fills(numeric, categories), dict(scales), list(dropped))
+    known = {c: (mode, list(labels)) for c, (mode, labels) in categories.items()}
+    return Prep(_with_encoder(stages, numeric, categories), names, _fills(numeric, categories), dict(scales), list(dropped), known)
 
 
 def impute(df: DataFrame, prep: Prep) -> DataFrame:
@@ -229,13 +231,9 @@ def _numeric_fills(df, numeric, fold, parts, moments, strategy) -> dict[int, dic
     if strategy == "most_frequent":
         modes = _fold_categories(df, numeric, fold, parts, None)
         return {p: {c: float(modes[p][c][0]) if c in modes[p] else None for c in numeric} for p in parts}
-    values = {}
-    for part in parts:
-        for c in numeric:
-            x = as_double(c)
-            values[part, c] = x if part == FULL else F.when(col(fold) != part, x)
-    medians = exact_quantiles(df, values, [0.5])
-    return {part: {c: medians[part, c][0] for c in numeric} for part in parts}
+    known = {NOTHING if part == FULL else part: part for part in parts}
+    medians = quantiles_without(df, {c: as_double(c) for c in numeric}, [0.5], col(fold) if fold else None, list(known))
+    return {part: {c: medians[key, c][0] for c in numeric} for key, part in known.items()}
 
 
 def _fold_categories(df, columns, fold, parts, max_categories):

@@ -36,9 +36,7 @@ def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 42, top_r
     if n <= top_rows:
         return df.orderBy(*order).limit(n)
     hashed = df.withColumn("_hash", hash32(seed, *key).cast("double"))
-    total = hashed.count()
-    rank = {"_hash": {n - 1}}
-    cut = order_statistics(hashed, {"_hash": F.col("_hash")}, rank, {"_hash": total})["_hash"][n - 1]
+    cut = order_statistics(hashed, {"_hash": F.col("_hash")}, {"_hash": {n - 1}})["_hash"][n - 1]
     below = hashed.where(F.col("_hash") < cut)
     edge = hashed.where(F.col("_hash") == cut).orderBy(*order).limit(n - below.count())
     return below.unionByName(edge).drop("_hash")

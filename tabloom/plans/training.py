@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.columns import col, missing_to_null
+from tabloom.operators.boosting import fit_boosted
 from tabloom.operators.detection import CLASSIFICATION, FeatureSchema, feature_schema
 from tabloom.operators.folds import SEED, assign_folds
 from tabloom.operators.metrics import metric_name, score
 from tabloom.operators.prep import FEATURES, FULL, Prep, fit_fold_preps
-from tabloom.plans.families import LABEL, ROW_ID, Context, Family, Options, parameters_json, registry
+from tabloom.plans.closed import Joint, joint_fit
+from tabloom.plans.families import LABEL, NORMAL_SOLVER_WIDTH, ROW_ID, Context, Family, Options, boosted_settings, parameters_json, registry
 from tabloom.session import run_jobs, write_table
 
 FOLD = "_fold"
@@ -183,6 +185,20 @@ def fold_score(table: TrainingTable, family: Family, data: DataFrame, fold: int,
     return predicted.agg(score(table.problem_type, F.col(LABEL), F.col("prediction"))).first()[0]
 
 
+def fit_together(table: TrainingTable, name: str, family: Family, preps: dict[int, Prep], options: Options) -> Joint | None:
+    """All folds of a family in common passes: closed forms from sums, boosted trees side by side. ``None`` for other families."""
+    if family.leafy is None:
+        return joint_fit(name, table, preps, NORMAL_SOLVER_WIDTH)
+    data = {part: prepared(table, prep).persist(StorageLevel.MEMORY_AND_DISK) for part, prep in preps.items()}
+    classes = len(table.labels) if table.labels else 0
+    models = fit_boosted({p: d.where(F.col(FOLD) != p) for p, d in data.items()}, LABEL, classes, boosted_settings(family.leafy, options, {}))
+    measure = score(table.problem_type, F.col(LABEL), F.col("prediction"))
+    scores = {p: models[p].transform(d.where(F.col(FOLD) == p)).agg(measure).first()[0] for p, d in data.items() if p != FULL}
+    for d in data.values():
+        d.unpersist()
+    return Joint(scores, models[FULL])
+
+
 def train_all(
     table: TrainingTable,
     families: dict[str, Family] | None = None,
@@ -216,23 +232,30 @@ def train_all(
         finally:
             times[name] += perf_counter() - start
 
-    for part in [*range(table.folds), FULL]:
+    for name, family in families.items():
+        found = timed(name, lambda n=name, f=family: fit_together(table, n, f, preps, options))
+        if found is not None:
+            scores += [(run_id, name, part, found.scores[part]) for part in range(table.folds)]
+            fitted[name] = found.model
+    # the others fold by fold
+    left = {n: f for n, f in families.items() if n not in fitted and n not in failures}
+    for part in [*range(table.folds), FULL] if left else []:
         data = prepared(table, preps[part]).persist(StorageLevel.MEMORY_AND_DISK)
         data.count()  # fill the cache once, before the families read it side by side
         context = context_for(table, part, len(preps[part].feature_names), options)
         if part == FULL:
             calls = [
                 lambda n=n, f=f: timed(n, lambda: _kept(f(data, context), table, preps[FULL], data))
-                for n, f in families.items()
+                for n, f in left.items()
             ]
-            fitted = dict(zip(families, run_jobs(calls, options.parallelism)))
+            fitted |= dict(zip(left, run_jobs(calls, options.parallelism)))
         else:
             calls = [
                 lambda n=n, f=f: timed(n, lambda: fold_score(table, f, data, part, context))
-                for n, f in families.items()
+                for n, f in left.items()
             ]
             found = run_jobs(calls, options.parallelism)
-            scores += [(run_id, n, part, s) for n, s in zip(families, found) if n not in failures]
+            scores += [(run_id, n, part, s) for n, s in zip(left, found) if n not in failures]
         data.unpersist()
     if failures:
         name, error = next(iter(failures.items()))
@@ -250,8 +273,8 @@ def train_all(
         table,
         spark.createDataFrame(results, RESULTS),
         spark.createDataFrame(scores, "run_id string, model_name string, fold int, score double"),
-        {n: scoring_pipeline(table, preps[FULL], m) for n, m in fitted.items()},
-        fitted,
+        {n: scoring_pipeline(table, preps[FULL], fitted[n]) for n in families},
+        {n: fitted[n] for n in families},
         preps,
     )
 

@@ -117,8 +117,6 @@ def propose(space: Mapping[str, tuple], trials: int, seed: int = 42) -> list[dic
             else:
                 value = float(random.uniform(low, high))
                 params[name] = repr(value) if kind == "share" else value
-        if "leaves" in params:  # a level-wise tree of that many leaves
-            params["maxDepth"] = min(params["maxDepth"], math.ceil(math.log2(params.pop("leaves"))))
         proposals.append(params)
     return proposals
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.functions.quantiles import exact_quantiles
+from tabloom.functions.quantiles import exact_quantiles, order_statistics, quantiles_without
 from tabloom.operators import profiling
 
 NAN = float("nan")
@@ -59,14 +59,32 @@ def test_profile_has_every_table(edges):
     assert profiling.profile(edges, "s")["target"].first()["target_value"] == "a"
 
 
-@pytest.mark.parametrize("accuracy", [50, 2000])
-def test_quantiles_by_rank_equal_the_direct_ones(spark, accuracy):
-    smooth = spark.range(20000).select((F.rand(3) * F.rand(4)).alias("x"), (F.col("id") % 3).cast("double").alias("y"))
-    hot = spark.range(9000).select(F.lit(0.25).alias("x"), F.lit(None).cast("double").alias("y"))
-    df = smooth.union(hot).cache()
-    values = {c: F.col(c) for c in df.columns}
+def test_quantiles_equal_those_of_a_sort(spark):
+    import numpy as np
+
+    random = np.random.default_rng(5)
+    special = [0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, float("inf"), float("-inf"), 1.0, np.nextafter(1, 2), np.nextafter(1, 0)]
+    columns = {
+        "smooth": random.normal(size=4000) * 10.0 ** random.integers(-5, 5, 4000),
+        "few": random.integers(0, 3, 4000).astype(float),
+        "close": 1.0 + random.integers(0, 400, 4000) * np.finfo(float).eps,
+        "odd": np.array(special * 363 + special[:7]),
+        "hot": np.where(random.random(4000) < 0.4, 0.25, random.random(4000)),
+    }
+    rows = [tuple(None if i % 11 == 0 else float(c[i]) for c in columns.values()) for i in range(4000)]
+    df = spark.createDataFrame([(*r, None, i % 4) for i, r in enumerate(rows)], ", ".join(f"{c} double" for c in [*columns, "nothing"]) + ", g int").repartition(5).cache()
     probabilities = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    direct = exact_quantiles(df, values, probabilities)
-    ranked = exact_quantiles(df, values, probabilities, buffer_rows=500, accuracy=accuracy)
-    for name in values:
-        assert ranked[name] == pytest.approx(direct[name], abs=1e-12)
+    kept = np.arange(4000) % 11 != 0
+    values = {c: F.col(c) for c in df.columns if c != "g"}
+    found = quantiles_without(df, values, probabilities, F.col("g"), [None, 0, 1, 2, 3])
+    assert found[2, "nothing"] == [None] * 7
+    for part in (None, 0, 1, 2, 3):
+        for name, column in columns.items():
+            own = np.sort(column[kept & (np.arange(4000) % 4 != (9 if part is None else part))])
+            for p, value in zip(probabilities, found[part, name]):
+                rank = p * (len(own) - 1)
+                low, high = own[int(np.floor(rank))], own[int(np.ceil(rank))]
+                expected = low if low == high else low + (high - low) * (rank - np.floor(rank))
+                assert value == expected or np.isnan(value) and np.isnan(expected), (part, name, p)
+    assert str(exact_quantiles(df, values, probabilities)) == str({n: found[None, n] for n in values})
+    assert order_statistics(df, values, {"few": {0, 3635}})["few"] == {0: 0.0, 3635: 2.0}

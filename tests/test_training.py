@@ -106,7 +106,7 @@ def test_tuning(houses):
 def test_search_spaces(spark, name):
     for params in tuning.propose(tuning.search_space(name), 50):
         assert 3 <= params["maxDepth"] <= 20
-        assert "leaves" not in params
+        assert ("leaves" in params) == (name == "LightGBMClassifier") and params.get("leaves", 15) in range(15, 128)
     assert tuning.space_table(spark, name).count() >= 4
     assert tuning.propose(tuning.search_space(name), 3) == tuning.propose(tuning.search_space(name), 3)
 
