@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import col, text_of
+from tabloom.llm.common import col, fresh, text_of
 from tabloom.session import write_table
 
 SHORTEST, LONGEST = 256, 8192
@@ -94,10 +94,10 @@ def equal_texts(
 def drop_equal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns as they are."""
     marked = write_table(equal_texts(docs, id_col, text_col), "kept")
-    ours = ("_kept_id", "_kept_sha")
+    ours = fresh(docs, "kept_id", "kept_sha")
     stay = marked.where("kept").select(col(id_col).alias(ours[0]), F.col("text_sha256").alias(ours[1]))
     sha = F.sha2(text_of(text_col), 256)
     found = docs.join(stay, col(id_col).eqNullSafe(F.col(ours[0])) & (sha == F.col(ours[1])))
     if not marked.groupBy(id_col, "text_sha256").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        found = found.dropDuplicates(list(ours))  # rows that agree in id and text
+        found = found.dropDuplicates(ours)  # rows that agree in id and text
     return found.select(*[col(c) for c in docs.columns])

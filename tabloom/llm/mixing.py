@@ -6,10 +6,10 @@ close to one as relative entropy allows while their words add up to the target:
 exponentially tilted rates, exp(tilt * size), limited to the same multiple. The
 tilt solves a convex dual with one unknown per source, found by Newton steps on
 a table of (source, size, documents); each step is one aggregate over it. Rates
-are then rounded into whole copies, carrying what rounding left over from large
-documents to smaller ones: first the few documents that weigh much in a group,
-over the whole source; the rates of the others are then balanced anew to what is
-left of the target, and rounded in groups.
+are then rounded into whole copies by (source, size): the documents of one size
+get a whole number of copies together, and what rounding leaves over goes on from
+large sizes to smaller ones. The copies of a size are dealt to its documents by
+their place in a hash order, so no group of documents is ever gathered.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import col, text_of
+from tabloom.llm.common import col, fresh, text_of, without
 from tabloom.operators.ordering import numbered
 from tabloom.session import write_table
 
@@ -31,10 +31,7 @@ MULTIPLE = 3
 WEIGHTS = (1.0, 2.0, 3.0)
 STEPS = 60
 CLOSE = 1e-7
-# documents that one task rounds together; larger sources are dealt into several such groups
-GROUP = 2_000
-# part of a group's mean words from which a document is rounded over its whole source; fewer than HEAVY documents a group are
-HEAVY = 4
+FAR = 1e-3
 
 
 def word_count(text: Column) -> Column:
@@ -126,59 +123,71 @@ def tilts(sizes: DataFrame, goals: DataFrame, multiple: int = MULTIPLE) -> DataF
             moved.select(
                 "source", "target", "mean",
                 F.when(done, F.col("tilt")).when(outside, middle).otherwise(F.col("step")).alias("tilt"),
-                F.col("new_low").alias("low"), F.col("new_high").alias("high"), done.alias("done"),
+                F.col("new_low").alias("low"), F.col("new_high").alias("high"), done.alias("done"), "error",
             ),
             "tilts",
         )
         if state.where(~F.col("done")).isEmpty():
             break
+    else:
+        if not state.where(F.abs("error") > FAR).isEmpty():
+            raise RuntimeError(f"no tilt found in {STEPS} steps")
     # rounded, so that the order in which a cluster adds doubles leaves no trace
     return state.select("source", "mean", F.round("tilt", 5).alias("tilt"))
 
 
-def _copies(multiple: int):
-    """Whole copies for one group: largest first, what is left over carried on."""
+def _whole(multiple: int):
+    """Copies that the documents of each size of one source get together: largest first, what is left over carried on."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "order", "id"], ascending=False, kind="stable")
-        sizes, rates = rows["size"].to_numpy(), rows["rate"].to_numpy()
-        copies = np.empty(len(rows), np.int64)
-        carry = 0.0
-        for i, (size, rate) in enumerate(zip(sizes.tolist(), rates.tolist())):
+        rows = rows.sort_values("size", ascending=False, kind="stable")
+        copies, carry = [], 0.0
+        for size, documents, rate in zip(rows["size"].tolist(), rows["documents"].tolist(), rows["rate"].tolist()):
             if not size:
-                copies[i] = 1
+                copies.append(documents)
                 continue
-            want = rate * size + carry
-            copies[i] = n = min(multiple, max(0, math.floor(want / size + 0.5)))
-            carry = want - n * size
-        return rows.assign(copies=copies)[["id", "source", "size", "copies"]]
+            want = rate * size * documents + carry
+            copies.append(min(multiple * documents, max(0, math.floor(want / size + 0.5))))
+            carry = want - copies[-1] * size
+        return rows.assign(copies=np.array(copies, np.int64))[["source", "size", "documents", "copies"]]
 
     return run
 
 
-def _left(first: DataFrame, sizes: DataFrame, facts: DataFrame, heavy: Column, multiple: int) -> DataFrame:
-    """New rates of the other documents of the sources in ``first``: source, found, mean and tilt, or a fixed rate."""
-    taken = first.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
-    light = (
-        sizes.withColumnRenamed("documents", "n")
-        .alias("s")
-        .join(facts.alias("f"), F.col("s.source").eqNullSafe(F.col("f.source")))
-        .where(~heavy)
-        .select("s.source", "s.size", F.col("s.n").alias("documents"))
+def _mixed(docs: DataFrame, weights: Sequence[float], multiple: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with size, source_size, target and copies under names of their own, and these names."""
+    size = word_count(text_of(text_col))
+    narrow = docs.select(col(id_col).alias("id"), col(source_col).alias("source"), size.alias("size"))
+    units = write_table(narrow.groupBy("id", "source").agg(F.sum("size").alias("size")), "units")
+    sizes = write_table(units.groupBy("source", "size").agg(F.count("*").alias("documents")), "sizes")
+    totals = write_table(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("documents")).alias("source_size")), "totals")
+    goals = write_table(targets(totals, weights, multiple), "goals")
+    found = tilts(sizes, goals, multiple)
+    rate = F.when(F.col("f.tilt").isNull(), F.lit(float(multiple))).otherwise(
+        F.exp(F.least(F.col("f.tilt") * F.col("s.size") / F.col("f.mean"), F.lit(math.log(multiple))))
     )
-    light = write_table(light, "light")
-    words = light.groupBy("source").agg(F.sum(F.col("size") * F.col("documents")).alias("source_size"))
-    goals = (
-        words.alias("w")
-        .join(taken.alias("t"), F.col("w.source").eqNullSafe(F.col("t.source")))
-        .join(facts.alias("f"), F.col("w.source").eqNullSafe(F.col("f.source")))
-        .select("w.source", "w.source_size", (F.col("f.target") - F.col("t.taken")).alias("target"))
+    rated = sizes.alias("s").join(found.alias("f"), F.col("s.source").eqNullSafe(F.col("f.source")), "left")
+    rated = rated.select("s.source", "s.size", "s.documents", rate.alias("rate"))
+    source_type = units.schema["source"].dataType.simpleString()
+    # a row for each different size of a source, however many documents have it
+    whole = rated.groupBy("source").applyInPandas(_whole(multiple), f"source {source_type}, size long, documents long, copies long")
+    whole = write_table(whole, "whole")
+    # within a size, documents come in an order of their own; the first of them get what does not divide
+    order = F.xxhash64("id", "source")
+    placed = write_table(numbered(units.withColumn("order", order), ["source", "size"], [F.col("order"), F.col("id")], "place", small_rows=0), "placed")
+    same = F.col("p.source").eqNullSafe(F.col("w.source")) & (F.col("p.size") == F.col("w.size"))
+    share = F.floor(F.col("w.copies") / F.col("w.documents")) + (F.col("p.place") <= F.col("w.copies") % F.col("w.documents")).cast("long")
+    copies = placed.alias("p").join(whole.alias("w"), same).select("p.id", "p.source", share.cast("long").alias("copies"))
+    copies = write_table(copies, "copies")
+    names = fresh(docs, "size", "source_size", "target", "copies", "mix_id", "mix_source", "fact_source")
+    ours = copies.select(F.col("id").alias(names[4]), F.col("source").alias(names[5]), F.col("copies").alias(names[3]))
+    facts = goals.select(F.col("source").alias(names[6]), F.col("source_size").alias(names[1]), F.col("target").alias(names[2]))
+    joined = (
+        docs.withColumn(names[0], size)
+        .join(ours, col(id_col).eqNullSafe(F.col(names[4])) & col(source_col).eqNullSafe(F.col(names[5])))
+        .join(facts, col(source_col).eqNullSafe(F.col(names[6])))
     )
-    goals = write_table(goals, "left")
-    found = tilts(light, goals.where("target > 0"), multiple)
-    fixed = F.when(F.col("g.target") <= 0, F.lit(0.0)).when(F.col("f.tilt").isNull(), F.lit(float(multiple)))
-    joined = goals.alias("g").join(found.alias("f"), F.col("g.source").eqNullSafe(F.col("f.source")), "left")
-    return write_table(joined.select("g.source", F.lit(True).alias("found"), "f.mean", "f.tilt", fixed.alias("fixed")), "rates")
+    return joined, names[:4]
 
 
 def mix(
@@ -196,71 +205,25 @@ def mix(
     ``taken`` its words that the mix takes. A document without words is taken
     once. Rows that agree in id and source are one unit and get the same number
     of copies; ids and sources may be null. Reruns over the same rows agree,
-    however the rows are stored. Input columns with one of the five names are
-    replaced. An empty table stays empty.
+    however the rows are stored. Input columns with one of the five names, case
+    ignored, are replaced. An empty table stays empty.
     """
-    size = word_count(text_of(text_col))
-    narrow = docs.select(col(id_col).alias("id"), col(source_col).alias("source"), size.alias("size"))
-    units = write_table(narrow.groupBy("id", "source").agg(F.sum("size").alias("size")), "units")
-    sizes = write_table(units.groupBy("source", "size").agg(F.count("*").alias("documents")), "sizes")
-    totals = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("documents")).alias("source_size"), F.sum("documents").alias("documents"))
-    totals = write_table(totals, "totals")
-    goals = write_table(targets(totals.drop("documents"), weights, multiple), "goals")
-    found = tilts(sizes, goals, multiple)
-    facts = write_table(
-        goals.alias("g")
-        .join(totals.alias("t"), F.col("g.source").eqNullSafe(F.col("t.source")))
-        .join(found.alias("f"), F.col("g.source").eqNullSafe(F.col("f.source")), "left")
-        .select("g.source", "g.source_size", "g.target", "t.documents", "f.mean", "f.tilt"),
-        "facts",
-    )
-    order = F.xxhash64("id", "source")
-    groups = F.ceil(F.col("documents") / GROUP)
-    rate = F.when(F.col("tilt").isNull(), F.lit(float(multiple))).otherwise(
-        F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(math.log(multiple))))
-    )
-    heavy = F.col("size") * HEAVY * groups > F.col("source_size")
-    dealt = (
-        units.alias("u")
-        .join(facts.alias("f"), F.col("u.source").eqNullSafe(F.col("f.source")))
-        .select("u.id", "u.source", "u.size", rate.alias("rate"), order_of("u").alias("order"), F.pmod(order_of("u"), groups).alias("group"), heavy.alias("heavy"))
-    )
-    id_type = units.schema["id"].dataType.simpleString()
-    source_type = units.schema["source"].dataType.simpleString()
-    kinds = f"id {id_type}, source {source_type}, size long, copies long"
-    first = write_table(dealt.where("heavy").groupBy("source").applyInPandas(_copies(multiple), kinds), "heavy")
-    others = dealt.where("NOT heavy")
-    if not first.isEmpty():
-        left = _left(first, sizes, facts, heavy, multiple)
-        names = [F.col(f"d.{c}") for c in ("id", "source", "size", "order", "group")]
-        again = F.least(F.exp(F.col("l.tilt") * F.col("d.size") / F.col("l.mean")), F.lit(float(multiple)))
-        rate = F.when(F.col("l.found").isNull(), F.col("d.rate")).otherwise(F.coalesce(F.col("l.fixed"), again))
-        others = others.alias("d").join(left.alias("l"), F.col("d.source").eqNullSafe(F.col("l.source")), "left").select(*names, rate.alias("rate"))
-    copies = others.groupBy("source", "group").applyInPandas(_copies(multiple), kinds).unionByName(first)
-    copies = write_table(copies, "copies")
-    ours = copies.select(F.col("id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("copies").alias("_copies"))
-    facts = facts.select(F.col("source").alias("_fact_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    return (
-        docs.withColumn("_size", size)
-        .join(ours, col(id_col).eqNullSafe(F.col("_mix_id")) & col(source_col).eqNullSafe(F.col("_mix_source")))
-        .join(facts, col(source_col).eqNullSafe(F.col("_fact_source")))
-        .select(
-            *[col(c) for c in kept],
-            F.col("_size").alias("size"),
-            F.col("_source_size").alias("source_size"),
-            F.col("_target").alias("target"),
-            F.col("_copies").alias("copies"),
-            (F.col("_copies") * F.col("_size")).alias("taken"),
-        )
-    )
-
-
-def order_of(alias: str) -> Column:
-    return F.xxhash64(f"{alias}.id", f"{alias}.source")
+    new = ("size", "source_size", "target", "copies", "taken")
+    joined, names = _mixed(docs, weights, multiple, id_col, text_col, source_col)
+    values = [F.col(n) for n in names]
+    return joined.select(*[col(c) for c in without(docs, *new)], *[v.alias(n) for v, n in zip(values, new)], (values[3] * values[0]).alias("taken"))
 
 
-def take(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as the mix takes it, its columns as they are."""
-    names = docs.columns
-    return mix(docs, **options).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[col(c) for c in names])
+def take(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    multiple: int = MULTIPLE,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as the mix takes it, all its columns as they are."""
+    joined, names = _mixed(docs, weights, multiple, id_col, text_col, source_col)
+    (copy,) = fresh(joined, "copy")
+    repeated = joined.where(F.col(names[3]) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(names[3]).cast("int"))))
+    return repeated.select(*[col(c) for c in docs.columns])

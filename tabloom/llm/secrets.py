@@ -14,10 +14,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import col, text_of
+from tabloom.session import write_table
 
 # The base patterns, in the order in which spans of one start are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -38,9 +39,11 @@ FALL = 5.0
 # counts added to each character, and weight of single characters where pairs are rare
 PRIOR = 0.5
 BACKING = 50.0
-# bounds of the labelled sample that a model is fitted on
-SAMPLE_STRINGS = 5_000
+# bounds of the labelled sample that a model is fitted on: texts of either kind, strings of a text, and random strings drawn
 SAMPLE_TEXTS = 2_000
+SAMPLE_STRINGS = 5_000
+DRAWN = 2_000
+DRAWN_LENGTHS = (16, 24, 32, 40)
 
 SPANS = "array<struct<kind: string, start: int, end: int>>"
 
@@ -80,22 +83,45 @@ def train(samples: DataFrame, string_col: str = "string", secret_col: str = "sec
     return Model(tuple(ratios))
 
 
-def labelled_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A bounded labelled sample from texts: strings in the base patterns, and words of texts without any.
-
-    Strings come from ``SAMPLE_TEXTS`` texts of either kind at most, drawn by a
-    hash of the id.
+def random_strings(spark: SparkSession, count: int = DRAWN, seed: int = 42) -> DataFrame:
+    """``count`` strings drawn evenly from the alphabets that keys are written in, the same for a seed: column string."""
+    letters = ALPHABET[:26]
+    alphabets = F.array(*[F.lit(a) for a in (ALPHABET[:LETTERS], "0123456789abcdef", letters.upper() + "234567", letters + "0123456789")])
+    rows = spark.range(count).select("id", F.get(alphabets, (F.col("id") % 4).cast("int")).alias("a"), F.get(F.array(*map(F.lit, DRAWN_LENGTHS)), F.floor(F.col("id") / 4 % len(DRAWN_LENGTHS)).cast("int")).alias("n"))
+    letter = lambda i: F.substring(F.col("a"), (F.pmod(F.xxhash64(F.lit(seed), "id", i), F.length("a").cast("long")) + 1).cast("int"), F.lit(1))
+    return rows.select(F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), letter), "").alias("string"))
+
+
+def labelled_strings(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    texts: int = SAMPLE_TEXTS,
+    strings: int = SAMPLE_STRINGS,
+    drawn: int = DRAWN,
+    seed: int = 42,
+) -> DataFrame:
+    """A bounded labelled sample: strings in the base patterns and ``drawn`` random ones, and words of texts without a base pattern.
+
+    Strings come from ``texts`` texts of either kind at most, drawn by a hash of
+    the id, and are the first ``strings`` of a text at most; assigned values have
+    ``LEAST_ASSIGNED`` characters or more. What decides the draw is one number a
+    text; texts are read again for those that are drawn. Null ids and texts are
+    allowed; a table without texts gives the random strings alone.
     """
-    texts = docs.select(F.xxhash64(col(id_col)).alias("h"), text_of(text_col).alias("text"))
-    marked = texts.withColumn("secret", F.col("text").rlike(ASSIGN) | F.col("text").rlike(ACCESS) | F.col("text").rlike(HEX))
-    found = F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(g)) for p, g in ((ASSIGN, 2), (ACCESS, 0), (HEX, 0))])
+    given = docs.select(F.xxhash64(col(id_col)).alias("h"), text_of(text_col).alias("text"))
+    marked = F.col("text").rlike(ASSIGN) | F.col("text").rlike(ACCESS) | F.col("text").rlike(HEX)
+    marks = write_table(given.select("h", marked.alias("secret")), "marks")
+    # bounded: two numbers a kind and text
+    chosen = [marks.where(F.col("secret") == kind).select("h", "secret").distinct().orderBy("h").limit(texts) for kind in (True, False)]
+    ids = chosen[0].unionByName(chosen[1]).groupBy(F.col("h").alias("drawn_h")).agg(F.bool_or("secret").alias("secret"))
+    rows = given.join(F.broadcast(ids), F.col("h") == F.col("drawn_h"))
+    values = F.filter(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= LEAST_ASSIGNED)
+    found = F.concat(values, F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))
     words = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_]{4,}"), F.lit(0))
-
-    def drawn(secret: bool, strings: Column) -> DataFrame:
-        bound = marked.where(F.col("secret") == secret).orderBy("h").select("h", "secret", strings.alias("strings")).limit(SAMPLE_TEXTS)
-        return bound.select("secret", F.explode("strings").alias("string"))
-
-    return drawn(True, F.slice(found, 1, SAMPLE_STRINGS)).unionByName(drawn(False, F.slice(words, 1, SAMPLE_STRINGS)))
+    sample = rows.select("secret", F.explode(F.slice(F.when(F.col("secret"), found).otherwise(words), 1, strings)).alias("string"))
+    made = random_strings(docs.sparkSession, drawn, seed)
+    return sample.unionByName(made.select(F.lit(True).alias("secret"), "string"))
 
 
 def find_secrets(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import col, text_of
+from tabloom.llm.common import col, fresh, text_of
 from tabloom.llm.components import components
 from tabloom.session import write_table
 
@@ -235,11 +235,12 @@ def drop_near(
     # written on both sides, so that a join splits the rows of a large group
     leaders = members.select("print", "label")
     by_label = made.groupBy("print").agg(first.alias("first")).join(leaders, "print").groupBy("label").agg(F.min("first").alias("first"))
-    stay = write_table(by_label.select(F.col("first.id").alias("_stay_id"), F.col("first.print").alias("_stay_print")), "stay")
+    stay_id, stay_print, own = fresh(docs, "stay_id", "stay_print", "print")
+    stay = write_table(by_label.select(F.col("first.id").alias(stay_id), F.col("first.print").alias(stay_print)), "stay")
     names = [col(c) for c in docs.columns]
     unnamed = made.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL")
     if unnamed.isEmpty():  # the id tells the row
-        return docs.join(stay, col(id_col) == F.col("_stay_id"), "left_semi").select(*names)
-    marked = docs.withColumn("_print", fingerprints(text_of(text_col), words))
-    same = col(id_col).eqNullSafe(F.col("_stay_id")) & (F.col("_print") == F.col("_stay_print"))
-    return marked.join(stay, same).dropDuplicates(["_stay_id", "_stay_print"]).select(*names)
+        return docs.join(stay, col(id_col) == F.col(stay_id), "left_semi").select(*names)
+    marked = docs.withColumn(own, fingerprints(text_of(text_col), words))
+    same = col(id_col).eqNullSafe(F.col(stay_id)) & (F.col(own) == F.col(stay_print))
+    return marked.join(stay, same).dropDuplicates([stay_id, stay_print]).select(*names)

@@ -23,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import col, text_of
+from tabloom.llm.common import col, fresh, text_of, without
 from tabloom.session import write_table
 
 # bounds of the fit: labelled rows, inputs, and rows an input must occur in
@@ -210,13 +210,8 @@ def train(
     return chain
 
 
-def score(docs: DataFrame, chain: Chain, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """``docs`` with p_<category> for each category, and ``rejected`` if the last reaches ``threshold``.
-
-    Probabilities are rounded to six places. A null or empty text has no words
-    and gets the probabilities of the intercepts. Input columns with one of the
-    new names are replaced; rows are kept as they are.
-    """
+def probabilities(text: Column, chain: Chain) -> Column:
+    """Probabilities of the categories of a chain for a text column, as a struct p_<category>, rounded to six places."""
     names = [f"p_{link.category}" for link in chain.links]
     shape = ", ".join(f"`{n}` double" for n in names)
 
@@ -226,15 +221,29 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.5, text_col: str =
         for batch in batches:
             yield pd.DataFrame([each(t) for t in batch], columns=names).round(6)
 
-    kept = [c for c in docs.columns if c not in (*names, "rejected", "_chain")]
-    scored = docs.withColumn("_chain", run(text_of(text_col)))
+    return run(text)
+
+
+def score(docs: DataFrame, chain: Chain, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """``docs`` with p_<category> for each category, and ``rejected`` if the last reaches ``threshold``.
+
+    Probabilities are rounded to six places. A null or empty text has no words
+    and gets the probabilities of the intercepts. Input columns with one of the
+    new names, case ignored, are replaced; rows are kept as they are.
+    """
+    names = [f"p_{link.category}" for link in chain.links]
+    (found,) = fresh(docs, "chain")
+    scored = docs.withColumn(found, probabilities(text_of(text_col), chain))
     return scored.select(
-        *[col(c) for c in kept],
-        *[F.col("_chain")[n].alias(n) for n in names],
-        (F.col("_chain")[names[-1]] >= threshold).alias("rejected"),
+        *[col(c) for c in without(docs, *names, "rejected")],
+        *[F.col(found)[n].alias(n) for n in names],
+        (F.col(found)[names[-1]] >= threshold).alias("rejected"),
     )
 
 
 def drop_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the chain does not reject, their columns as they are."""
-    return score(docs, chain, threshold, text_col).where("NOT rejected").select(*[col(c) for c in docs.columns])
+    """The rows that ``score`` does not reject, all their columns as they are."""
+    (found,) = fresh(docs, "chain")
+    last = f"p_{chain.links[-1].category}"
+    scored = docs.withColumn(found, probabilities(text_of(text_col), chain))
+    return scored.where(F.col(found)[last] < threshold).select(*[col(c) for c in docs.columns])

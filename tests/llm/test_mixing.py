@@ -95,9 +95,8 @@ def test_texts_without_words(make_docs):
     assert [(r.size, r.source_size, r.target, r.taken) for r in found] == [(0, 0, 0.0, 0)] * 2
 
 
-def test_one_very_long_document_in_each_group(make_docs, monkeypatch):
-    """Long documents that outweigh their group leave no error in it, and the short ones stay in the mix."""
-    monkeypatch.setattr(mixing, "GROUP", 50)
+def test_very_long_documents_leave_no_error(make_docs):
+    """Documents that outweigh many others leave no error in their source, and the short ones stay in the mix."""
     rnd = random.Random(17)
     rows = [(i, "w " * rnd.randrange(1, 20), "a") for i in range(1000)] + [(1000 + i, "w " * 3000, "a") for i in range(20)]
     rows += [(5000 + i, "w " * 60, "b") for i in range(600)] + [(9000, "w " * 100_000, "c"), *[(9001 + i, "w " * 50, "c") for i in range(800)]]
@@ -107,3 +106,38 @@ def test_one_very_long_document_in_each_group(make_docs, monkeypatch):
         assert abs(sum(r.taken for r in ours) - ours[0].target) <= 0.01 * ours[0].target, source
     short = [r for r in found if r.source == "a" and r.doc_id < 1000]
     assert sum(r.copies > 0 for r in short) > 100
+
+
+def brute_copies(rows, rates):
+    """Copies by size of one source: largest first, what rounding leaves carried on; ``rates`` by size."""
+    sizes = Counter(n for n, _ in rows)
+    out, carry = {}, 0.0
+    for size in sorted(sizes, reverse=True):
+        want = rates[size] * size * sizes[size] + carry
+        out[size] = min(3 * sizes[size], max(0, int(want // size if want % size < size / 2 else want // size + 1)))
+        carry = want - out[size] * size
+    return out
+
+
+def test_copies_equal_brute_force(make_docs):
+    import math
+
+    rnd = random.Random(23)
+    rows = [(i, "w " * rnd.choice([1, 2, 3, 7, 19, 40]), rnd.choice("abbb")) for i in range(700)]
+    docs = make_docs(rows)
+    found = mixing.mix(docs).collect()
+    sizes = docs.select("source", mixing.word_count(F.col("text")).alias("size")).groupBy("source", "size").agg(F.count("*").alias("documents"))
+    totals = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("documents")).alias("source_size"))
+    tilts = {r.source: r for r in mixing.tilts(sizes, mixing.targets(totals)).collect()}
+    for source in "ab":
+        ours = [r for r in found if r.source == source]
+        t = tilts.get(source)
+        rates = {r["size"]: 3.0 if t is None else min(3.0, math.exp(t.tilt * r["size"] / t["mean"])) for r in ours}
+        expected = brute_copies([(r["size"], r.doc_id) for r in ours], rates)
+        by_size = Counter()
+        for r in ours:
+            by_size[r["size"]] += r.copies
+        assert dict(by_size) == expected
+        for size in expected:  # dealt evenly: no two documents of a size differ by more than one copy
+            copies = {r.copies for r in ours if r["size"] == size}
+            assert max(copies) - min(copies) <= 1

@@ -88,10 +88,76 @@ def test_without_samples_nothing_is_added(spark, make_docs):
     assert set(empty.ratios) == {0.0}
     assert not secrets.find_secrets(make_docs([(1, random_key(random.Random(1)))]), empty).first().random
     assert secrets.find_secrets(make_docs([]), empty).count() == 0
-    assert secrets.labelled_strings(make_docs([])).count() == 0
+    assert secrets.labelled_strings(make_docs([]), drawn=0).count() == 0
 
 
 def test_labelled_strings(make_docs):
-    docs = make_docs([(1, 'my token = "abcdef123456" here'), (2, "ordinary words of text"), (3, None)])
-    rows = {(r.string, r.secret) for r in secrets.labelled_strings(docs).collect()}
+    docs = make_docs([(1, 'my token = "abcdef123456" here'), (2, "ordinary words of text"), (3, None), (4, "token: short"), (None, "ordinary too")])
+    rows = {(r.string, r.secret) for r in secrets.labelled_strings(docs, drawn=0).collect()}
     assert rows == {("abcdef123456", True), ("ordinary", False), ("words", False), ("text", False)}
+    bounded = secrets.labelled_strings(make_docs([(i, f"word{i} other{i}") for i in range(50)]), texts=7, strings=1, drawn=0)
+    assert bounded.count() == 7
+
+
+def test_random_strings_are_seeded_and_use_their_alphabets(spark):
+    found = [r.string for r in secrets.random_strings(spark, 800).collect()]
+    assert found == [r.string for r in secrets.random_strings(spark, 800).collect()] and len(set(found)) == 800
+    assert found != [r.string for r in secrets.random_strings(spark, 800, seed=1).collect()]
+    assert {len(s) for s in found} == set(secrets.DRAWN_LENGTHS)
+    assert {c for s in found for c in s} == set(secrets.ALPHABET[:62]) and any(set(s) <= set("0123456789abcdef") for s in found)
+
+
+def test_a_table_without_base_spans_still_has_a_model(make_docs):
+    rnd = random.Random(41)
+    words = "the quick customer configuration responsibility of international account tables and names " * 20
+    rows = [(i, words) for i in range(30)] + [(100 + i, f"see {random_key(rnd, 32)} there") for i in range(30)]
+    docs = make_docs(rows)
+    model = secrets.train(secrets.labelled_strings(make_docs(rows[:30])))
+    hits = {r.doc_id for r in secrets.find_secrets(docs, model).collect() if r.random}
+    assert len([i for i in hits if i >= 100]) >= 27 and not [i for i in hits if i < 100]
+
+
+def brute_random(text, model):
+    """Random spans of a text without base spans: the walk written plainly."""
+    spans = []
+    at = {p: model.ratios[i] for i, p in enumerate(a + b for a in secrets.ALPHABET for b in secrets.ALPHABET)}
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{8,}", text):
+        run, found = m[0], []
+        start = end = 0
+        rise = total = top = top_sum = 0.0
+        for i, c in enumerate(run):
+            pair = run[i - 1] + c if i else ""
+            ratio = round(at[pair], 4) if pair and pair.isalnum() else 0.0
+            rise_, total_ = rise + ratio - secrets.LEAST_RATIO, total + ratio
+            if rise_ <= 0 or top - rise_ > secrets.FALL:
+                if top_sum >= secrets.LEAST_SUM:
+                    found.append((start, end))
+                start = end = i
+                rise = total = top = top_sum = 0.0
+            else:
+                rise, total = rise_, total_
+                if rise > top:
+                    top, top_sum, end = rise, total, i + 1
+        if top_sum >= secrets.LEAST_SUM:
+            found.append((start, end))
+        grown = []
+        for a, b in found:
+            while a and run[a - 1].isalnum():
+                a -= 1
+            tail = re.match(r"[A-Za-z0-9]*(?:={1,2}$)?", run[b:])[0]
+            b += len(tail)
+            if grown and a < grown[-1][1]:
+                grown[-1] = (grown[-1][0], max(grown[-1][1], b))
+            else:
+                grown.append((a, b))
+        spans += [(m.start() + a, m.start() + b) for a, b in grown]
+    return spans
+
+
+def test_random_spans_equal_brute_force(make_docs, model):
+    rnd = random.Random(51)
+    names = ["customer_name", "internationalization", "total", "get_next_value", "-", "/", "=", "==", " ", "é", "\n", "x9"]
+    texts = ["".join(rnd.choice(names) if rnd.random() < 0.6 else random_key(rnd, rnd.randrange(6, 40)) for _ in range(rnd.randrange(9))) for _ in range(300)]
+    texts = [t for t in texts if not brute(t)]
+    rows = secrets.find_secrets(make_docs(list(enumerate(texts))), model).collect()
+    assert {r.doc_id: [(s.start, s.end) for s in r.random] for r in rows} == {i: brute_random(t, model) for i, t in enumerate(texts)}
