@@ -6,7 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from queries.common import OPTIONS, class_items, order_features, r, regression_items, rounded
+from queries.common import ORDER_FEATURES_SQL, OPTIONS, class_items, order_features, r, regression_items, rounded
 from tabloom.operators import attribution
 from tabloom.operators.prep import FEATURES, FULL
 from tabloom.plans.families import ROW_ID, registry
@@ -135,11 +135,28 @@ def shap_sampling(spark, sf):
 SHAP_SAMPLING = """SELECT c AS class, n AS row_count, 0.0::DOUBLE AS largest_gap
   FROM (SELECT count(*) AS n FROM orders), (VALUES (0), (1), (2)) AS t(c)"""
 
+def explain_linear(spark, sf):
+    """The entry point that picks a method, on a fitted linear model."""
+    source = order_features(spark, sf).select("o_orderkey", "amount", "y")
+    table = training_table(source, "y", "regression", 2, ["o_orderkey"])
+    prep = fit_preps(table)[FULL]
+    data = prepared(table, prep)
+    model = registry("regression")["LinearRegression"](data, context_for(table, FULL, len(prep.feature_names), OPTIONS))
+    found = attribution.explain(data, model, prep.feature_names, ROW_ID).values
+    keys = table.rows.select(F.col(ROW_ID).alias("row"), "o_orderkey")
+    return found.join(keys, "row").select("o_orderkey", "feature", r("phi", 3).alias("phi"))
+
+
+_FILLED = f"""(SELECT o_orderkey, y, coalesce(amount, (SELECT quantile_cont(amount, 0.5::DOUBLE) FROM {ORDER_FEATURES_SQL})) AS x
+  FROM {ORDER_FEATURES_SQL})"""
+EXPLAIN_LINEAR = f"""SELECT o_orderkey, 'numeric__amount' AS feature, round(b * (x - m), 3) + 0.0 AS phi
+  FROM {_FILLED}, (SELECT regr_slope(y, x) AS b, avg(x) AS m FROM {_FILLED})"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         shap_linear, shap_summary_data, feature_importance, shap_multiclass, feature_importance_topk, shap_tree,
-        shap_tree_boosted, shap_sampling,
+        shap_tree_boosted, shap_sampling, explain_linear,
     )
 }
 ORACLES = {
@@ -151,4 +168,5 @@ ORACLES = {
     "shap_tree": SHAP_TREE,
     "shap_tree_boosted": SHAP_BOOSTED,
     "shap_sampling": SHAP_SAMPLING,
+    "explain_linear": EXPLAIN_LINEAR,
 }

@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queries.common import ORDER_FEATURES_SQL, OPTIONS, class_items, order_features, r, regression_items, rounded
-from tabloom.operators import folds, knn, metrics
+from tabloom.operators import boosting, folds, knn, metrics
 from tabloom.operators.prep import FEATURES, FULL
 from tabloom.plans import benchmark, tuning
 from tabloom.plans.families import HOLDOUT, LABEL, registry
@@ -154,6 +155,54 @@ def model_gbt_multiclass(spark, sf):
     return _fit(source, "size_class", "classification", family)
 
 
+FIRST_SPLIT = ("l_quantity", "l_discount", "l_tax")
+
+
+def boost_first_split(spark, sf):
+    """The split of the first boosted tree: feature, cut, gain and the values of both sides."""
+    source = regression_items(spark, sf).select(*FIRST_SPLIT, F.col("y").alias(LABEL))
+    data = VectorAssembler(inputCols=list(FIRST_SPLIT), outputCol=FEATURES).transform(source)
+    _, rounds, cuts = boosting.boost({FULL: data}, LABEL, 0, boosting.Settings(rounds=1, depth=1))[FULL]
+    tree = rounds[0][0]
+    feature = tree.feature[0]
+    row = (FIRST_SPLIT[feature], float(cuts[feature][tree.bin[0]]), tree.gain[0], tree.value[tree.left[0]], tree.value[tree.right[0]])
+    found = spark.createDataFrame([row], "feature string, cut double, gain double, left_value double, right_value double")
+    return found.select("feature", r("cut", 6).alias("cut"), r(F.col("gain") / 1e6, 3).alias("gain"), r("left_value", 3).alias("left_value"), r("right_value", 3).alias("right_value"))
+
+
+_Y = "l_quantity * 100 * (1 - l_discount) + 50 * l_tax"
+_SPLITS = " UNION ALL ".join(
+    f"""SELECT '{f}' AS feature, (x + lead(x) OVER (ORDER BY x)) / 2 AS cut, sum(g) OVER w AS gl, sum(n) OVER w AS nl,
+      sum(g) OVER () AS g, sum(n) OVER () AS n
+    FROM (SELECT {f} AS x, sum(m - y) AS g, count(*) AS n FROM rows GROUP BY 1) WINDOW w AS (ORDER BY x ROWS UNBOUNDED PRECEDING)"""
+    for f in FIRST_SPLIT
+)
+BOOST_FIRST_SPLIT = f"""WITH rows AS MATERIALIZED (SELECT *, {_Y} AS y, avg({_Y}) OVER () AS m FROM lineitem),
+  splits AS ({_SPLITS}),
+  gains AS (SELECT *, gl * gl / (nl + 1) + (g - gl) * (g - gl) / (n - nl + 1) - g * g / (n + 1) AS gain FROM splits WHERE cut IS NOT NULL)
+  SELECT feature, round(cut, 6) + 0.0 AS cut, round(gain / 1e6, 3) + 0.0 AS gain, round(-gl / (nl + 1), 3) + 0.0 AS left_value,
+    round((gl - g) / (n - nl + 1), 3) + 0.0 AS right_value
+  FROM gains ORDER BY gains.gain DESC LIMIT 1"""
+
+
+def logistic_gradient(spark, sf):
+    """Rows and the largest entry of the gradient at the fitted weights: zero where the fit is the optimum."""
+    table = training_table(class_items(spark, sf), "size_class", "classification", 2)
+    prep = fit_preps(table)[FULL]
+    data = prepared(table, prep).persist()
+    model = registry("classification")["LogisticRegression"](data, context_for(table, FULL, len(prep.feature_names), OPTIONS))
+    miss = vector_to_array("probability")[1] - F.col(LABEL)
+    scored = model.transform(data).select(miss.alias("miss"), F.posexplode(vector_to_array(F.col(FEATURES))).alias("i", "x"))
+    weights = F.array(*[F.lit(float(w)) for w in model.coefficients.toArray()])
+    sums = scored.groupBy("i").agg(F.sum(F.col("miss") * F.col("x")).alias("g"), F.sum("miss").alias("intercept"), F.count("*").alias("n"))
+    # the penalty of the fit is half the squared norm of the weights
+    entry = F.greatest(F.abs(F.col("g") + F.get(weights, F.col("i"))), F.abs("intercept")) / F.col("n")
+    return sums.agg(F.max("n").alias("row_count"), r(F.max(entry), 4).alias("largest_gradient"))
+
+
+LOGISTIC_GRADIENT = "SELECT count(*) AS row_count, 0.0::DOUBLE AS largest_gradient FROM lineitem"
+
+
 def _predictions(spark, sf, family):
     table = training_table(_one_feature(spark, sf), "y", "regression", 2, ["o_orderkey"])
     prep = fit_preps(table)[FULL]
@@ -375,7 +424,7 @@ QUERIES = {
     for f in (
         cv_scores_linear, cv_scores_bayes, cv_summary, train_all_classifiers, train_all_regressors, model_gbt_multiclass, model_linear,
         model_ridge, knn_classify, knn_regress, gaussian_nb, tune_rf, tune_gbt, median_prune, best_trial, fold_scores,
-        eval_classification, eval_regression, confusion_matrix, residuals, residual_bins, holdout_compare,
+        eval_classification, eval_regression, confusion_matrix, residuals, residual_bins, holdout_compare, boost_first_split, logistic_gradient,
     )
 } | {
     "model_logistic": _classifier("LogisticRegression"),
@@ -405,6 +454,8 @@ ORACLES = {
     "confusion_matrix": CONFUSION,
     "residuals": RESIDUALS,
     "residual_bins": RESIDUAL_BINS,
+    "boost_first_split": BOOST_FIRST_SPLIT,
+    "logistic_gradient": LOGISTIC_GRADIENT,
 }
 # fitted models: every row predicted, and better than the rule that looks at no feature
 ORACLES |= {

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.arrays import to_matrix
 from tabloom.functions.quantiles import chunked_agg
 from tabloom.operators.prep import FEATURES
-from tabloom.session import fresh_path, shared_dir, write_table
+from tabloom.session import checkpoint_folder, fresh_path, write_table
 
 BINS = 256
 BLOCK_ROWS = 1_000_000
@@ -497,12 +497,6 @@ def first_margins(loss: str, df: DataFrame, label: str, classes: int) -> np.ndar
     return np.array([math.log(shares[1] / (1 - shares[1]))]) if loss == LOGISTIC else np.log(shares)
 
 
-def _checkpoint_folder(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(f"{shared_dir(spark)}/tabloom/checkpoints")
-
-
 def boost(
     tables: Mapping[int, DataFrame], label: str, classes: int, settings: Settings
 ) -> dict[int, tuple[np.ndarray, list[list[GrownTree]], list[np.ndarray]]]:
@@ -513,7 +507,7 @@ def boost(
     """
     loss = SQUARED if not classes else LOGISTIC if classes <= 2 else SOFTMAX
     spark = next(iter(tables.values())).sparkSession
-    _checkpoint_folder(spark)
+    checkpoint_folder(spark)
     starts, cuts, pieces = {}, {}, {}
     for part, df in tables.items():
         width = df.select(F.size(vector_to_array(F.col(FEATURES)))).first()[0]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.functions.arrays import added, task_group
 from tabloom.functions.columns import as_double, as_text, col, missing_to_null, rows_from_columns, text_values
 from tabloom.functions.quantiles import chunked_agg, exact_quantiles
 from tabloom.operators.detection import feature_schema, require_column, value_counts, wide_counts
@@ -170,6 +171,7 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     One pass for any number of columns. With values centred and missing ones
     zero, sums over the rows where both columns are present are products of the
     value, square and presence matrices, which each task adds up over its rows.
+    A task sends an array for each column, and arrays are added in two levels.
     """
     if len(columns) < 2:
         raise ValueError("Correlations take two numeric columns or more.")
@@ -185,30 +187,26 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
             present = (~np.isnan(x)).astype(float)
             x = np.nan_to_num((x - centre) / spread, nan=0.0)
             total += [present.T @ present, x.T @ present, (x * x).T @ present, x.T @ x]
-        a, b = np.triu_indices(d)
         n, s, q, p = total
+        # of each column what its correlations take: rows, sums and squares of both, products
+        rows = np.concatenate([n, s, q, p, s.T, q.T], axis=1)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *[pa.array(t) for t in (n[a, b], s[a, b], q[a, b], p[a, b], s[b, a], q[b, a])]],
-            ["a", "b", "n", "s", "q", "p", "s2", "q2"],
+            [pa.array(range(d), pa.int32()), pa.array([task_group()] * d, pa.int32()), pa.array(list(rows), pa.list_(pa.float64()))], ["a", "task", "row"]
         )
 
-    sums = (
-        df.select(*[as_double(c).alias(f"c{i}") for i, c in enumerate(columns)])
-        .mapInArrow(products, "a int, b int, n double, s double, q double, p double, s2 double, q2 double")
-        .groupBy("a", "b")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "s", "q", "p", "s2", "q2")])
-    )
+    narrow = df.select(*[as_double(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    sums = added(narrow.mapInArrow(products, "a int, task int, row array<double>"), ["a"])
+    parts = F.arrays_zip(*[F.slice("row", i * d + 1, d).alias(c) for i, c in enumerate(("n", "s", "q", "p", "s2", "q2"))])
+    sums = sums.select("a", F.posexplode(parts).alias("b", "v")).select("a", "b", "v.*")
     n = F.nullif(F.col("n"), F.lit(0.0))
     variances = [F.col(q) / n - F.pow(F.col(m) / n, F.lit(2.0)) for q, m in (("q", "s"), ("q2", "s2"))]
     constant = (variances[0] <= FLAT) | (variances[1] <= FLAT)
     covariance = F.col("p") / n - F.col("s") / n * F.col("s2") / n
     names = F.array(*[F.lit(c) for c in columns])
-    upper = sums.select(
+    return sums.select(
         names[F.col("a")].alias("feature"), names[F.col("b")].alias("other"),
         F.when(~constant, covariance / F.sqrt(variances[0] * variances[1])).alias("correlation"),
-    )
-    both = F.array(F.struct("feature", "other"), F.struct(F.col("other").alias("feature"), F.col("feature").alias("other")))
-    return upper.select(F.explode(F.array_distinct(both)).alias("pair"), "correlation").select("pair.*", "correlation")
+    )
 
 
 def target_correlation_topk(df: DataFrame, target: str, k: int = 10) -> DataFrame:

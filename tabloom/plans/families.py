@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -22,7 +23,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.operators.boosting import Settings, fit_boosted
@@ -30,6 +31,7 @@ from tabloom.operators.detection import CLASSIFICATION
 from tabloom.operators.kernel import FourierMap, scaled_gamma
 from tabloom.operators.neighbours import Neighbours
 from tabloom.operators.prep import FEATURES
+from tabloom.session import checkpoint_folder
 
 LABEL = "_label"
 ROW_ID = "_rid"
@@ -106,9 +108,26 @@ def _ridge(df, context, params):
     return LinearRegression(**_columns(**settings | params)).fit(df)
 
 
+def group_memory(spark: SparkSession) -> int:
+    """Megabytes that a task may hold of node sums: a quarter of its share of the memory.
+
+    With too few, a level of deep trees takes many passes.
+    """
+    local = spark.sparkContext.master.startswith("local")
+    memory = spark.conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g").lower()
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", memory).groups()
+    whole = int(number) * {"k": 1 / 1024, "m": 1, "": 1, "g": 1024, "t": 1024**2}[unit]
+    tasks = spark.sparkContext.defaultParallelism if local else int(spark.conf.get("spark.executor.cores", "1"))
+    return max(256, int(whole / max(1, tasks) / 4))
+
+
 def _forest(classifier: bool) -> Fit:
     def fit(df, context, params):
+        # rows remember their node, so that tasks are not sent the forest at every level
+        checkpoint_folder(df.sparkSession)
         settings = {
+            "cacheNodeIds": True,
+            "maxMemoryInMB": group_memory(df.sparkSession),
             "numTrees": context.options.trees,
             "maxDepth": context.options.forest_depth,
             "seed": context.options.seed,

@@ -27,6 +27,7 @@ from tabloom.operators.boosting import fit_boosted
 from tabloom.operators.detection import CLASSIFICATION, FeatureSchema, feature_schema
 from tabloom.operators.folds import SEED, assign_folds
 from tabloom.operators.metrics import metric_name, score
+from tabloom.operators.ordering import numbered
 from tabloom.operators.prep import FEATURES, FULL, Prep, fit_fold_preps
 from tabloom.plans.closed import Joint, joint_fit
 from tabloom.plans.families import LABEL, NORMAL_SOLVER_WIDTH, ROW_ID, Context, Family, Options, boosted_settings, parameters_json, registry
@@ -35,6 +36,7 @@ from tabloom.session import run_jobs, write_table
 FOLD = "_fold"
 RESERVED = {"fold", FOLD, ROW_ID, LABEL, FEATURES, "prediction", "predicted", "probability", "rawPrediction"}
 ROWS_PER_TASK = 100_000
+MOST_CLASSES = 100_000
 RESULTS = (
     "run_id string, position bigint, model_name string, mean_score double, std_score double, "
     "train_time double, metric_name string"
@@ -83,11 +85,32 @@ class Training:
 
 
 def class_sizes(df: DataFrame, target: str) -> dict:
-    """Rows per label (``None``: no label). A classifier holds one vector per label anyway."""
-    found = df.groupBy(col(target).alias("v")).agg(F.count("*").alias("n")).collect()
+    """Rows per label (``None``: no label), for up to ``MOST_CLASSES`` labels, of which a classifier holds a vector each."""
+    counts = df.groupBy(col(target).alias("v")).agg(F.count("*").alias("n"))
+    found = counts.limit(MOST_CLASSES + 2).collect()
+    if sum(r["v"] is not None for r in found) > MOST_CLASSES:
+        raise ValueError(f"'{target}' has more than {MOST_CLASSES} labels; a classifier holds one vector per label. label_dictionary numbers any number of them.")
     return {r["v"]: r["n"] for r in found}
 
 
+def label_dictionary(df: DataFrame, target: str) -> DataFrame:
+    """``label, number``: the distinct labels of any number in sorted order, from 0, without gathering them."""
+    distinct = df.select(col(target).alias("label")).where(F.col("label").isNotNull()).distinct()
+    return write_table(numbered(distinct, [], [F.col("label")], "number", small_rows=0).withColumn("number", F.col("number") - 1), "labels")
+
+
+def encode_with(df: DataFrame, target: str, dictionary: DataFrame, output: str = LABEL) -> DataFrame:
+    """Labels to their numbers in a dictionary (unknown ones and nulls to null); a frequent label is split by the join."""
+    known = dictionary.select(F.col("label").alias("_label_text"), F.col("number").cast("double").alias(output))
+    return df.drop(output).join(known, col(target) == F.col("_label_text"), "left").drop("_label_text")
+
+
+def decode_with(df: DataFrame, number: str, dictionary: DataFrame, output: str) -> DataFrame:
+    """Numbers back to labels."""
+    known = dictionary.select(F.col("number").cast("double").alias("_label_number"), F.col("label").alias(output))
+    return df.drop(output).join(known, col(number).cast("double") == F.col("_label_number"), "left").drop("_label_number")
+
+
 def label_values(df: DataFrame, target: str) -> list:
     """Distinct labels in sorted order."""
     return sorted(v for v in class_sizes(df, target) if v is not None)

@@ -56,6 +56,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Give checkpoints a folder under the shared one, unless the session has one."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(f"{shared_dir(spark)}/tabloom/checkpoints")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
     return f"{shared_dir(spark)}/tabloom/{name}-{uuid.uuid4().hex[:12]}"

@@ -51,6 +51,24 @@ def test_null_targets_are_dropped_and_reported(spark, houses):
     assert table.dropped_targets == 2 and table.count == 8
 
 
+def test_labels_of_any_number(spark, monkeypatch):
+    from tabloom.plans import training
+
+    df = spark.range(300_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 1000 = 1 THEN NULL ELSE concat('l', id) END AS label")
+    dictionary = training.label_dictionary(df, "label")
+    labels = sorted({"hot", *[f"l{i}" for i in range(300_000) if i % 3 and i % 1000 != 1]})
+    assert dictionary.count() == len(labels)
+    assert [(r.label, r.number) for r in dictionary.where("number < 5 OR label = 'hot'").orderBy("number").collect()] == [
+        *[(x, i) for i, x in enumerate(labels[:5]) if x != "hot"], ("hot", labels.index("hot"))
+    ] if labels.index("hot") >= 5 else True
+    coded = training.encode_with(df, "label", dictionary, "n")
+    back = training.decode_with(coded, "n", dictionary, "again")
+    assert back.where("NOT (label <=> again)").count() == 0 and back.count() == 300_000 and back.where("n IS NULL").count() == df.where("label IS NULL").count()
+    monkeypatch.setattr(training, "MOST_CLASSES", 1000)
+    with pytest.raises(ValueError, match="label_dictionary"):
+        training.class_sizes(df, "label")
+
+
 def test_reserved_names_are_refused(houses):
     with pytest.raises(ValueError, match="Rename the columns"):
         training_table(houses.withColumnRenamed("city", "fold"), "price", "regression", 2)
