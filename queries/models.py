@@ -228,7 +228,7 @@ RIDGE = f"""SELECT o_orderkey, round(my + w * (x - mx) / sx, 3) + 0.0 AS predict
    FROM {_FILLED})"""
 
 
-def _knn(spark, sf, value: str, output) -> DataFrame:
+def _knn(spark, sf, value: str, output, **settings) -> DataFrame:
     """Every vector is predicted from the folds it is not in."""
     rows = load(spark, sf, "embeddings").select(
         "vec_id", "label", F.col("embedding").cast("array<double>").alias("vector")
@@ -237,7 +237,7 @@ def _knn(spark, sf, value: str, output) -> DataFrame:
     parts = []
     for fold in range(3):
         references = rows.where(F.col("fold") != fold).select(F.col("vec_id").alias("ref"), "vector", F.col(value).alias("value"))
-        found = knn.nearest(rows.where(F.col("fold") == fold), references, 5)
+        found = knn.nearest(rows.where(F.col("fold") == fold), references, 5, **settings)
         parts.append(found.select("vec_id", "fold", output(F.col("neighbours")).alias("predicted")))
     return reduce(DataFrame.unionByName, parts)
 
@@ -246,6 +246,12 @@ def knn_classify(spark, sf):
     return _knn(spark, sf, "label", knn.majority).withColumn("predicted", F.col("predicted").cast("bigint"))
 
 
+def knn_blocks(spark, sf):
+    """The same through the tree of pivots and blocks, as for references that are too large to broadcast."""
+    found = _knn(spark, sf, "label", knn.majority, broadcast_cells=0, leaves=16, block_rows=100)
+    return found.withColumn("predicted", F.col("predicted").cast("bigint"))
+
+
 def knn_regress(spark, sf):
     return rounded(_knn(spark, sf, "label", knn.mean_value), 6, "predicted")
 
@@ -419,12 +425,32 @@ def holdout_compare(spark, sf):
     return benchmark.holdout_compare(source, "y", ["o_orderkey"], folds=2, options=OPTIONS)
 
 
+def holdout_ridge(spark, sf):
+    """The comparison for one of its models, which SQL can follow."""
+    found = benchmark.holdout_compare(_one_feature(spark, sf), "y", ["o_orderkey"], folds=5, options=OPTIONS, names=["Ridge"])
+    return found.select("model", "cv_score", "test_score", "best")
+
+
+_HELD_OUT = "(y - my - w * (coalesce(amount, m) - mx) / sx)"
+HOLDOUT_RIDGE = f"""WITH f AS MATERIALIZED (SELECT o_orderkey, amount, y,
+    ('0x' || substr(md5(concat_ws('|', '42', o_orderkey::VARCHAR)), 1, 8))::BIGINT < {int(0.2 * 2**32)} AS is_test FROM {ORDER_FEATURES_SQL}),
+  tr AS MATERIALIZED (SELECT *, (row_number() OVER (ORDER BY {HASH_ORDER}) - 1) % 5 AS fold FROM f WHERE NOT is_test),
+  held AS (SELECT DISTINCT fold AS h FROM tr UNION ALL SELECT -1),
+  fill AS (SELECT h, avg(amount) AS m FROM held JOIN tr ON fold <> h GROUP BY h),
+  fit AS MATERIALIZED (SELECT h, any_value(m) AS m, avg(y) AS my, avg(coalesce(amount, m)) AS mx, stddev_pop(coalesce(amount, m)) AS sx,
+    covar_pop(coalesce(amount, m), y) / stddev_pop(coalesce(amount, m)) * count(*) / (count(*) + 1) AS w FROM fill JOIN tr ON fold <> h GROUP BY h),
+  cv AS (SELECT fold, 1 - sum(power({_HELD_OUT}, 2)) / (var_pop(y) * count(*)) AS r2 FROM tr JOIN fit ON fold = h GROUP BY fold),
+  test AS (SELECT 1 - sum(power({_HELD_OUT}, 2)) / (var_pop(y) * count(*)) AS r2 FROM f, fit WHERE is_test AND h = -1)
+  SELECT 'Ridge' AS model, round((SELECT avg(r2) FROM cv), 4) AS cv_score, round((SELECT r2 FROM test), 4) AS test_score,
+    'This is the best fit model' AS best"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         cv_scores_linear, cv_scores_bayes, cv_summary, train_all_classifiers, train_all_regressors, model_gbt_multiclass, model_linear,
-        model_ridge, knn_classify, knn_regress, gaussian_nb, tune_rf, tune_gbt, median_prune, best_trial, fold_scores,
-        eval_classification, eval_regression, confusion_matrix, residuals, residual_bins, holdout_compare, boost_first_split, logistic_gradient,
+        model_ridge, knn_classify, knn_blocks, knn_regress, gaussian_nb, tune_rf, tune_gbt, median_prune, best_trial, fold_scores,
+        eval_classification, eval_regression, confusion_matrix, residuals, residual_bins, holdout_compare, holdout_ridge, boost_first_split, logistic_gradient,
     )
 } | {
     "model_logistic": _classifier("LogisticRegression"),
@@ -444,6 +470,7 @@ ORACLES = {
     "model_linear": LINEAR,
     "model_ridge": RIDGE,
     "knn_classify": KNN_CLASS,
+    "knn_blocks": KNN_CLASS,
     "knn_regress": KNN_MEAN,
     "gaussian_nb": BAYES,
     "median_prune": MEDIAN_PRUNE,
@@ -454,6 +481,7 @@ ORACLES = {
     "confusion_matrix": CONFUSION,
     "residuals": RESIDUALS,
     "residual_bins": RESIDUAL_BINS,
+    "holdout_ridge": HOLDOUT_RIDGE,
     "boost_first_split": BOOST_FIRST_SPLIT,
     "logistic_gradient": LOGISTIC_GRADIENT,
 }

@@ -12,7 +12,7 @@ passes.
 Blocks hold state (the margins so far) and are worked on by imperative code per
 partition, hundreds of times over; so they are an RDD of arrays, persisted, with
 its lineage cut by a checkpoint in the shared folder every few rounds. A table
-that is one block (a million rows at most) has nothing to exchange: its passes
+that is one block (a million rows, 16 million cells at most) has nothing to exchange: its passes
 follow each other in one task, and several such parts run side by side. The
 result is stored in the public form of MLlib's boosted models and loaded as one,
 so scoring, streams, the model store and attribution need nothing new.
@@ -43,7 +43,8 @@ from tabloom.operators.prep import FEATURES
 from tabloom.session import checkpoint_folder, fresh_path, write_table
 
 BINS = 256
-BLOCK_ROWS = 1_000_000
+# rows of a block, and cells of its features
+BLOCK_ROWS, BLOCK_CELLS = 1_000_000, 16_000_000
 # partial sums that are added up in one place
 FAN = 32
 # leaves whose sums one pass of a best-first tree asks for
@@ -143,6 +144,7 @@ def blocks_of(df: DataFrame, label: str, cuts: list[np.ndarray], part: int, star
     not depend on how rows lie in blocks, or else by its place in the table.
     """
     width = len(cuts)
+    limit = max(1, min(BLOCK_ROWS, BLOCK_CELLS // max(1, width)))
 
     def packed(x: list[np.ndarray], y: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
         matrix = np.concatenate(x)
@@ -153,9 +155,9 @@ def blocks_of(df: DataFrame, label: str, cuts: list[np.ndarray], part: int, star
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y, keys, held = [], [], [], 0
         for batch in batches:
-            for first in range(0, batch.num_rows, BLOCK_ROWS):
-                piece = batch.slice(first, BLOCK_ROWS)
-                if held + piece.num_rows > BLOCK_ROWS:
+            for first in range(0, batch.num_rows, limit):
+                piece = batch.slice(first, limit)
+                if held + piece.num_rows > limit:
                     yield packed(x, y, keys)
                     x, y, keys, held = [], [], [], 0
                 x.append(to_matrix(piece.column("x")))
@@ -168,7 +170,7 @@ def blocks_of(df: DataFrame, label: str, cuts: list[np.ndarray], part: int, star
     key = F.col(ROW_ID) if ROW_ID in df.columns else F.monotonically_increasing_id()
     rows = df.select(vector_to_array(F.col(FEATURES)).alias("x"), F.col(label).cast("double").alias("y"), key.alias("key"))
     total = rows.count()
-    if total <= BLOCK_ROWS:
+    if total <= limit:
         rows = rows.coalesce(1)
     stored = write_table(rows.mapInArrow(pack, "bins binary, label binary, keys binary"), "blocks")
     numbered = stored.rdd.zipWithIndex()

@@ -1,13 +1,15 @@
 """Exact k nearest neighbours as a join that prunes.
 
 Small reference sets (their size is checked) are broadcast and searched inside
-an Arrow UDF, with no shuffle. Larger ones are joined in blocks: rows are
-assigned to the nearest of a fixed number of pivots, distances to the pivots
-bound how far a neighbour can be (triangle inequality), and a reference row is
-sent only to the query cells it could matter to. Cells are split into blocks
-of bounded size on both sides, so a cell that holds a third of all rows becomes
-many tasks. (Lu, Shen, Chen, Ooi: Efficient processing of k nearest neighbor
-joins using MapReduce, VLDB 2012.)
+an Arrow UDF, with no shuffle. Larger ones are joined in blocks: rows go down a
+tree of pivots, which has a leaf for each block of references, to the leaf that
+is nearest among those of the nearest branch. Distances to the pivots bound how
+far a neighbour can be (triangle inequality): for each leaf of queries whole
+branches of references are passed over, then leaves, then rows, and a reference
+is sent only to the leaves of queries that it could matter to. Leaves are split
+into blocks of bounded size on both sides, so a leaf that holds a third of all
+rows becomes many tasks. (Lu, Shen, Chen, Ooi: Efficient processing of k nearest
+neighbor joins using MapReduce, VLDB 2012.)
 
 Of references with equal vectors only the ``k`` smallest ids can ever be among
 the ``k`` nearest, so copies are reduced first, before any shuffle.
@@ -16,6 +18,7 @@ the ``k`` nearest, so copies are reduced first, before any shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,8 +32,10 @@ from tabloom.session import fits_within, write_table
 
 BROADCAST_CELLS = 4_000_000  # numbers, about 32 MB
 BROADCAST_ROWS = 20_000  # beyond this, pruning saves more than the shuffles cost
-PIVOTS = 128
+LEAST_LEAVES = 64
 BLOCK_ROWS = 20_000
+# leaves of references, the nearest first, that bound how far the neighbours of a leaf of queries are
+BOUNDING = 32
 CHUNK_CELLS = 4_000_000
 DIGITS = 9
 NEIGHBOURS = "array<struct<distance:double,ref:bigint,value:double>>"
@@ -41,14 +46,15 @@ def nearest(
     references: DataFrame,
     k: int,
     broadcast_cells: int = BROADCAST_CELLS,
-    pivots: int = PIVOTS,
+    leaves: int = LEAST_LEAVES,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add ``neighbours`` to ``queries``: the ``k`` nearest references, nearest first.
 
     ``queries`` has ``vector array<double>`` (and any other columns);
     ``references`` has ``ref bigint, vector array<double>, value double``.
-    Distances equal to nine digits are ordered by ``ref``.
+    Distances equal to nine digits are ordered by ``ref``. The tree of pivots has
+    ``leaves`` leaves at least, and one for each ``block_rows`` references.
     """
     references = references.select("ref", "vector", F.col("value").cast("double"))
     width = references.select(F.size("vector")).first()
@@ -57,7 +63,7 @@ def nearest(
     limit = min(BROADCAST_ROWS, broadcast_cells // max(1, width[0]))
     if fits_within(references, limit):
         return _broadcast_search(queries, references.toPandas(), k)
-    return _block_search(queries, references, k, pivots, block_rows)
+    return _block_search(queries, references, k, leaves, block_rows)
 
 
 def top_k(q: np.ndarray, refs: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,33 +125,72 @@ def _broadcast_search(queries: DataFrame, references: pd.DataFrame, k: int) -> D
     return queries.withColumn("neighbours", search(F.col("vector")))
 
 
-def _block_search(queries: DataFrame, references: DataFrame, k: int, pivots: int, block_rows: int) -> DataFrame:
+@dataclass
+class Tree:
+    """Pivots in two levels: a leaf belongs to the nearest of the tops."""
+
+    leaves: np.ndarray
+    tops: np.ndarray
+    members: list[np.ndarray]
+
+    @classmethod
+    def build(cls, pivots: np.ndarray) -> Tree:
+        tops = pivots[: max(1, round(len(pivots) ** 0.5))]
+        of = _distances(pivots, tops).argmin(axis=1)
+        return cls(pivots, tops, [np.flatnonzero(of == t) for t in range(len(tops))])
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaf of each row, and its distance to the pivot."""
+        leaf, gaps = np.zeros(len(x), np.int32), np.zeros(len(x))
+        of = _distances(x, self.tops).argmin(axis=1) if len(x) else np.zeros(0, int)
+        for t in np.unique(of):
+            rows = np.flatnonzero(of == t)
+            leaf[rows] = self.members[t][_distances(x[rows], self.leaves[self.members[t]]).argmin(axis=1)]
+        if len(x):
+            gaps = np.sqrt(((x - self.leaves[leaf]) ** 2).sum(axis=1))
+        return leaf, gaps
+
+
+def _apart(point: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Distances of one point to others, from their differences."""
+    return np.sqrt(((points - point) ** 2).sum(axis=1))
+
+
+def _distances(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Distances of all rows to all points, good enough to choose the nearest."""
+    rough = (x * x).sum(axis=1)[:, None] + (points * points).sum(axis=1)[None, :] - 2.0 * x @ points.T
+    return np.sqrt(np.maximum(rough, 0.0))
+
+
+def _block_search(queries: DataFrame, references: DataFrame, k: int, leaves: int, block_rows: int) -> DataFrame:
     same = Window.partitionBy("vector").orderBy("ref")
     refs = references.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= k).drop("_copy")
-    centres = _matrix(refs.orderBy(F.xxhash64("ref"), "ref").limit(pivots).toPandas()["vector"])
-    cells = _cell_udf(queries, centres)
+    wanted = max(leaves, -(-references.count() // block_rows))
+    # a pivot for each block of references
+    tree = Tree.build(_matrix(refs.orderBy(F.xxhash64("ref"), "ref").limit(wanted).toPandas()["vector"]))
+    cells = _cell_udf(queries, tree)
     # the query id must not change between the two uses of the rows
     q = write_table(
         queries.withColumn("_qid", F.monotonically_increasing_id()).withColumn("_c", cells(F.col("vector"))), "queries"
     )
     r = write_table(refs.withColumn("_c", cells(F.col("vector"))), "references")
-    route = _routes(q, r, centres, k)
-    # at most pivots x pivots rows: safe to broadcast
-    routed = r.join(F.broadcast(route), F.col("_c.cell") == F.col("ref_cell")).where(
+    route = write_table(_routes(q, r, tree, k), "routes")
+    # a reference goes to every leaf of queries that it could matter to; the join is dealt by leaf, and split where one is large
+    routed = r.join(route, F.col("_c.cell") == F.col("ref_cell")).where(
         F.col("_c.distance").between(F.col("near"), F.col("far"))
     )
-    blocks = _blocks(q, routed, block_rows)
+    blocks = write_table(_blocks(q, routed, block_rows), "blocks")
     # both sides need the same key types, or they hash to different partitions
     left = (
         q.select("_qid", "vector", F.col("_c.cell").alias("cell"))
-        .join(F.broadcast(blocks), "cell")
+        .join(blocks, "cell")
         .withColumn("qb", F.pmod(F.xxhash64("_qid"), F.col("query_blocks")).cast("int"))
         .withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("ref_blocks") - 1)))
         .select("cell", "qb", "rb", "_qid", "vector")
     )
     right = (
         routed.select("ref", "vector", "value", F.col("query_cell").alias("cell"))
-        .join(F.broadcast(blocks), "cell")
+        .join(blocks, "cell")
         .withColumn("rb", F.pmod(F.xxhash64("ref"), F.col("ref_blocks")).cast("int"))
         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
         .select("cell", "qb", "rb", "ref", "vector", "value")
@@ -179,46 +224,63 @@ def _block_search(queries: DataFrame, references: DataFrame, k: int, pivots: int
     return q.drop("_c").join(merged, "_qid", "left").drop("_qid")
 
 
-def _cell_udf(df: DataFrame, centres: np.ndarray):
-    shared = df.sparkSession.sparkContext.broadcast(centres)
+def _cell_udf(df: DataFrame, tree: Tree):
+    shared = df.sparkSession.sparkContext.broadcast(tree)
 
     @F.arrow_udf("struct<cell:int,distance:double>")
     def cell(vectors: pa.Array) -> pa.Array:
-        points, x = shared.value, to_matrix(vectors)
-        at, gaps = np.empty(0, np.int32), np.empty(0)
-        if len(x):
-            rough = (points * points).sum(axis=1)[None, :] - 2.0 * x @ points.T
-            at = rough.argmin(axis=1).astype(np.int32)
-            gaps = np.sqrt(((x - points[at]) ** 2).sum(axis=1))
-        return pa.StructArray.from_arrays([pa.array(at), pa.array(gaps)], ["cell", "distance"])
+        leaf, gaps = shared.value.find(to_matrix(vectors))
+        return pa.StructArray.from_arrays([pa.array(leaf), pa.array(gaps)], ["cell", "distance"])
 
     return cell
 
 
-def _routes(q: DataFrame, r: DataFrame, centres: np.ndarray, k: int) -> DataFrame:
-    """For each pair of cells the distances to the pivot at which references matter."""
-    radius = {
-        row["cell"]: row["far"]
-        for row in q.groupBy(F.col("_c.cell").alias("cell")).agg(F.max("_c.distance").alias("far")).collect()
-    }
+def _routes(q: DataFrame, r: DataFrame, tree: Tree, k: int) -> DataFrame:
+    """For each leaf of queries the leaves of references that matter, and the distances to their pivots at which rows do."""
     closest = Window.partitionBy("_c.cell").orderBy("_c.distance")
     inner = r.withColumn("_rank", F.row_number().over(closest)).where(F.col("_rank") <= k)
-    near = [(x["cell"], x["distance"]) for x in inner.select("_c.*").collect()]  # at most pivots x k
-    between = np.sqrt(((centres[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2))
-    cells = np.array([c for c, _ in near])
-    reach = np.array([d for _, d in near])
-    rows = []
-    for cell, far in radius.items():
-        upper = np.sort(far + between[cell][cells] + reach)
-        # every query of the cell has k references within this distance
-        theta = upper[min(k, len(upper)) - 1] if len(upper) >= k else np.inf
-        theta *= 1.0 + 1e-9
-        for other in sorted(set(cells.tolist())):
-            apart = between[cell][other]
-            rows.append((int(cell), int(other), float(apart - far - theta) - 1e-9, float(apart + far + theta) + 1e-9))
-    return q.sparkSession.createDataFrame(
-        rows, "query_cell int, ref_cell int, near double, far double"
-    )
+    known = inner.groupBy(F.col("_c.cell").alias("cell")).agg(F.sort_array(F.collect_list("_c.distance")).alias("near"))
+    widest = r.groupBy(F.col("_c.cell").alias("cell")).agg(F.max("_c.distance").alias("far"))
+    near: dict[int, np.ndarray] = {}
+    far = np.full(len(tree.leaves), -np.inf)  # of leaves without references
+    for row in known.join(widest, "cell").collect():  # k numbers a leaf
+        near[row.cell], far[row.cell] = np.array(row.near), row.far
+    shared = q.sparkSession.sparkContext.broadcast((tree, near, far))
+    reach = q.groupBy(F.col("_c.cell").alias("cell")).agg(F.max("_c.distance").alias("far"))
+
+    def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, near, far = shared.value
+        held = np.array(sorted(near))
+        # how far the references of a branch are from its top
+        spans = np.array([(_apart(tree.tops[t], tree.leaves[m]) + far[m]).max() if len(m) else -np.inf for t, m in enumerate(tree.members)])
+        for batch in batches:
+            out: list[tuple] = []
+            for cell, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                point = tree.leaves[cell]
+                to_tops = _apart(point, tree.tops)
+                # every query of the leaf has k references within this distance: those nearest to the pivots of near leaves
+                gaps, seen = [], 0
+                for t in np.argsort(to_tops):
+                    mine = np.intersect1d(tree.members[t], held)
+                    apart = _apart(point, tree.leaves[mine])
+                    for i in np.argsort(apart):
+                        gaps.append(own + apart[i] + near[int(mine[i])])
+                        seen += 1
+                    if seen >= BOUNDING and sum(map(len, gaps)) >= k:
+                        break
+                upper = np.sort(np.concatenate(gaps))
+                theta = (upper[k - 1] if len(upper) >= k else np.inf) * (1.0 + 1e-9)
+                for t in np.flatnonzero(to_tops - spans - own <= theta + 1e-9):
+                    mine = np.intersect1d(tree.members[t], held)
+                    apart = _apart(point, tree.leaves[mine])
+                    matter = apart - far[mine] - own <= theta + 1e-9
+                    for other, gap in zip(mine[matter].tolist(), apart[matter].tolist()):
+                        out.append((cell, other, gap - own - theta - 1e-9, gap + own + theta + 1e-9))
+            columns = list(zip(*out)) if out else [[]] * 4
+            kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["query_cell", "ref_cell", "near", "far"])
+
+    return reach.mapInArrow(routes, "query_cell int, ref_cell int, near double, far double")
 
 
 def _blocks(q: DataFrame, routed: DataFrame, block_rows: int) -> DataFrame:

@@ -29,9 +29,10 @@ def numbered(
     order: Sequence[Column],
     name: str = "position",
     small_rows: int = SMALL_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
-    """``row_number()`` within ``groups`` by ``order``, 1-based."""
-    rows = df.count()
+    """``row_number()`` within ``groups`` by ``order``, 1-based. ``rows`` is the number of rows, where it is known."""
+    rows = df.count() if rows is None else rows
     if rows <= small_rows:
         window = Window.partitionBy(*[col(g) for g in groups]).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))

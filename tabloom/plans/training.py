@@ -28,7 +28,7 @@ from tabloom.operators.detection import CLASSIFICATION, FeatureSchema, feature_s
 from tabloom.operators.folds import SEED, assign_folds
 from tabloom.operators.metrics import metric_name, score
 from tabloom.operators.ordering import numbered
-from tabloom.operators.prep import FEATURES, FULL, Prep, fit_fold_preps
+from tabloom.operators.prep import FEATURES, FULL, MAX_CATEGORIES, Prep, fit_fold_preps
 from tabloom.plans.closed import Joint, joint_fit
 from tabloom.plans.families import LABEL, NORMAL_SOLVER_WIDTH, ROW_ID, Context, Family, Options, boosted_settings, parameters_json, registry
 from tabloom.session import run_jobs, write_table
@@ -182,18 +182,18 @@ def prepared(table: TrainingTable, prep: Prep) -> DataFrame:
 
 
 def spread(rows: DataFrame, count: int) -> DataFrame:
-    """Use more cores on a table of few files; a large table is left as it is.
+    """Split a table of few files further; a large table is left as it is.
 
     Training makes many passes over few bytes, so a split that suits a scan is
-    too coarse for it; but tasks of a few rows cost more than they save.
+    too coarse for it; but tasks of a few rows cost more than they save. The split
+    follows the rows only, so that a seeded fit does not depend on the cluster.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    wanted = min(cores, math.ceil(count / ROWS_PER_TASK))
+    wanted = math.ceil(count / ROWS_PER_TASK)
     return rows.repartition(wanted, ROW_ID) if rows.rdd.getNumPartitions() < wanted else rows
 
 
-def fit_preps(table: TrainingTable, numeric_strategy: str = "median") -> dict[int, Prep]:
-    return fit_fold_preps(table.rows, table.schema, FOLD, table.folds, numeric_strategy)
+def fit_preps(table: TrainingTable, numeric_strategy: str = "median", max_categories: int = MAX_CATEGORIES) -> dict[int, Prep]:
+    return fit_fold_preps(table.rows, table.schema, FOLD, table.folds, numeric_strategy, max_categories=max_categories)
 
 
 def context_for(table: TrainingTable, part: int, width: int, options: Options) -> Context:
@@ -228,6 +228,7 @@ def train_all(
     options: Options | None = None,
     numeric_strategy: str = "median",
     run_id: str | None = None,
+    max_categories: int = MAX_CATEGORIES,
 ) -> Training:
     """Cross-validate every family, then refit each on all rows.
 
@@ -237,7 +238,7 @@ def train_all(
     options = options or Options()
     families = families if families is not None else registry(table.problem_type)
     run_id = run_id or new_run_id()
-    preps = fit_preps(table, numeric_strategy)
+    preps = fit_preps(table, numeric_strategy, max_categories)
     times = dict.fromkeys(families, 0.0)
     scores: list[tuple[str, str, int, float]] = []
     failures: dict[str, Exception] = {}

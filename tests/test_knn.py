@@ -28,7 +28,7 @@ def brute_force(queries, references, k):
 
 
 @pytest.mark.parametrize(
-    "settings", [{}, {"broadcast_cells": 0, "pivots": 8, "block_rows": 40}, {"broadcast_cells": 0, "pivots": 900}]
+    "settings", [{}, {"broadcast_cells": 0, "leaves": 8, "block_rows": 40}, {"broadcast_cells": 0, "leaves": 900}, {"broadcast_cells": 0, "leaves": 1, "block_rows": 5}]
 )
 def test_neighbours_are_exact(tables, settings):
     queries, references = tables
@@ -44,6 +44,25 @@ def test_fewer_references_than_k(tables):
         assert [r["n"] for r in found] == [3]
 
 
+def test_far_branches_are_passed_over(spark):
+    """Rows in well separated clusters meet the references of their own cluster only."""
+    random = np.random.default_rng(3)
+    centres = random.normal(size=(20, 4)) * 1000
+    points = np.concatenate([c + random.normal(size=(60, 4)) for c in centres])
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "ref long, vector array<double>").withColumn("_c", F.lit(None))
+    tree = knn.Tree.build(points[random.permutation(len(points))[:100]])
+    cells = knn._cell_udf(rows, tree)
+    placed = rows.withColumn("_c", cells(F.col("vector"))).cache()
+    routes = knn._routes(placed, placed, tree, 3).collect()
+    used = placed.select("_c.cell").distinct().count()
+    assert len(routes) < 0.2 * used * used
+    queries = rows.select(F.col("ref").alias("q"), "vector").where("q % 7 = 0")
+    found = knn.nearest(queries, rows.select("ref", "vector", F.lit(1).alias("value")), 3, broadcast_cells=0, leaves=100).select("q", "neighbours.ref").collect()
+    for r in found:
+        gaps = np.round(np.sqrt(((points - points[r["q"]]) ** 2).sum(axis=1)), knn.DIGITS)
+        assert r["ref"] == np.lexsort((np.arange(len(points)), gaps))[:3].tolist()
+
+
 def test_votes(spark):
     rows = spark.sql(
         "SELECT transform(array(2D, 1D, 2D, 1D, 3D), v -> named_struct('distance', 0D, 'ref', 0L, 'value', v)) AS n"

@@ -13,7 +13,12 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+# full-size fits; leave them out with -m "not slow"
+SLOW = {n for n in oracle_sql() if n.startswith(("model_rf", "model_gbt", "model_svc", "model_kernel", "shap_tree"))}
+NAMES = [pytest.param(n, marks=pytest.mark.slow) if n in SLOW else n for n in sorted(oracle_sql())]
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, duck, name):
     verdict, _, _ = check(spark, duck, FOLDER, name)
     assert verdict == "ok"

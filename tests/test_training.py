@@ -168,3 +168,25 @@ def test_holdout_and_suite(spark, houses):
     item = benchmark.BenchmarkTable("Houses", houses, "price", 2, families=("LinearRegression",))
     rows = benchmark.run_suite([item], SMALL)
     assert rows.first()["Model"] == "LinearRegression" and benchmark.chart_data(rows).first()["regression"] > 0
+
+
+def test_suite_from_a_registry(spark, houses, buyers, tmp_path):
+    import json
+
+    from tabloom.sources import registry as listed
+
+    houses.withColumn("noise", F.lit("x")).write.parquet(str(tmp_path / "houses"))
+    buyers.write.parquet(str(tmp_path / "buyers"))
+    datasets = [
+        {"id": "h", "name": "Houses", "path": "houses", "role": "core", "default_target": "price", "drop_columns": ["noise"], "drop_or_convert_columns": {"city": "drop"}},
+        {"id": "b", "name": "Buyers", "path": "buyers", "role": "core", "default_target": "buy"},
+        {"id": "n", "name": "No target", "path": "buyers", "role": "core"},
+        {"id": "o", "name": "Other", "path": "buyers", "role": "other", "default_target": "buy"},
+    ]
+    (tmp_path / "registry.json").write_text(json.dumps({"version": 1, "datasets": datasets}))
+    entries = listed.entries(listed.read_registry(spark, str(tmp_path / "registry.json")))
+    items = benchmark.suite_of(entries, lambda e: spark.read.parquet(str(tmp_path / e.path)), role="core", folds=2)
+    assert [(i.name, i.target, i.folds) for i in items] == [("Houses", "price", 2), ("Buyers", "buy", 2)]
+    assert items[0].table.columns == ["sqft", "bedrooms", "price"]
+    with pytest.raises(ValueError, match="no table"):
+        benchmark.run_suite([])
