@@ -145,20 +145,20 @@ def problem_types(df: DataFrame, rule: str = "dtype") -> DataFrame:
     """The problem each column would pose as a target: ``column, distinct_values, problem_type``.
 
     ``rule="dtype"`` looks at the type only; ``rule="cardinality"`` also calls
-    a number with fewer than 20 distinct values a class label, and counts
-    distinct values up to 20 only, which takes no shuffle of the values.
+    a number with fewer than 20 distinct values a class label, and lists columns
+    without any value. Distinct values are counted in full under both rules.
     """
     columns = [c for c in df.columns if not isinstance(df.schema[c].dataType, NESTED)]
     by_type = F.create_map(
         *[F.lit(x) for c in columns for x in (c, problem_type_of(df.schema[c].dataType))]
     )
     problem = by_type[F.col("column")]
+    counts = value_counts(df, columns).where(F.col("value").isNotNull())
+    stats = counts.groupBy("column").agg(F.count("*").alias("distinct_values"))
     if rule == "cardinality":
-        stats = few_values(df, columns, CLASS_LIMIT)
+        listed = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+        stats = listed.join(stats, "column", "left").select("column", F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"))
         problem = F.when(F.col("distinct_values") < CLASS_LIMIT, F.lit(CLASSIFICATION)).otherwise(problem)
-    else:
-        counts = value_counts(df, columns).where(F.col("value").isNotNull())
-        stats = counts.groupBy("column").agg(F.count("*").alias("distinct_values"))
     return stats.select("column", "distinct_values", problem.alias("problem_type"))
 
 
@@ -177,7 +177,9 @@ def detect_problem(
         raise ValueError("There must be at least one feature column beside the target.")
     problem = task_type or problem_type_of(df.schema[target].dataType)
     if task_type is None and rule == "cardinality":
-        problem = problem_types(df.select(col(target)), rule).first()["problem_type"]
+        # whether there are fewer than the limit needs no full count
+        few = few_values(df, [target], CLASS_LIMIT).first()["distinct_values"] < CLASS_LIMIT
+        problem = CLASSIFICATION if few else problem
     return Detection(problem, feature_schema(df, target))
 
 

@@ -42,3 +42,11 @@ def test_nan_is_not_a_value(spark):
     assert not detection.target_validity(df, "t").first()["is_valid"]
     found = detection.target_summary(df, "t").first()
     assert (found["non_null_count"], found["unique_values"], found["missing_values"]) == (1, 1, 2)
+
+
+def test_cardinality_counts_all_distinct_values(spark):
+    df = spark.range(500).selectExpr("id % 300 AS many", "cast(id % 19 AS double) / 2 AS few", "cast(null AS double) AS none", "cast(id AS string) AS text")
+    found = {r["column"]: (r["distinct_values"], r["problem_type"]) for r in detection.problem_types(df, "cardinality").collect()}
+    assert found == {"many": (300, "regression"), "few": (19, "classification"), "none": (0, "classification"), "text": (500, "classification")}
+    assert detection.detect_problem(df, "many", rule="cardinality").problem_type == "regression"
+    assert detection.detect_problem(df, "few", rule="cardinality").problem_type == "classification"
