@@ -2,15 +2,18 @@
 
 Small reference sets (their size is checked) are broadcast and searched inside
 an Arrow UDF, with no shuffle. Larger ones are joined in blocks: rows go down a
-tree of pivots, which has a leaf for each block of references, to the leaf that
-is nearest among those of the nearest branch. Distances to the pivots bound how
-far a neighbour can be (triangle inequality): for each leaf of queries whole
-branches of references are passed over, then leaves, then rows, and a reference
-is sent only to the leaves of queries that it could matter to. Leaves are split
-into blocks of bounded size on both sides, so a leaf that holds a third of all
-rows becomes many tasks. (Lu, Shen, Chen, Ooi: Efficient processing of k nearest
+tree of pivots to the leaf that is nearest among those of the nearest branch.
+Distances to the pivots bound how far a neighbour can be (triangle inequality):
+for each leaf of queries whole branches of references are passed over, then
+leaves, then rows. (Lu, Shen, Chen, Ooi: Efficient processing of k nearest
 neighbor joins using MapReduce, VLDB 2012.)
 
+Both sides are written once, sorted by leaf and packed into blocks of bounded
+size. Tasks own blocks of queries, read the blocks of references that can matter
+to them one after another from storage, and keep the ``k`` best of each query:
+rows are never copied for the blocks they meet, so what is shuffled and written
+follows the rows, not the pairs.
+
 Of references with equal vectors only the ``k`` smallest ids can ever be among
 the ``k`` nearest, so copies are reduced first, before any shuffle.
 """
@@ -37,6 +40,8 @@ BLOCK_ROWS = 20_000
 # leaves of references, the nearest first, that bound how far the neighbours of a leaf of queries are
 BOUNDING = 32
 CHUNK_CELLS = 4_000_000
+# a packed block: rows, and bytes of its vectors
+PACKED_ROWS, PACKED_BYTES = 4096, 1 << 20
 DIGITS = 9
 NEIGHBOURS = "array<struct<distance:double,ref:bigint,value:double>>"
 
@@ -54,7 +59,8 @@ def nearest(
     ``queries`` has ``vector array<double>`` (and any other columns);
     ``references`` has ``ref bigint, vector array<double>, value double``.
     Distances equal to nine digits are ordered by ``ref``. The tree of pivots has
-    ``leaves`` leaves at least, and one for each ``block_rows`` references.
+    ``leaves`` leaves at least, and one for each ``block_rows`` references; rows are
+    packed into blocks of bounded bytes whatever their leaves.
     """
     references = references.select("ref", "vector", F.col("value").cast("double"))
     width = references.select(F.size("vector")).first()
@@ -137,6 +143,9 @@ class Tree:
     def build(cls, pivots: np.ndarray) -> Tree:
         tops = pivots[: max(1, round(len(pivots) ** 0.5))]
         of = _distances(pivots, tops).argmin(axis=1)
+        # leaves of a branch have numbers that follow each other, so that blocks sorted by leaf hold near rows
+        order = np.argsort(of, kind="stable")
+        pivots, of = pivots[order], of[order]
         return cls(pivots, tops, [np.flatnonzero(of == t) for t in range(len(tops))])
 
     def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,46 +183,32 @@ def _block_search(queries: DataFrame, references: DataFrame, k: int, leaves: int
         queries.withColumn("_qid", F.monotonically_increasing_id()).withColumn("_c", cells(F.col("vector"))), "queries"
     )
     r = write_table(refs.withColumn("_c", cells(F.col("vector"))), "references")
-    route = write_table(_routes(q, r, tree, k), "routes")
-    # a reference goes to every leaf of queries that it could matter to; the join is dealt by leaf, and split where one is large
-    routed = r.join(route, F.col("_c.cell") == F.col("ref_cell")).where(
-        F.col("_c.distance").between(F.col("near"), F.col("far"))
-    )
-    blocks = write_table(_blocks(q, routed, block_rows), "blocks")
-    # both sides need the same key types, or they hash to different partitions
-    left = (
-        q.select("_qid", "vector", F.col("_c.cell").alias("cell"))
-        .join(blocks, "cell")
-        .withColumn("qb", F.pmod(F.xxhash64("_qid"), F.col("query_blocks")).cast("int"))
-        .withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("ref_blocks") - 1)))
-        .select("cell", "qb", "rb", "_qid", "vector")
-    )
-    right = (
-        routed.select("ref", "vector", "value", F.col("query_cell").alias("cell"))
-        .join(blocks, "cell")
-        .withColumn("rb", F.pmod(F.xxhash64("ref"), F.col("ref_blocks")).cast("int"))
-        .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
-        .select("cell", "qb", "rb", "ref", "vector", "value")
+    bounds = _bounds(r, tree, k)
+    right = write_table(_packed(r, "ref", "value").withColumn("rb", F.monotonically_increasing_id()), "reference-blocks")
+    index = [np.array(c) for c in zip(*right.select("rb", "first", "last").collect())]  # three numbers a block
+    wanted_by = _needs(q, bounds, index)
+    left = write_table(wanted_by(_packed(q, "_qid")).withColumn("qb", F.monotonically_increasing_id()), "query-blocks")
+    # neither side is shuffled: a task takes all pairs of its blocks of queries
+    pairs = left.join(
+        right.select("rb", *[F.col(c).alias(f"r_{c}") for c in _PACKED]).hint("shuffle_replicate_nl"),
+        F.array_contains("needs", F.col("rb")),
     )
+    shared = q.sparkSession.sparkContext.broadcast(bounds)
 
-    def search(_key, a: pa.Table, b: pa.Table) -> pa.Table:
-        q, refs = to_matrix(a["vector"].combine_chunks()), to_matrix(b["vector"].combine_chunks())
-        ids, values = b["ref"].to_numpy(), b["value"].to_numpy()
-        rows, at, gaps = top_k(q, refs, ids, k) if len(q) and len(refs) else ([], [], [])
-        rows, at = np.asarray(rows, int), np.asarray(at, int)
-        return pa.table(
-            {
-                "_qid": pa.array(a["_qid"].to_numpy()[rows], pa.int64()),
-                "distance": pa.array(gaps, pa.float64()),
-                "ref": pa.array(ids[at], pa.int64()),
-                "value": pa.array(values[at], pa.float64()),
-            }
-        )
-
-    keys = ["cell", "qb", "rb"]
-    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        search, "_qid bigint, distance double, ref bigint, value double"
-    )
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, _Nearest] = {}
+        for batch in batches:
+            names = batch.schema.names
+            at = {n: batch.column(names.index(n)) for n in ("qb", *_PACKED, *[f"r_{c}" for c in _PACKED])}
+            for i in range(batch.num_rows):
+                block = at["qb"][i].as_py()
+                if block not in held:
+                    held[block] = _Nearest(k, shared.value, *_unpacked([at[c][i] for c in _PACKED])[:4])
+                held[block].meet(*_unpacked([at[f"r_{c}"][i] for c in _PACKED]))
+        for block in held.values():
+            yield block.rows()
+
+    partial = pairs.coalesce(max(1, left.rdd.getNumPartitions())).mapInArrow(search, "_qid bigint, distance double, ref bigint, value double")
     best = Window.partitionBy("_qid").orderBy("distance", "ref")
     merged = (
         partial.withColumn("_rank", F.row_number().over(best))
@@ -235,8 +230,52 @@ def _cell_udf(df: DataFrame, tree: Tree):
     return cell
 
 
-def _routes(q: DataFrame, r: DataFrame, tree: Tree, k: int) -> DataFrame:
-    """For each leaf of queries the leaves of references that matter, and the distances to their pivots at which rows do."""
+@dataclass
+class Bounds:
+    """What is known of the references of each leaf: the ``k`` least distances to its pivot, and the largest."""
+
+    tree: Tree
+    near: dict[int, np.ndarray]
+    far: np.ndarray
+    k: int
+
+    def __post_init__(self) -> None:
+        self.held = np.array(sorted(self.near))
+        tree = self.tree
+        # how far the references of a branch are from its top
+        self.spans = np.array([(_apart(tree.tops[t], tree.leaves[m]) + self.far[m]).max() if len(m) else -np.inf for t, m in enumerate(tree.members)])
+
+    def around(self, cell: int, own: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For queries of a leaf, at most ``own`` from its pivot: the leaves of references that matter, and the distances to their pivots at which rows do."""
+        tree, k = self.tree, self.k
+        point = tree.leaves[cell]
+        to_tops = _apart(point, tree.tops)
+        # every query has k references within this distance: those nearest to the pivots of near leaves
+        gaps, seen = [], 0
+        for t in np.argsort(to_tops):
+            mine = np.intersect1d(tree.members[t], self.held)
+            apart = _apart(point, tree.leaves[mine])
+            for i in np.argsort(apart):
+                gaps.append(own + apart[i] + self.near[int(mine[i])])
+                seen += 1
+            if seen >= BOUNDING and sum(map(len, gaps)) >= k:
+                break
+        upper = np.sort(np.concatenate(gaps))
+        theta = (upper[k - 1] if len(upper) >= k else np.inf) * (1.0 + 1e-9)
+        leaves, low, high = [], [], []
+        for t in np.flatnonzero(to_tops - self.spans - own <= theta + 1e-9):
+            mine = np.intersect1d(tree.members[t], self.held)
+            apart = _apart(point, tree.leaves[mine])
+            matter = apart - self.far[mine] - own <= theta + 1e-9
+            leaves.append(mine[matter])
+            low.append(apart[matter] - own - theta - 1e-9)
+            high.append(apart[matter] + own + theta + 1e-9)
+        if not leaves:
+            return np.empty(0, int), np.empty(0), np.empty(0)
+        return np.concatenate(leaves), np.concatenate(low), np.concatenate(high)
+
+
+def _bounds(r: DataFrame, tree: Tree, k: int) -> Bounds:
     closest = Window.partitionBy("_c.cell").orderBy("_c.distance")
     inner = r.withColumn("_rank", F.row_number().over(closest)).where(F.col("_rank") <= k)
     known = inner.groupBy(F.col("_c.cell").alias("cell")).agg(F.sort_array(F.collect_list("_c.distance")).alias("near"))
@@ -245,54 +284,169 @@ def _routes(q: DataFrame, r: DataFrame, tree: Tree, k: int) -> DataFrame:
     far = np.full(len(tree.leaves), -np.inf)  # of leaves without references
     for row in known.join(widest, "cell").collect():  # k numbers a leaf
         near[row.cell], far[row.cell] = np.array(row.near), row.far
-    shared = q.sparkSession.sparkContext.broadcast((tree, near, far))
+    return Bounds(tree, near, far, k)
+
+
+def _routes(q: DataFrame, r: DataFrame, tree: Tree, k: int) -> DataFrame:
+    """For each leaf of queries the leaves of references that matter, and the distances to their pivots at which rows do."""
+    shared = q.sparkSession.sparkContext.broadcast(_bounds(r, tree, k))
     reach = q.groupBy(F.col("_c.cell").alias("cell")).agg(F.max("_c.distance").alias("far"))
 
     def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, near, far = shared.value
-        held = np.array(sorted(near))
-        # how far the references of a branch are from its top
-        spans = np.array([(_apart(tree.tops[t], tree.leaves[m]) + far[m]).max() if len(m) else -np.inf for t, m in enumerate(tree.members)])
         for batch in batches:
-            out: list[tuple] = []
             for cell, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                point = tree.leaves[cell]
-                to_tops = _apart(point, tree.tops)
-                # every query of the leaf has k references within this distance: those nearest to the pivots of near leaves
-                gaps, seen = [], 0
-                for t in np.argsort(to_tops):
-                    mine = np.intersect1d(tree.members[t], held)
-                    apart = _apart(point, tree.leaves[mine])
-                    for i in np.argsort(apart):
-                        gaps.append(own + apart[i] + near[int(mine[i])])
-                        seen += 1
-                    if seen >= BOUNDING and sum(map(len, gaps)) >= k:
-                        break
-                upper = np.sort(np.concatenate(gaps))
-                theta = (upper[k - 1] if len(upper) >= k else np.inf) * (1.0 + 1e-9)
-                for t in np.flatnonzero(to_tops - spans - own <= theta + 1e-9):
-                    mine = np.intersect1d(tree.members[t], held)
-                    apart = _apart(point, tree.leaves[mine])
-                    matter = apart - far[mine] - own <= theta + 1e-9
-                    for other, gap in zip(mine[matter].tolist(), apart[matter].tolist()):
-                        out.append((cell, other, gap - own - theta - 1e-9, gap + own + theta + 1e-9))
-            columns = list(zip(*out)) if out else [[]] * 4
-            kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["query_cell", "ref_cell", "near", "far"])
+                leaves, low, high = shared.value.around(cell, own)
+                columns = (pa.array(np.full(len(leaves), cell), pa.int32()), pa.array(leaves, pa.int32()), pa.array(low), pa.array(high))
+                yield pa.RecordBatch.from_arrays(list(columns), ["query_cell", "ref_cell", "near", "far"])
 
     return reach.mapInArrow(routes, "query_cell int, ref_cell int, near double, far double")
 
 
-def _blocks(q: DataFrame, routed: DataFrame, block_rows: int) -> DataFrame:
-    """How many blocks each cell is split into on both sides."""
-    query_rows = q.groupBy(F.col("_c.cell").alias("cell")).agg(F.count("*").alias("nq"))
-    ref_rows = routed.groupBy(F.col("query_cell").alias("cell")).agg(F.count("*").alias("nr"))
-    return query_rows.join(ref_rows, "cell").select(
-        "cell",
-        F.ceil(F.col("nq") / F.lit(block_rows)).cast("int").alias("query_blocks"),
-        F.ceil(F.col("nr") / F.lit(block_rows)).cast("int").alias("ref_blocks"),
+# a block as bytes: ids, leaves, distances to their pivots, vectors, values
+_PACKED = ("ids", "cells", "gaps", "vectors", "values")
+
+
+def _packed(rows: DataFrame, key: str, value: str | None = None) -> DataFrame:
+    """Rows sorted by leaf, in blocks: ``first`` and ``last`` leaf, and the columns ``_PACKED``."""
+    count, width = rows.count(), len(rows.select("vector").first()["vector"]) if rows.take(1) else 1
+    limit = max(1, min(PACKED_ROWS, PACKED_BYTES // (8 * max(1, width))))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(-(-count // limit), max(4 * cores, -(-count // (16 * limit)))))
+    chosen = rows.select(
+        F.col(key).alias("id"), F.col("_c.cell").alias("cell"), F.col("_c.distance").alias("gap"), "vector",
+        (F.col(value) if value else F.lit(None)).cast("double").alias("value"),
     )
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
+
+        def packed() -> pa.RecordBatch:
+            block = pa.Table.from_batches(waiting).combine_chunks()
+            cells = block["cell"].to_numpy().astype(np.int32)
+            kept = (block["id"].to_numpy(), cells, block["gap"].to_numpy(), to_matrix(block["vector"].combine_chunks()), block["value"].to_numpy().astype(float))
+            columns = [pa.array([int(cells[0])], pa.int32()), pa.array([int(cells[-1])], pa.int32())]
+            return pa.RecordBatch.from_arrays([*columns, *[pa.array([c.tobytes()], pa.binary()) for c in kept]], ["first", "last", *_PACKED])
+
+        for batch in batches:
+            while batch.num_rows:
+                piece = batch.slice(0, limit - n)
+                batch = batch.slice(piece.num_rows)
+                waiting.append(piece)
+                n += piece.num_rows
+                if n == limit:
+                    yield packed()
+                    waiting, n = [], 0
+        if n:
+            yield packed()
+
+    # ranges of leaf and id: a leaf that holds a third of all rows becomes many blocks
+    ordered = chosen.repartitionByRange(parts, "cell", F.xxhash64("id")).sortWithinPartitions("cell")
+    return ordered.mapInArrow(pack, "first int, last int, " + ", ".join(f"{c} binary" for c in _PACKED))
+
+
+def _unpacked(block: list) -> list[np.ndarray]:
+    kinds = (np.int64, np.int32, float, float, float)
+    found = [np.frombuffer(b.as_buffer(), t) for b, t in zip(block, kinds)]
+    found[3] = found[3].reshape(len(found[0]), -1)
+    return found
+
+
+def _leaf_runs(cells: np.ndarray) -> list[tuple[int, int]]:
+    starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), len(cells)]))
+
+
+def _needs(q: DataFrame, bounds: Bounds, index: list[np.ndarray]):
+    """Adds ``needs`` to blocks of queries: the blocks of references that can matter to them."""
+    shared = q.sparkSession.sparkContext.broadcast((bounds, index))
+
+    @F.arrow_udf("array<bigint>")
+    def needs(cells: pa.Array, gaps: pa.Array) -> pa.Array:
+        bounds, (numbers, first, last) = shared.value
+        out = []
+        for c, g in zip(cells, gaps):
+            cell, gap = np.frombuffer(c.as_buffer(), np.int32), np.frombuffer(g.as_buffer(), float)
+            matters = np.zeros(len(bounds.far) + 1, int)
+            for a, b in _leaf_runs(cell):
+                matters[1 + bounds.around(int(cell[a]), float(gap[a:b].max()))[0]] = 1
+            before = np.cumsum(matters)
+            out.append(numbers[before[last + 1] > before[first]].tolist())
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return lambda blocks: blocks.withColumn("needs", needs("cells", "gaps")).drop("first", "last")
+
+
+class _Nearest:
+    """The nearest references so far of a block of queries."""
+
+    def __init__(self, k: int, bounds: Bounds, ids: np.ndarray, cells: np.ndarray, gaps: np.ndarray, x: np.ndarray):
+        self.k, self.ids, self.x = k, ids, x
+        self.squares = np.einsum("ij,ij->i", x, x)
+        self.gaps = np.full((len(ids), k), np.inf)
+        self.refs = np.full((len(ids), k), -1)
+        self.values = np.zeros((len(ids), k))
+        self.runs = []
+        for a, b in _leaf_runs(cells):
+            leaves, near, far = bounds.around(int(cells[a]), float(gaps[a:b].max()))
+            low, high = np.full(len(bounds.far), np.inf), np.full(len(bounds.far), -np.inf)
+            low[leaves], high[leaves] = near, far
+            self.runs.append((np.arange(a, b), low, high))
+
+    def meet(self, ids: np.ndarray, cells: np.ndarray, gaps: np.ndarray, y: np.ndarray, values: np.ndarray) -> None:
+        """Measure the references that can matter."""
+        whole = []
+        for rows, low, high in self.runs:
+            keep = (gaps >= low[cells]) & (gaps <= high[cells])
+            if keep.all():
+                whole.append(rows)
+            elif keep.any():
+                self._measure(rows, ids[keep], y[keep], values[keep])
+        if whole:
+            self._measure(np.concatenate(whole), ids, y, values)
+
+    def _measure(self, rows: np.ndarray, ids: np.ndarray, y: np.ndarray, values: np.ndarray) -> None:
+        squares = np.einsum("ij,ij->i", y, y)
+        step = max(1, CHUNK_CELLS // len(y))
+        for start in range(0, len(rows), step):
+            own = rows[start : start + step]
+            part, q2 = self.x[own], self.squares[own]
+            rough = part @ (-2.0 * y.T)
+            rough += q2[:, None]
+            rough += squares[None, :]
+            # as far as the k-th so far, or else the k-th of these; only those within rounding error of it are measured exactly
+            limit = (self.gaps[own, -1] + 10.0**-DIGITS) ** 2
+            open_ = np.flatnonzero(np.isinf(limit))
+            if len(open_) and len(y) >= self.k:
+                limit[open_] = np.partition(rough[open_], self.k - 1, axis=1)[:, self.k - 1]
+            limit += 1e-9 * (1.0 + q2 + squares.max())
+            at, cols = np.nonzero(rough <= limit[:, None])
+            if not len(at):
+                continue
+            exact = np.empty(len(at))
+            block = max(1, CHUNK_CELLS // max(1, y.shape[1]))
+            for s in range(0, len(at), block):
+                d = part[at[s : s + block]] - y[cols[s : s + block]]
+                exact[s : s + block] = np.sqrt(np.einsum("ij,ij->i", d, d))
+            self._keep(own[at], np.round(exact, DIGITS), ids[cols], values[cols])
+
+    def _keep(self, rows: np.ndarray, gaps: np.ndarray, refs: np.ndarray, values: np.ndarray) -> None:
+        """The ``k`` best of those so far and the new ones, ties by ``ref``."""
+        mine = np.unique(rows)
+        rows = np.concatenate([np.repeat(mine, self.k), rows])
+        gaps = np.concatenate([self.gaps[mine].ravel(), gaps])
+        refs = np.concatenate([self.refs[mine].ravel(), refs])
+        values = np.concatenate([self.values[mine].ravel(), values])
+        order = np.lexsort((refs, gaps, rows))
+        rows = rows[order]
+        order = order[np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < self.k]
+        for held, new in ((self.gaps, gaps), (self.refs, refs), (self.values, values)):
+            held[mine] = new[order].reshape(len(mine), self.k)
+
+    def rows(self) -> pa.RecordBatch:
+        found = np.isfinite(self.gaps)
+        columns = (np.repeat(self.ids, found.sum(axis=1)), self.gaps[found], self.refs[found], self.values[found])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["_qid", "distance", "ref", "value"])
+
 
 def majority(neighbours: Column) -> Column:
     """Most frequent value among the neighbours; a tie goes to the smallest."""

@@ -71,3 +71,26 @@ def test_votes(spark):
         knn.majority(F.col("n")).alias("vote"), knn.mean_value(F.col("n")).alias("mean"), knn.vote_shares(F.col("n"), 4).alias("s")
     ).first()
     assert found["vote"] == 1.0 and found["mean"] == pytest.approx(1.8) and found["s"] == [0.0, 0.4, 0.4, 0.2]
+
+
+def test_rows_are_not_copied_for_the_blocks_they_meet(spark, monkeypatch):
+    """What is written grows with the rows, not with the pairs of blocks; the answer is that of a full search."""
+    written = []
+    write = knn.write_table
+
+    def note(df, name):
+        table = write(df, name)
+        written.append((name, table.count()))
+        return table
+
+    monkeypatch.setattr(knn, "write_table", note)
+    monkeypatch.setattr(knn, "PACKED_ROWS", 100)
+    points = np.random.default_rng(8).normal(size=(1500, 12))
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "ref long, vector array<double>")
+    queries = rows.where("ref < 400").withColumnRenamed("ref", "q")
+    references = rows.where("ref >= 400").withColumn("value", F.col("ref") % 3)
+    found = knn.nearest(queries, references, 4, broadcast_cells=0, leaves=8, block_rows=20).select("q", "neighbours.ref").collect()
+    assert {r["q"]: r["ref"] for r in found} == brute_force(queries, references, 4)
+    sizes = dict(written)
+    assert sizes["queries"] == 400 and sizes["references"] == 1100 and "routes" not in sizes
+    assert sizes["query-blocks"] <= 4 + 32 and sizes["reference-blocks"] <= 11 + 32
