@@ -13,6 +13,8 @@ from tabloom.session import parts_for
 
 SEED = 42
 COPIES_PER_CHUNK = 100_000
+# rows that one task writes out when counted rows are expanded
+ROWS_PER_TASK = 250_000
 
 
 def effective_folds(folds: int, limit: int) -> int:
@@ -97,7 +99,8 @@ def _folds_without_key(df, strata, k, seed, small_rows):
     chunk = F.lit(COPIES_PER_CHUNK)
     chunks = first.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / chunk))))
     if rows > small_rows:
-        chunks = chunks.repartition(*[col(c) for c in columns], "_chunk")
+        # a number of its own: counted rows are few bytes, and would be put together into one task
+        chunks = chunks.repartition(-(-rows // ROWS_PER_TASK), *[col(c) for c in columns], "_chunk")
     begin = F.col("_chunk") * chunk
     end = F.least(begin + chunk, F.col("_copies")) - 1
     copies = chunks.withColumn("_copy", F.explode(F.sequence(begin, end)))

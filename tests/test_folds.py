@@ -76,3 +76,13 @@ def test_numbering_splits_equal_rows(spark):
 def test_large_sample_equals_small_form(skewed):
     assert same(sample_rows(skewed, 700, ["id"]), sample_rows(skewed, 700, ["id"], top_rows=1))
     assert sample_rows(skewed, 10**6, ["id"], top_rows=1).count() == 3000
+
+
+def test_few_distinct_rows_are_expanded_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(folds, "ROWS_PER_TASK", 500, raising=False)
+    df = spark.range(6000).select((F.col("id") % 200).alias("x"), (F.col("id") % 2).alias("c"))
+    found = folds.stratified_folds(df, ["c"], 3, small_rows=100).withColumn("task", F.spark_partition_id())
+    assert found.groupBy("x", "c").count().where("count = 30").count() == 200
+    assert {r["count"] for r in found.groupBy("c", "fold").count().collect()} == {1000}
+    sizes = [r["count"] for r in found.groupBy("task").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 2000
