@@ -143,3 +143,21 @@ def test_sampling_is_seeded():
     assert (first == bo.drawn_rows(0.7, 42, 3, keys)).all() and abs(first.mean() - 0.7) < 0.02
     assert (first != bo.drawn_rows(0.7, 42, 4, keys)).any() and bo.drawn_rows(1.0, 42, 3, keys) is None
     assert len(bo.drawn_columns(0.9, 1, 2, 0, 20)) == 18 and len(bo.drawn_columns(0.1, 1, 2, 0, 3)) == 1
+
+
+def test_features_of_few_bins_are_counted_together():
+    random = np.random.default_rng(4)
+    sizes = [50, 11, 9, 2, 1, 256, 2, 3]
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    bins = np.stack([random.integers(0, s, 3000) for s in sizes]).astype(np.uint8)
+    g, h = random.normal(size=3000), random.random(3000)
+    bundles = bo.bundles_of(bins, begins)
+    assert len(bundles) < len(sizes) / 2 and sorted(f for fs, _, _ in bundles for f in fs) == list(range(len(sizes)))
+    rows, columns = np.flatnonzero(random.random(3000) < 0.6), np.array([0, 2, 3, 5, 7])
+    for second in (h, None):
+        total = bo.row_sums(rows, bundles, columns, begins, g, second)
+        for f, size in enumerate(sizes):
+            key, part = bins[f][rows], total[:, begins[f] : begins[f + 1]]
+            weights = (g[rows], np.ones(len(rows)) if second is None else h[rows], np.ones(len(rows)))
+            expected = [np.bincount(key, w, size) for w in weights]
+            assert np.allclose(part, expected if f in columns else 0.0)
