@@ -161,3 +161,35 @@ def test_features_of_few_bins_are_counted_together():
             weights = (g[rows], np.ones(len(rows)) if second is None else h[rows], np.ones(len(rows)))
             expected = [np.bincount(key, w, size) for w in weights]
             assert np.allclose(part, expected if f in columns else 0.0)
+
+
+@pytest.mark.parametrize(("classes", "settings"), [
+    (0, bo.Settings(rounds=4, rate=0.3, depth=0, leaves=7, penalty=0.0, least_weight=1e-3, least_rows=5)),
+    (2, bo.Settings(rounds=4, rate=0.3, depth=3)),
+    (3, bo.Settings(rounds=3, rate=0.3, depth=3, columns_share=0.7)),
+])
+def test_rows_of_the_same_bins_are_counted(spark, monkeypatch, classes, settings):
+    """As many blocks of rows would give, in one block."""
+    random = np.random.default_rng(6)
+    x = random.integers(0, [7, 4, 2], (900, 3))
+    y = x[:, 0] * (1 + x[:, 2]) - x[:, 1] + random.normal(size=900)
+    y = np.digitize(y, [3] if classes == 2 else [1, 5]).astype(float) if classes else y
+    df = table(spark, x, y)
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 7 * 4 * 2 * max(1, classes))
+    blocks = bo.blocks_of
+    monkeypatch.setattr(bo, "blocks_of", lambda *_: pytest.fail("rows were packed one by one"))
+    _, found, cuts = bo.boost({0: df}, "_label", classes, settings)[0]
+    monkeypatch.setattr(bo, "blocks_of", blocks)
+    monkeypatch.setattr(bo, "counted_block", lambda *_: None)
+    _, expected, _ = bo.boost({0: df}, "_label", classes, settings)[0]
+    for own, other in zip(found, expected, strict=True):
+        for a, b in zip(own, other, strict=True):
+            assert of_tree(a, cuts) == of_tree(b, cuts) and a.rows == b.rows and a.value == pytest.approx(b.value)
+
+
+def test_counted_rows_are_drawn_as_if_one_by_one():
+    counts = np.array([1, 10, 100_000])
+    drawn = np.stack([bo.drawn_counts(0.9, 42, turn, counts) for turn in range(200)])
+    assert (drawn == np.stack([bo.drawn_counts(0.9, 42, turn, counts) for turn in range(200)])).all()
+    assert (drawn <= counts).all() and abs(drawn.mean(axis=0) / counts - 0.9).max() < 0.1
+    assert 60 < drawn[:, 2].std() < 130 and (bo.drawn_counts(1.0, 42, 0, counts) == counts).all()
