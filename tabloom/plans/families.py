@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators.boosting import Settings, fit_boosted
 from tabloom.operators.detection import CLASSIFICATION
+from tabloom.operators.forest import fit_forest
 from tabloom.operators.kernel import FourierMap, scaled_gamma
 from tabloom.operators.neighbours import Neighbours
 from tabloom.operators.prep import FEATURES
@@ -133,8 +134,9 @@ def _forest(classifier: bool) -> Fit:
             "seed": context.options.seed,
             "featureSubsetStrategy": "sqrt" if classifier else "all",
         }
-        estimator = RandomForestClassifier if classifier else RandomForestRegressor
-        return estimator(**_columns(**settings | params)).fit(df)
+        estimator = (RandomForestClassifier if classifier else RandomForestRegressor)(**_columns(**settings | params))
+        own = {param.name: value for param, value in estimator.extractParamMap().items()}
+        return fit_forest(df, LABEL, context.classes if classifier else 0, own) or estimator.fit(df)
 
     return fit
 
