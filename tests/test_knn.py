@@ -94,3 +94,17 @@ def test_rows_are_not_copied_for_the_blocks_they_meet(spark, monkeypatch):
     sizes = dict(written)
     assert sizes["queries"] == 400 and sizes["references"] == 1100 and "routes" not in sizes
     assert sizes["query-blocks"] <= 4 + 32 and sizes["reference-blocks"] <= 11 + 32
+
+
+def test_queries_that_repeat_are_searched_once(tables, monkeypatch):
+    queries, references = tables
+    searched, search = [], knn._block_search
+    monkeypatch.setattr(knn, "_block_search", lambda q, *rest: searched.append(q.count()) or search(q, *rest))
+    many = queries.crossJoin(queries.sparkSession.range(4).withColumnRenamed("id", "copy"))
+    found = knn.nearest(many, references, 5, broadcast_cells=0)
+    assert found.columns == ["q", "vector", "copy", "neighbours"]
+    rows = found.select("q", "copy", "neighbours.ref").collect()
+    expected = brute_force(queries, references, 5)
+    assert len(rows) == 800 and {(r["q"], r["copy"]) for r in rows} == {(q, c) for q in expected for c in range(4)}
+    assert all(r["ref"] == expected[r["q"]] for r in rows)
+    assert searched == [queries.select("vector").distinct().count()]
