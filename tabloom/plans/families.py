@@ -19,9 +19,11 @@ from pyspark.ml.classification import (
     LogisticRegression,
     NaiveBayes,
     OneVsRest,
+    OneVsRestModel,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import SQLTransformer
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,11 +31,12 @@ from pyspark.sql import functions as F
 from tabloom.operators.boosting import Settings, fit_boosted
 from tabloom.operators.detection import CLASSIFICATION
 from tabloom.operators.forest import fit_forest
-from tabloom.operators.huber import WIDEST, fit_huber, stored_linear
+from tabloom.operators.huber import WIDEST, equal_rows, fit_huber, stored_linear
 from tabloom.operators.kernel import FourierMap, scaled_gamma
 from tabloom.operators.neighbours import Neighbours
 from tabloom.operators.prep import FEATURES
-from tabloom.session import checkpoint_folder
+from tabloom.operators.support import fit_support, stored_support
+from tabloom.session import checkpoint_folder, run_jobs
 
 LABEL = "_label"
 ROW_ID = "_rid"
@@ -177,8 +180,9 @@ def _kernel_svc(df, context, params):
     )
     settings = {"regParam": 1.0 / max(1, context.rows), "maxIter": context.options.kernel_iterations, "tol": KERNEL_TOLERANCE} | params
     linear = LinearSVC(featuresCol="_fourier", labelCol=LABEL, **settings)
+    several = None
     if context.classes > 2:
-        linear = OneVsRest(
+        several = OneVsRest(
             featuresCol="_fourier", labelCol=LABEL, classifier=linear, parallelism=context.options.parallelism
         )
     platt = LogisticRegression(
@@ -190,7 +194,20 @@ def _kernel_svc(df, context, params):
         regParam=1.0 / max(1, context.rows),
         maxIter=min(25, context.options.kernel_iterations),
     )
-    return Pipeline(stages=[mapped, linear, platt]).fit(df)
+    if context.options.fourier_features > WIDEST or set(params) - {"regParam", "maxIter", "tol"}:
+        return Pipeline(stages=[mapped, several or linear, platt]).fit(df)
+    own = {param.name: value for param, value in linear.extractParamMap().items()}
+    basis = (mapped.getOrDefault(mapped.size), mapped.getOrDefault(mapped.gamma), context.options.seed)
+    counted = equal_rows(df, F.col(LABEL))
+    fits = [lambda c=c: fit_support(counted, float(c), *basis, own["regParam"], own["maxIter"], own["tol"]) for c in (range(context.classes) if several else [1])]
+    found = [stored_support(df.sparkSession, *fit, own) for fit in run_jobs(fits, context.options.parallelism)]
+    model = several._copyValues(OneVsRestModel(models=found)) if several else found[0]
+    # equal rows have equal margins
+    margins = model.transform(mapped.transform(counted.select(array_to_vector("x").alias(FEATURES), F.col("y").alias(LABEL), "n")))
+    calibrated = platt.copy({platt.weightCol: "n"}).fit(margins)
+    calibrated.clear(calibrated.weightCol)
+    counted.unpersist()
+    return PipelineModel([mapped, model, calibrated])
 
 
 def _kernel_huber(df, context, params):
