@@ -23,6 +23,13 @@ def score(problem_type: str, actual: Column, predicted: Column) -> Column:
     return accuracy(actual, predicted) if problem_type == CLASSIFICATION else rmse(actual, predicted)
 
 
+def counted_score(problem_type: str, actual: Column, predicted: Column, n: Column) -> Column:
+    """The score of rows that stand for ``n`` rows each."""
+    if problem_type == CLASSIFICATION:
+        return F.sum(F.coalesce((actual == predicted).cast("double"), F.lit(0.0)) * n) / F.sum(n)
+    return F.sqrt(F.sum(F.pow(actual - predicted, F.lit(2.0)) * n) / F.sum(n))
+
+
 def metric_name(problem_type: str) -> str:
     return "Accuracy" if problem_type == CLASSIFICATION else "RMSE"
 

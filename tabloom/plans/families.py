@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators.boosting import Settings, fit_boosted
 from tabloom.operators.detection import CLASSIFICATION
-from tabloom.operators.forest import fit_forest
+from tabloom.operators.forest import fit_forest, forest_cells, held_out
 from tabloom.operators.huber import WIDEST, equal_rows, fit_huber, stored_linear
 from tabloom.operators.kernel import FourierMap, scaled_gamma
 from tabloom.operators.neighbours import Neighbours
@@ -84,6 +84,8 @@ class Family:
     name: str
     fit: Fit
     leafy: bool | None = None  # boosted trees: best leaf first, or level by level
+    # rows to fit on, held-out rows, context -> parameters -> ``y, prediction, n`` of the held-out rows, without a model; ``None`` if not possible
+    counted: Callable[[DataFrame, DataFrame, Context], Callable[[dict[str, Any]], DataFrame] | None] | None = None
 
     def __call__(self, df: DataFrame, context: Context, params: dict[str, Any] | None = None) -> Any:
         return self.fit(df, context, params or {})
@@ -128,25 +130,49 @@ def group_memory(spark: SparkSession) -> int:
     return max(256, int(whole / max(1, tasks) / 4))
 
 
+def _forest_estimator(classifier: bool, spark: SparkSession, context: Context, params: dict[str, Any]):
+    # rows remember their node, so that tasks are not sent the forest at every level
+    checkpoint_folder(spark)
+    settings = {
+        "cacheNodeIds": True,
+        "maxMemoryInMB": group_memory(spark),
+        "numTrees": context.options.trees,
+        "maxDepth": context.options.forest_depth,
+        "seed": context.options.seed,
+        "featureSubsetStrategy": "sqrt" if classifier else "all",
+    }
+    return (RandomForestClassifier if classifier else RandomForestRegressor)(**_columns(**settings | params))
+
+
+def _values(estimator) -> dict[str, Any]:
+    return {param.name: value for param, value in estimator.extractParamMap().items()}
+
+
 def _forest(classifier: bool) -> Fit:
     def fit(df, context, params):
-        # rows remember their node, so that tasks are not sent the forest at every level
-        checkpoint_folder(df.sparkSession)
-        settings = {
-            "cacheNodeIds": True,
-            "maxMemoryInMB": group_memory(df.sparkSession),
-            "numTrees": context.options.trees,
-            "maxDepth": context.options.forest_depth,
-            "seed": context.options.seed,
-            "featureSubsetStrategy": "sqrt" if classifier else "all",
-        }
-        estimator = (RandomForestClassifier if classifier else RandomForestRegressor)(**_columns(**settings | params))
-        own = {param.name: value for param, value in estimator.extractParamMap().items()}
-        return fit_forest(df, LABEL, context.classes if classifier else 0, own) or estimator.fit(df)
+        estimator = _forest_estimator(classifier, df.sparkSession, context, params)
+        return fit_forest(df, LABEL, context.classes if classifier else 0, _values(estimator)) or estimator.fit(df)
 
     return fit
 
 
+# parameters of a forest that change the cells it is grown from
+CELL_PARAMETERS = {"maxBins", "bootstrap"}
+
+
+def _counted_forest(classifier: bool):
+    def make(train, held, context):
+        def settings(params):
+            return _values(_forest_estimator(classifier, train.sparkSession, context, params))
+
+        classes = context.classes if classifier else 0
+        cells = forest_cells(train, LABEL, classes, settings({}))
+        found = held_out(cells, held, LABEL, classes) if cells else None
+        return found and (lambda params: found(settings(params)))
+
+    return make
+
+
 def boosted_settings(leafy: bool, options: Options, params: dict[str, Any]) -> Settings:
     """Trees grown level by level, or best leaf first; ``params`` come under MLlib's names."""
     if leafy:
@@ -251,7 +277,7 @@ def _naive_bayes(df, context, params):
 
 CLASSIFIERS = (
     Family("LogisticRegression", _logistic),
-    Family("RandomForestClassifier", _forest(True)),
+    Family("RandomForestClassifier", _forest(True), counted=_counted_forest(True)),
     Family("KernelSVC", _kernel_svc),
     Family("KNN", _neighbours),
     Family("NaiveBayes", _naive_bayes),
@@ -260,7 +286,7 @@ CLASSIFIERS = (
 )
 REGRESSORS = (
     Family("LinearRegression", _linear),
-    Family("RandomForestRegressor", _forest(False)),
+    Family("RandomForestRegressor", _forest(False), counted=_counted_forest(False)),
     Family("KernelHuber", _kernel_huber),
     Family("KNNRegressor", _neighbours),
     Family("BoostedTreesRegressor", _boosted(False, False), False),

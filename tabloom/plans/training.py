@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 from time import perf_counter
@@ -26,11 +26,11 @@ from tabloom.functions.columns import col, missing_to_null
 from tabloom.operators.boosting import fit_boosted
 from tabloom.operators.detection import CLASSIFICATION, FeatureSchema, feature_schema
 from tabloom.operators.folds import SEED, assign_folds
-from tabloom.operators.metrics import metric_name, score
+from tabloom.operators.metrics import counted_score, metric_name, score
 from tabloom.operators.ordering import numbered
 from tabloom.operators.prep import FEATURES, FULL, MAX_CATEGORIES, Prep, fit_fold_preps
 from tabloom.plans.closed import Joint, joint_fit
-from tabloom.plans.families import LABEL, NORMAL_SOLVER_WIDTH, ROW_ID, Context, Family, Options, boosted_settings, parameters_json, registry
+from tabloom.plans.families import CELL_PARAMETERS, LABEL, NORMAL_SOLVER_WIDTH, ROW_ID, Context, Family, Options, boosted_settings, parameters_json, registry
 from tabloom.session import run_jobs, write_table
 
 FOLD = "_fold"
@@ -203,11 +203,28 @@ def context_for(table: TrainingTable, part: int, width: int, options: Options) -
 
 def fold_score(table: TrainingTable, family: Family, data: DataFrame, fold: int, context: Context, params=None) -> float:
     """Fit on all folds but one and score on that one."""
+    scorer = counted_scorer(table, family, data, fold, context, params or {})
+    if scorer is not None:
+        return scorer(params or {})
     model = family(data.where(F.col(FOLD) != fold), context, params)
     predicted = model.transform(data.where(F.col(FOLD) == fold))
     return predicted.agg(score(table.problem_type, F.col(LABEL), F.col("prediction"))).first()[0]
 
 
+def counted_scorer(
+    table: TrainingTable, family: Family, data: DataFrame, fold: int, context: Context, varied: Iterable[str] = ()
+) -> Callable[[dict[str, Any]], float] | None:
+    """For parameters, the score on a fold of a fit on all others; rows are counted once for all of them.
+
+    ``None`` if the family has no such form, or the parameters ``varied`` change what is counted.
+    """
+    if family.counted is None or CELL_PARAMETERS & set(varied):
+        return None
+    found = family.counted(data.where(F.col(FOLD) != fold), data.where(F.col(FOLD) == fold), context)
+    measure = counted_score(table.problem_type, F.col("y"), F.col("prediction"), F.col("n"))
+    return found and (lambda params: found(params).agg(measure).first()[0])
+
+
 def fit_together(table: TrainingTable, name: str, family: Family, preps: dict[int, Prep], options: Options) -> Joint | None:
     """All folds of a family in common passes: closed forms from sums, boosted trees side by side. ``None`` for other families."""
     if family.leafy is None:

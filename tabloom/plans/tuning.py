@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -20,6 +20,7 @@ from tabloom.plans.families import ALIASES, Options, registry
 from tabloom.plans.training import (
     TrainingTable,
     context_for,
+    counted_scorer,
     fit_preps,
     fold_score,
     new_run_id,
@@ -141,7 +142,8 @@ def tune(
     """Search, prune, refit the best trial on all rows.
 
     Trials run in batches of concurrent jobs over the prepared rows of one fold
-    at a time; between folds the trials that fall behind are dropped.
+    at a time; between folds the trials that fall behind are dropped. Forests share
+    the counted rows of a fold, which are made once.
     """
     options = options or Options()
     name = ALIASES.get(model_name, model_name)
@@ -153,24 +155,26 @@ def tune(
     family = registry(table.problem_type, [name])[name]
     lower = table.problem_type != CLASSIFICATION
     pick = min if lower else max
-    proposals = propose(space or search_space(name), n_trials, seed)
+    space = space or search_space(name)
+    proposals = propose(space, n_trials, seed)
     preps = fit_preps(table)
     inner = replace(options, parallelism=1)
     study = new_run_id()
     ledger: list[list] = []
     history: dict[int, list[float]] = {}
     completed: list[int] = []
+    scorers: dict[int, Callable | None] = {}
     for start in range(0, n_trials, batch):
         alive = list(range(start, min(start + batch, n_trials)))
         means: dict[int, list[float]] = {t: [] for t in alive}
         totals = dict.fromkeys(alive, 0.0)
         for fold in range(table.folds):
-            data = prepared(table, preps[fold]).persist(StorageLevel.MEMORY_AND_DISK)
             context = context_for(table, fold, len(preps[fold].feature_names), inner)
-            scores = run_jobs(
-                [lambda t=t: fold_score(table, family, data, fold, context, proposals[t]) for t in alive],
-                options.parallelism,
-            )
+            data = prepared(table, preps[fold]).persist(StorageLevel.MEMORY_AND_DISK)
+            if fold not in scorers:
+                scorers[fold] = counted_scorer(table, family, data, fold, context, space)
+            scorer = scorers[fold] or (lambda params: fold_score(table, family, data, fold, context, params))
+            scores = run_jobs([lambda t=t: scorer(proposals[t]) for t in alive], options.parallelism)
             data.unpersist()
             still = []
             for trial, value in zip(alive, scores):

@@ -1,12 +1,18 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
+from pyspark.sql import functions as F
 
 from tabloom.operators import forest as fo
+from tabloom.operators.metrics import rmse
 from tabloom.operators.prep import FEATURES
+from tabloom.plans import tuning
 from tabloom.plans.families import LABEL, Context, Options, registry
+from tabloom.plans.training import context_for, fit_preps, prepared, training_table
 
 SMALL = Options(trees=12, forest_depth=6)
 
@@ -98,3 +104,47 @@ def test_too_many_cells_are_left_to_mllib(spark, monkeypatch):
 def test_features_tried_are_mllibs():
     found = [fo.tried_features(s, c, 20, 10) for s, c in [("all", True), ("auto", True), ("auto", False), ("log2", True), ("0.25", True), ("7", True)]]
     assert found == [10, 4, 4, 4, 3, 7] and fo.tried_features("auto", True, 1, 10) == 10
+
+
+@pytest.mark.parametrize("classes", [0, 2, 3])
+@pytest.mark.parametrize("many", [False, True])
+def test_held_out_rows_are_predicted_as_by_the_stored_forest(spark, monkeypatch, classes, many):
+    x, y = drawn(900)
+    if classes:
+        y = np.digitize(y, [8] if classes == 2 else [0, 20]).astype(float)
+    df = table(spark, x, y)
+    if many:  # drawn by several tasks, added up in several pieces
+        monkeypatch.setattr(fo, "DRAWN_ROWS", 300)
+    monkeypatch.setattr(fo, "VOTES_AT_ONCE", 40)
+    name, problem = ("RandomForestClassifier", "classification") if classes else ("RandomForestRegressor", "regression")
+    family, context = registry(problem)[name], Context(600, classes, 3, SMALL)
+    train, held = df.where("_rid % 3 > 0"), df.where("_rid % 3 = 0")
+    model = family(train, context)
+    scorer = family.counted(train, held, context)
+    found = scorer({}).toPandas()
+    assert found["n"].sum() == 300
+    expected = model.transform(held).groupBy(LABEL).agg(F.sum("prediction")).orderBy(LABEL).collect()
+    total = (found["prediction"] * found["n"]).groupby(found["y"]).sum()
+    assert total.index.tolist() == [e[0] for e in expected]
+    assert total.to_numpy() == pytest.approx([e[1] for e in expected])
+    small = scorer({"numTrees": 3, "maxDepth": 2}).toPandas()
+    assert small["prediction"].nunique() < found["prediction"].nunique() or classes
+
+
+def test_a_search_stores_one_forest_and_scores_as_fits_would(spark, monkeypatch):
+    x, y = drawn(900)
+    rows = [(int(i), *[float(v) for v in r], float(c)) for i, (r, c) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double, y double")
+    trained = training_table(df, "y", "regression", 2, ["k"])
+    space = {"numTrees": ("int", 4, 8, 2), "maxDepth": ("int", 2, 6, 1)}
+    stored, store = [], fo.stored_forest
+    monkeypatch.setattr(fo, "stored_forest", lambda *args: stored.append(1) or store(*args))
+    found = tuning.tune(trained, "RandomForestRegressor", 3, SMALL, space)
+    assert len(stored) == 1
+    preps = fit_preps(trained)
+    for r in found.trials.collect():
+        data = prepared(trained, preps[r.step])
+        family, context = registry("regression")["RandomForestRegressor"], context_for(trained, r.step, 3, SMALL)
+        model = family(data.where(f"_fold != {r.step}"), context, json.loads(r.params))
+        out = model.transform(data.where(f"_fold = {r.step}"))
+        assert out.agg(rmse(F.col(LABEL), F.col("prediction"))).first()[0] == pytest.approx(r.score)
