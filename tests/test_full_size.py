@@ -1,11 +1,14 @@
 """The registered model queries do the whole job: library sizes, all families, all trials."""
 
+import inspect
+
 import pytest
 
 from __spark_entry__ import queries
 from queries import explain, models, operations
 from tabloom.operators import attribution
 from tabloom.plans import benchmark, tuning, workflow
+from tabloom.plans.benchmark import holdout_compare
 from tabloom.plans.families import Options, registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -55,6 +58,12 @@ def test_workflow_and_benchmarks_take_all_families(spark, monkeypatch):
     assert all(i.families is None for i in args[0]) and args[1] == Options()
 
 
+def test_the_holdout_comparison_takes_all_folds_and_models(spark, monkeypatch):
+    args, named = seen(spark, monkeypatch, benchmark, "holdout_compare", "holdout_compare")
+    assert len(args) == 3 and set(named) == {"options"} and named["options"] == Options()
+    assert inspect.signature(holdout_compare).parameters["folds"].default == 5
+
+
 def test_attribution_takes_all_samples(spark, monkeypatch):
     _, named = seen(spark, monkeypatch, attribution, "sampling_attribution", "shap_sampling")
     assert "samples" not in named
