@@ -12,7 +12,9 @@ passes.
 Rows of the same bins and label have the same gradients at all times, so they are
 counted first (for squared error on all rows, those of the same bins, by the mean of
 their labels); what is drawn of them is a binomial number. Where a million counted rows
-are enough, they are one block. Other tables are packed row by row.
+are enough, they are one block. For squared error on drawn rows a cell of the same bins is
+told, in each round, by how many of its rows are drawn and the sum of their labels: margins are
+those of the cell, so one pass over the rows draws for all rounds. Other tables are packed row by row.
 
 Blocks hold state (the margins so far) and are worked on by imperative code per
 partition, hundreds of times over; so they are an RDD of arrays, persisted, with
@@ -26,6 +28,7 @@ so scoring, streams, the model store and attribution need nothing new.
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import math
 import time
@@ -39,12 +42,12 @@ from pyspark import RDD, StorageLevel
 from pyspark.ml.classification import GBTClassificationModel, OneVsRestModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions.arrays import to_matrix
 from tabloom.functions.quantiles import chunked_agg
-from tabloom.operators.cells import bins_of, by_label, by_mean, counted, numberable
+from tabloom.operators.cells import binned, bins_of, by_label, by_mean, counted, numberable
 from tabloom.operators.prep import FEATURES
 from tabloom.session import checkpoint_folder, fresh_path, write_table
 
@@ -58,9 +61,17 @@ AHEAD = 8
 # bins that the features of a bundle have together at most
 BUNDLE_BINS = 4096
 ROUNDS_PER_CHECKPOINT = 20
+# cells times rounds whose drawn sums one task reads; rows that a task draws, and that it draws together
+MOST_DRAWN, DRAWN_ROWS, DRAWN_AT_ONCE = 32_000_000, 500_000, 65_536
+# rows of a block up to which the sums of all nodes of a level are made together, and sums that are held of them
+LEVEL_ROWS, LEVEL_SUMS = 200_000, 4_000_000
+# bins that the features of a bundle have together at most where nodes are many
+LEVEL_BINS = 128
 DEEPEST = 30
 ROW_ID = "_rid"
 SKETCH_ACCURACY = 10_000
+# gains that differ by less, for their size, are the same but for rounding: the first cut is taken
+EVEN = 1e-10
 
 SQUARED, LOGISTIC, SOFTMAX = "squared", "logistic", "softmax"
 
@@ -145,6 +156,11 @@ def thresholds(df: DataFrame, width: int, most: int = BINS) -> list[np.ndarray]:
 Block = tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
+def block_limit(cuts: list[np.ndarray]) -> int:
+    """Rows of a block at most."""
+    return max(1, min(BLOCK_ROWS, BLOCK_CELLS // max(1, len(cuts))))
+
+
 def blocks_of(df: DataFrame, label: str, cuts: list[np.ndarray], part: int, start: np.ndarray) -> tuple[RDD, int]:
     """The rows of one part, binned and packed, and the number of blocks; ``start`` has the first margin of each output.
 
@@ -152,7 +168,7 @@ def blocks_of(df: DataFrame, label: str, cuts: list[np.ndarray], part: int, star
     not depend on how rows lie in blocks, or else by its place in the table.
     """
     width = len(cuts)
-    limit = max(1, min(BLOCK_ROWS, BLOCK_CELLS // max(1, width)))
+    limit = block_limit(cuts)
 
     def packed(x: list[np.ndarray], y: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
         matrix = np.concatenate(x)
@@ -175,8 +191,7 @@ def blocks_of(df: DataFrame, label: str, cuts: list[np.ndarray], part: int, star
         if held:
             yield packed(x, y, keys)
 
-    key = F.col(ROW_ID) if ROW_ID in df.columns else F.monotonically_increasing_id()
-    rows = df.select(vector_to_array(F.col(FEATURES)).alias("x"), F.col(label).cast("double").alias("y"), key.alias("key"))
+    rows = df.select(vector_to_array(F.col(FEATURES)).alias("x"), F.col(label).cast("double").alias("y"), row_key(df).alias("key"))
     total = rows.count()
     if total <= limit:
         rows = rows.coalesce(1)
@@ -199,7 +214,7 @@ def counted_block(df: DataFrame, label: str, cuts: list[np.ndarray], part: int,
         return None
     pieces = counted(df, label, cuts)
     cells = write_table(by_mean(pieces) if loss == SQUARED else by_label(pieces), "cells")
-    if cells.count() > max(1, min(BLOCK_ROWS, BLOCK_CELLS // max(1, len(cuts)))):
+    if cells.count() > block_limit(cuts):
         return None
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,6 +231,65 @@ def counted_block(df: DataFrame, label: str, cuts: list[np.ndarray], part: int,
     return cells.coalesce(1).sortWithinPartitions("cell", "y").mapInArrow(pack, "cell binary, y binary, n binary").rdd.map(unpacked)
 
 
+def row_key(df: DataFrame) -> Column:
+    """What tells a row: ``_rid`` if there is one, so that what a round draws does not depend on how rows lie, or else its place."""
+    return F.col(ROW_ID) if ROW_ID in df.columns else F.monotonically_increasing_id()
+
+
+def drawn_cells(df: DataFrame, label: str, cuts: list[np.ndarray], settings: Settings) -> tuple[np.ndarray, DataFrame] | None:
+    """The cells of some rows, in rising order, and ``turn, first, n, total``: of the cells from ``first`` on, how many rows a round draws and the sum of their labels.
+
+    Rows are drawn one by one, by their keys. They are dealt by cell and key, so that a large cell is shared by
+    several tasks and the sums follow the cells. ``None`` where there are too many cells, or hardly fewer than rows.
+    """
+    if not numberable(cuts):
+        return None
+    rows = binned(df, label, cuts, row_key(df))
+    cells = write_table(rows.groupBy("cell").agg(F.count("*").alias("n")), "cells")
+    count, total = cells.agg(F.count("*"), F.sum("n")).first()
+    if not count or count > block_limit(cuts) or count * settings.rounds > MOST_DRAWN or 4 * count > total:
+        return None
+    known = np.sort(cells.select("cell").toArrow()["cell"].to_numpy())
+    shared = df.sparkSession.sparkContext.broadcast(known)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = [b for b in batches if b.num_rows]
+        if not filled:
+            return
+        held = pa.Table.from_batches(filled)
+        cell, y, keys = (held[c].to_numpy() for c in ("cell", "y", "key"))
+        place = np.searchsorted(shared.value, cell)
+        first = int(place[0])
+        mixed, pieces = _mixed(keys.astype(np.int64).view(np.uint64)), []
+        for a in range(0, len(y), DRAWN_AT_ONCE):
+            own = place[a : a + DRAWN_AT_ONCE] - first
+            begins = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            pieces.append((mixed[a : a + DRAWN_AT_ONCE], y[a : a + DRAWN_AT_ONCE], begins, own[begins]))
+        for turn in range(settings.rounds):
+            n, total = np.zeros(place[-1] - first + 1, np.int64), np.zeros(place[-1] - first + 1)
+            for keys_of, y_of, begins, at in pieces:
+                used = drawn_mixed(settings.rows_share, settings.seed, turn, keys_of)
+                n[at] += np.add.reduceat(used, begins, dtype=np.int64)
+                total[at] += np.add.reduceat(y_of * used, begins)
+            columns = [pa.array([turn], pa.int32()), pa.array([first], pa.int32()), pa.array([n.tobytes()], pa.binary()), pa.array([total.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["turn", "first", "n", "total"])
+
+    stored = write_table(rows, "binned-rows")
+    dealt = stored.repartitionByRange(max(1, -(-total // DRAWN_ROWS)), "cell", "key").sortWithinPartitions("cell", "key")
+    return known, write_table(dealt.mapInArrow(draw, "turn int, first int, n binary, total binary"), "drawn")
+
+
+def drawn_turns(rows: Iterator, cells: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows drawn and sum of their labels of all cells, round after round."""
+    for _, pieces in itertools.groupby(rows, lambda r: r[0]):
+        n, total = np.zeros(cells), np.zeros(cells)
+        for _, first, own, sums in pieces:
+            own = np.frombuffer(bytes(own), np.int64)
+            n[first : first + len(own)] += own
+            total[first : first + len(own)] += np.frombuffer(bytes(sums), float)
+        yield n, total
+
+
 def gradients(loss: str, margins: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and second derivative of the loss by the margin: outputs x rows."""
     if loss == SQUARED:
@@ -250,10 +324,12 @@ def _mixed(values: np.ndarray) -> np.ndarray:
 
 def drawn_rows(share: float, seed: int, turn: int, keys: np.ndarray) -> np.ndarray | None:
     """Which rows a round uses; ``None`` for all."""
-    if share >= 1:
-        return None
+    return None if share >= 1 else drawn_mixed(share, seed, turn, _mixed(keys))
+
+
+def drawn_mixed(share: float, seed: int, turn: int, mixed: np.ndarray) -> np.ndarray:
     own = _mixed(np.array([seed * 1_000_003 + turn], np.uint64))
-    return _mixed(_mixed(keys) ^ own) < np.uint64(int(share * 2.0**64))
+    return _mixed(mixed ^ own) < np.uint64(int(share * 2.0**64))
 
 
 def drawn_counts(share: float, seed: int, turn: int, counts: np.ndarray) -> np.ndarray:
@@ -279,8 +355,8 @@ Wish = tuple[GrownTree, np.ndarray, np.ndarray, np.ndarray]
 Bundle = tuple[list[int], list[int], np.ndarray]
 
 
-def bundles_of(bins: np.ndarray, begins: np.ndarray) -> list[Bundle]:
-    """Features of few bins side by side in one key of ``BUNDLE_BINS`` values, as one count of it tells those of each."""
+def bundles_of(bins: np.ndarray, begins: np.ndarray, most: int = BUNDLE_BINS) -> list[Bundle]:
+    """Features of few bins side by side in one key of ``most`` values, as one count of it tells those of each."""
     sizes = np.diff(begins)
     groups: list[list[int]] = []
     room: list[int] = []
@@ -289,7 +365,7 @@ def bundles_of(bins: np.ndarray, begins: np.ndarray) -> list[Bundle]:
         at = next((i for i, r in enumerate(room) if size <= r), None)
         if at is None:
             groups.append([])
-            room.append(max(BUNDLE_BINS, size))
+            room.append(max(most, size))
             at = len(groups) - 1
         groups[at].append(int(f))
         room[at] //= size
@@ -348,20 +424,130 @@ def _summed(blocks: Iterator[Block], loss: str, wishes: Mapping[tuple[int, int],
     return found
 
 
-def _alone(block: Block, loss: str, settings: Settings, begins: np.ndarray, counts: np.ndarray | None = None) -> list[list[GrownTree]]:
-    """All rounds over a table that is one block; ``counts`` tells how many rows each of its rows stands for."""
+def grow_levels(bins: np.ndarray, columns: np.ndarray, bundles: list[Bundle], weights: np.ndarray, settings: Settings) -> tuple[GrownTree, np.ndarray]:
+    """One tree that splits all leaves of a level, and the node of each row; ``weights`` has its gradient, second derivative and number.
+
+    Splits are those of ``Growing``; the sums of all nodes of a level are made together, a bundle at a time.
+    """
+    deepest = min(settings.depth or DEEPEST, DEEPEST)
+    levels, ends, first = [], np.zeros(bins.shape[1], np.int64), 0
+    rows, node = np.arange(bins.shape[1]), np.zeros(bins.shape[1], np.int64)  # by node, as a place in its level
+    totals = weights.sum(axis=1, keepdims=True)
+
+    def score(sums: np.ndarray) -> np.ndarray:
+        return np.square(sums[0]) / np.maximum(sums[1] + settings.penalty, 1e-300)
+
+    for depth in range(deepest + 1):
+        count = totals.shape[1]
+        gain, feature, cut = np.full(count, -np.inf), np.full(count, -1), np.full(count, -1)
+        below, own = np.zeros((3, count)), score(totals)
+        if depth < deepest and len(rows):
+            place = np.searchsorted(node, np.arange(count + 1))
+            used = set(columns.tolist())
+            for features, sizes, joint in bundles:
+                wanted = sorted((f, axis + 2) for axis, f in enumerate(features) if f in used and sizes[axis] > 1)
+                size = math.prod(sizes)
+                step = max(1, LEVEL_SUMS // (3 * size))
+                for a in range(0, count if wanted else 0, step):
+                    b = min(count, a + step)
+                    some = rows[place[a] : place[b]]
+                    key = (node[place[a] : place[b]] - a) * size + joint.take(some)
+                    sums = np.stack([np.bincount(key, w.take(some), (b - a) * size) for w in weights]).reshape(3, b - a, *sizes)
+                    for f, axis in wanted:
+                        others = tuple(i for i in range(2, sums.ndim) if i != axis)
+                        left = sums.sum(axis=others).cumsum(axis=2)[:, :, :-1]
+                        right = totals[:, a:b, None] - left
+                        fits = (np.minimum(left[2], right[2]) >= settings.least_rows - 0.5) & (np.minimum(left[1], right[1]) >= settings.least_weight)
+                        gains = np.where(fits, score(left) + score(right) - own[a:b, None], -np.inf)
+                        found = gains.max(axis=1)
+                        even = EVEN * (own[a:b] + np.maximum(found, 0.0))
+                        best = (gains >= (found - even)[:, None]).argmax(axis=1)
+                        # bundles come in any order: of even gains that of the first feature counts
+                        ahead = np.where(f < feature[a:b], -even, even)
+                        better = np.flatnonzero(found > gain[a:b] + ahead)
+                        gain[a + better], feature[a + better], cut[a + better] = gains[better, best[better]], f, best[better]
+                        below[:, a + better] = left[:, better, best[better]]
+        splits = gain > 1e-9 + 1e-12 * own
+        levels.append((first, totals, splits, feature, cut, gain))
+        ended = ~splits[node]
+        ends[rows[ended]] = first + node[ended]
+        if not splits.any():
+            break
+        going, at = rows[~ended], node[~ended]
+        goes_right = bins[feature[at], going] > cut[at]
+        number = np.cumsum(splits) - 1
+        at = 2 * number[at] + goes_right
+        order = np.argsort(at.astype(np.uint16) if 2 * number[-1] + 2 <= 2**16 else at, kind="stable")
+        rows, node = going[order], at[order]
+        first += count
+        totals = np.stack([below[:, splits], totals[:, splits] - below[:, splits]], axis=2).reshape(3, -1)
+    return _by_depth(levels, settings, ends)
+
+
+def _by_depth(levels: list[tuple], settings: Settings, ends: np.ndarray) -> tuple[GrownTree, np.ndarray]:
+    """The tree of some levels, each node before those below its left and then its right side, and the nodes ``ends`` by these numbers."""
+    first, totals, splits, feature, cut, gain = (np.concatenate([np.broadcast_to(level[i], (*np.shape(level[i])[:-1], len(level[2]))) for level in levels], axis=-1) for i in range(6))
+    weight = totals[1] + settings.penalty
+    value = np.where(weight > 0, -totals[0] / np.where(weight > 0, weight, 1.0), 0.0)
+    inner, count = np.flatnonzero(splits), len(splits)
+    left = np.full(count, -1)
+    left[inner] = 1 + 2 * np.arange(len(inner))  # children follow each other, level by level
+    below = np.ones(count, np.int64)  # nodes at and below each
+    number = np.zeros(count, np.int64)
+    steps = np.cumsum([0, *[len(level[2]) for level in levels]])
+    for a, b in reversed(list(zip(steps, steps[1:]))):
+        at = a + np.flatnonzero(splits[a:b])
+        below[at] += below[left[at]] + below[left[at] + 1]
+    for a, b in zip(steps, steps[1:]):
+        at = a + np.flatnonzero(splits[a:b])
+        number[left[at]] = number[at] + 1
+        number[left[at] + 1] = number[at] + 1 + below[left[at]]
+    order = np.argsort(number)
+
+    def renumbered(child: int) -> list[int]:
+        return np.where(splits, number[np.where(splits, left + child, 0)], -1)[order].tolist()
+
+    tree = GrownTree(
+        np.where(splits, feature, -1)[order].tolist(), np.where(splits, cut, -1)[order].tolist(), renumbered(0), renumbered(1),
+        value[order].tolist(), np.where(splits, gain, -1.0)[order].tolist(), totals[2][order].tolist(),
+    )
+    return tree, number[ends]
+
+
+def _alone(
+    block: Block,
+    loss: str,
+    settings: Settings,
+    begins: np.ndarray,
+    counts: np.ndarray | None = None,
+    draws: Iterator[tuple[np.ndarray, np.ndarray]] | None = None,
+) -> list[list[GrownTree]]:
+    """All rounds over a table that is one block; ``counts`` tells how many rows each of its rows stands for, ``draws`` what each round takes of each and the sum of the labels."""
     _, keys, bins, label, margins = block
-    margins, rounds, bundles = margins.copy(), [], bundles_of(bins, begins)
+    margins, rounds = margins.copy(), []
+    together = not settings.leaves and bins.shape[1] <= LEVEL_ROWS
+    bundles = bundles_of(bins, begins, LEVEL_BINS if together else BUNDLE_BINS)
     for turn in range(settings.rounds):
-        g, h = gradients(loss, margins, label)
-        if counts is None:
-            n, used = None, drawn_rows(settings.rows_share, settings.seed, turn, keys)
+        if draws is not None:
+            n, total = next(draws)
+            g, h, used = n * margins - total, np.broadcast_to(n, margins.shape), n > 0
         else:
-            n = drawn_counts(settings.rows_share, settings.seed, turn, counts)
-            g, h, used = g * n, h * n, n > 0
-        grown = []
+            g, h = gradients(loss, margins, label)
+            if counts is None:
+                n, used = None, drawn_rows(settings.rows_share, settings.seed, turn, keys)
+            else:
+                n = drawn_counts(settings.rows_share, settings.seed, turn, counts)
+                g, h, used = g * n, h * n, n > 0
+        grown, steps = [], []
         for output in range(len(margins)):
             columns = drawn_columns(settings.columns_share, settings.seed, turn, output, len(bins))
+            if together:
+                many = n if n is not None else np.ones(len(label)) if used is None else used.astype(float)
+                weights = np.stack([g[output], h[output], many])
+                tree, ends = grow_levels(bins, columns, bundles, weights if n is not None else weights * many, settings)
+                grown.append(tree)
+                steps.append(np.array(tree.value)[ends])
+                continue
             second = None if loss == SQUARED else h[output]
             growing = Growing(settings, columns, begins)
             rows = {0: np.arange(len(label)) if used is None else np.flatnonzero(used)}
@@ -376,8 +562,9 @@ def _alone(block: Block, loss: str, settings: Settings, begins: np.ndarray, coun
                     sums.append(row_sums(rows[node], bundles, columns, begins, g[output], second, n))
                 growing.take(np.stack(sums))
             grown.append(growing.finished())
+            steps.append(np.array(grown[-1].value)[reached(grown[-1], bins)])
         rounds.append(grown)
-        margins += settings.rate * np.stack([np.array(t.value)[reached(t, bins)] for t in grown])
+        margins += settings.rate * np.stack(steps)
     return rounds
 
 
@@ -477,8 +664,8 @@ class Growing:
         fits = (below[2] >= rows - 0.5) & (above[2] >= rows - 0.5) & (below[1] >= weight) & (above[1] >= weight)
         own = float(self.score(g, h))
         gains = np.where(fits, self.score(below[0], below[1]) + self.score(above[0], above[1]) - own, -np.inf)
-        best = int(np.argmax(gains))
-        gain = float(gains[best])
+        gain = float(gains.max())
+        best = int(np.argmax(gains >= gain - EVEN * (own + gain)))  # -inf: any
         if not gain > 1e-9 + 1e-12 * own:
             return
         self.sums[node] = sums
@@ -587,21 +774,23 @@ def boost(
     loss = SQUARED if not classes else LOGISTIC if classes <= 2 else SOFTMAX
     spark = next(iter(tables.values())).sparkSession
     checkpoint_folder(spark)
-    starts, cuts, pieces, cells = {}, {}, {}, {}
+    starts, cuts, pieces, cells, drawn = {}, {}, {}, {}, {}
     for part, df in tables.items():
         width = df.select(F.size(vector_to_array(F.col(FEATURES)))).first()[0]
         cuts[part] = thresholds(df, width)
         starts[part] = first_margins(loss, df, label, classes)
         cells[part] = counted_block(df, label, cuts[part], part, starts[part], loss, settings.rows_share)
-        if cells[part] is None:
+        drawn[part] = drawn_cells(df, label, cuts[part], settings) if loss == SQUARED and settings.rows_share < 1 else None
+        if cells[part] is None and drawn[part] is None:
             pieces[part] = blocks_of(df, label, cuts[part], part, starts[part])
-    begins = {part: np.concatenate([[0], np.cumsum([len(c) + 1 for c in own])]) for part, own in cuts.items()}
+    begins = {part: begins_of(own) for part, own in cuts.items()}
     small = [blocks.map(lambda b: (b, None)) for blocks, count in pieces.values() if count <= 1]
     small += [blocks for blocks in cells.values() if blocks is not None]
+    fits = [blocks.map(lambda b: (b[0][0], _alone(b[0], loss, settings, begins[b[0][0]], b[1]))) for blocks in small]
+    fits += [_drawn_fit(part, *found, starts[part], cuts[part], settings) for part, found in drawn.items() if found is not None]
     alone: dict[int, list[list[GrownTree]]] = {}
-    if small:
-        run = spark.sparkContext.union(small).map(lambda b: (b[0][0], _alone(b[0], loss, settings, begins[b[0][0]], b[1])))
-        alone = dict(run.collect())
+    if fits:
+        alone = dict(spark.sparkContext.union(fits).collect())
     parts = [part for part in tables if part not in alone]
     if not parts:
         return {part: (starts[part], alone[part], cuts[part]) for part in tables}
@@ -628,6 +817,21 @@ def boost(
     return {part: (starts[part], rounds[part], cuts[part]) for part in tables}
 
 
+def begins_of(cuts: list[np.ndarray]) -> np.ndarray:
+    """Where the bins of each feature begin among those of all."""
+    return np.concatenate([[0], np.cumsum([len(c) + 1 for c in cuts])])
+
+
+def _drawn_fit(part: int, known: np.ndarray, drawn: DataFrame, start: np.ndarray, cuts: list[np.ndarray], settings: Settings) -> RDD:
+    """Part and rounds of a fit to ``drawn_cells``, which one task reads round by round."""
+
+    def fit(rows: Iterator) -> Iterator[tuple[int, list[list[GrownTree]]]]:
+        block = (part, known.view(np.uint64), bins_of(known, cuts), np.zeros(len(known)), np.repeat(start[:, None], len(known), axis=1))
+        yield part, _alone(block, SQUARED, settings, begins_of(cuts), draws=drawn_turns(rows, len(known)))
+
+    return drawn.coalesce(1).sortWithinPartitions("turn", "first").rdd.mapPartitions(fit)
+
+
 def _moved(grown: dict[tuple[int, int], GrownTree], rate: float):
     """The block after a round: its margins with the new trees."""
 

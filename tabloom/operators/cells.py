@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.arrays import to_matrix
@@ -30,18 +30,36 @@ def numberable(cuts: list[np.ndarray]) -> bool:
     return math.prod(bin_counts(cuts)) < LARGEST_CELL
 
 
+def cells_at(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """The cell of each row."""
+    cell = np.zeros(len(x), np.int64)
+    for i, size in enumerate(bin_counts(cuts)):
+        cell = cell * size + np.searchsorted(cuts[i], x[:, i], "left")
+    return cell
+
+
+def binned(df: DataFrame, label: str, cuts: list[np.ndarray], key: Column) -> DataFrame:
+    """``cell, y, key`` of each row."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cell = cells_at(to_matrix(batch.column("x")), cuts)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column("y"), batch.column("key")], ["cell", "y", "key"])
+
+    rows = df.select(vector_to_array(F.col(FEATURES)).alias("x"), F.col(label).cast("double").alias("y"), key.cast("long").alias("key"))
+    return rows.mapInArrow(number, "cell long, y double, key long")
+
+
 def counted(df: DataFrame, label: str, cuts: list[np.ndarray]) -> DataFrame:
     """``cell, y, n``: rows by cell and label, added up within batches only."""
-    sizes = bin_counts(cuts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, y = to_matrix(batch.column("x")), np.asarray(batch.column("y"), float)
-            cell = np.zeros(len(y), np.int64)
-            for i, size in enumerate(sizes):
-                cell = cell * size + np.searchsorted(cuts[i], x[:, i], "left")
+            cell = cells_at(x, cuts)
             order = np.lexsort((y, cell))
             cell, y = cell[order], y[order]
             first = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (y[1:] != y[:-1])]))

@@ -193,3 +193,41 @@ def test_counted_rows_are_drawn_as_if_one_by_one():
     assert (drawn == np.stack([bo.drawn_counts(0.9, 42, turn, counts) for turn in range(200)])).all()
     assert (drawn <= counts).all() and abs(drawn.mean(axis=0) / counts - 0.9).max() < 0.1
     assert 60 < drawn[:, 2].std() < 130 and (bo.drawn_counts(1.0, 42, 0, counts) == counts).all()
+
+
+@pytest.mark.parametrize("depth", [3, 7])
+def test_squared_error_on_drawn_rows_is_fitted_over_cells(spark, monkeypatch, depth):
+    """The rows that each round draws are those of blocks of rows, though cells of the same bins are all that trees see."""
+    random = np.random.default_rng(8)
+    x = random.integers(0, [7, 4, 2], (900, 3))
+    y = x[:, 0] * (1 + x[:, 2]) - x[:, 1] + random.normal(size=900)  # labels differ within cells
+    df = table(spark, x, y)
+    settings = bo.Settings(rounds=5, rate=0.3, depth=depth, rows_share=0.7, columns_share=0.7)
+    monkeypatch.setattr(bo, "DRAWN_ROWS", 250)  # cells are shared by tasks
+    monkeypatch.setattr(bo, "DRAWN_AT_ONCE", 64)
+    blocks = bo.blocks_of
+    monkeypatch.setattr(bo, "blocks_of", lambda *_: pytest.fail("rows were packed one by one"))
+    _, found, cuts = bo.boost({0: df}, "_label", 0, settings)[0]
+    monkeypatch.setattr(bo, "blocks_of", blocks)
+    monkeypatch.setattr(bo, "drawn_cells", lambda *_: None)
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 400)  # several blocks of rows
+    _, expected, _ = bo.boost({0: df}, "_label", 0, settings)[0]
+    for (a,), (b,) in zip(found, expected, strict=True):
+        assert of_tree(a, cuts) == of_tree(b, cuts) and a.rows == b.rows and a.value == pytest.approx(b.value)
+
+
+def test_levels_grow_as_nodes_do_one_by_one(monkeypatch):
+    random = np.random.default_rng(9)
+    sizes = [40, 6, 2, 2, 1, 200]
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    bins = np.stack([random.integers(0, s, 2000) for s in sizes]).astype(np.uint8)
+    y = bins[0] * (bins[2] + 1.0) - bins[5] / 9 + random.normal(size=2000)
+    block = (0, np.arange(2000, dtype=np.uint64), bins, y, np.full((1, 2000), y.mean()))
+    settings = bo.Settings(rounds=4, rate=0.3, depth=8, rows_share=0.8, columns_share=0.7)
+    monkeypatch.setattr(bo, "LEVEL_SUMS", 3000)  # nodes of a level go in several steps
+    found = bo._alone(block, bo.SQUARED, settings, begins)
+    monkeypatch.setattr(bo, "LEVEL_ROWS", 0)
+    expected = bo._alone(block, bo.SQUARED, settings, begins)
+    for (a,), (b,) in zip(found, expected, strict=True):
+        assert (a.feature, a.bin, a.left, a.right, a.rows) == (b.feature, b.bin, b.left, b.right, b.rows)
+        assert a.value == pytest.approx(b.value) and a.gain == pytest.approx(b.gain)
