@@ -2,11 +2,13 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
+from tabloom.operators import attribution
 from tabloom.operators import forest as fo
 from tabloom.operators.metrics import rmse
 from tabloom.operators.prep import FEATURES
@@ -148,3 +150,34 @@ def test_a_search_stores_one_forest_and_scores_as_fits_would(spark, monkeypatch)
         model = family(data.where(f"_fold != {r.step}"), context, json.loads(r.params))
         out = model.transform(data.where(f"_fold = {r.step}"))
         assert out.agg(rmse(F.col(LABEL), F.col("prediction"))).first()[0] == pytest.approx(r.score)
+
+
+@pytest.mark.parametrize("classes", [0, 2, 3])
+def test_a_large_forest_stays_on_disk_and_is_the_same(spark, monkeypatch, tmp_path, classes):
+    x, y = drawn(900)
+    if classes:
+        y = np.digitize(y, [8] if classes == 2 else [0, 20]).astype(float)
+    df = table(spark, x, y)
+    name, problem = ("RandomForestClassifier", "classification") if classes else ("RandomForestRegressor", "regression")
+    family, context = registry(problem)[name], Context(900, classes, 3, SMALL)
+    small = family(df, context)
+    monkeypatch.setattr(fo, "MOST_NODES", 10)
+    monkeypatch.setattr(fo, "VOTES_AT_ONCE", 40)
+    stored = fo.stored_forest
+    monkeypatch.setattr(fo, "stored_forest", lambda *_: pytest.fail("the driver held the forest"))
+    large = family(df, context)
+    PipelineModel([large]).save(f"{tmp_path}/pipeline")
+    again = PipelineModel.load(f"{tmp_path}/pipeline").stages[0]
+    expected = small.transform(df)
+    for model in (large, again):
+        assert model.getOrDefault("maxDepth") == 6 and model.getNumTrees == 12 and model.numFeatures == 3
+        found = model.transform(df)
+        assert found.columns == expected.columns and dict(found.dtypes) == dict(expected.dtypes)
+        assert predictions(model, df) == pytest.approx(predictions(small, df))
+        if classes:
+            both = [[r["probability"].toArray() for r in d.orderBy("_rid").collect()] for d in (found, expected)]
+            assert np.allclose(*both)
+    own = [attribution.tree_attribution(df, m, None, "_rid") for m in (large, small)]
+    assert own[0].base == pytest.approx(own[1].base)
+    monkeypatch.setattr(fo, "stored_forest", stored)
+    assert [t.toDebugString.split("\n", 1)[1] for t in large.trees] == [t.toDebugString.split("\n", 1)[1] for t in small.trees]
