@@ -17,6 +17,7 @@ from tabloom.plans.families import HOLDOUT, LABEL, registry
 from tabloom.plans.training import (
     context_for,
     encode_labels,
+    equal_rows,
     fit_preps,
     label_values,
     predict,
@@ -109,17 +110,16 @@ def _fit(df: DataFrame, target: str, problem: str, family) -> DataFrame:
     prep = fit_preps(table)[FULL]
     data = prepared(table, prep).persist()
     model = family(data, context_for(table, FULL, len(prep.feature_names), OPTIONS))
-    predicted = model.transform(data)
-    label, guess = F.col(LABEL), F.col("prediction")
+    predicted = model.transform(equal_rows(data))
+    label, guess, n = F.col(LABEL), F.col("prediction"), F.col("n")
     if problem == "classification":
         rule = data.groupBy(LABEL).agg(F.count("*").alias("n")).agg(F.max("n") / F.sum("n")).first()[0]
-        better = metrics.accuracy(label, guess) > rule
+        better = metrics.counted_score(problem, label, guess, n) > rule
     else:
         rule = data.agg(F.stddev_pop(LABEL)).first()[0]
-        better = metrics.rmse(label, guess) < rule
-    found = predicted.agg(
-        F.count("*").alias("row_count"), F.count_if(guess.isNotNull() & ~F.isnan(guess)).alias("predicted_rows"), better.alias("better_than_rule")
-    )
+        better = metrics.counted_score(problem, label, guess, n) < rule
+    known = F.sum(F.when(guess.isNotNull() & ~F.isnan(guess), n).otherwise(0))
+    found = predicted.agg(F.sum("n").alias("row_count"), known.alias("predicted_rows"), better.alias("better_than_rule"))
     return found.select(F.lit(family.name).alias("model"), "*", r(F.lit(rule), 6).alias("rule_score"))
 
 

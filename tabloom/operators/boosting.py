@@ -33,7 +33,7 @@ import json
 import math
 import time
 import uuid
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -304,16 +304,14 @@ def gradients(loss: str, margins: np.ndarray, label: np.ndarray) -> tuple[np.nda
 
 def reached(tree: GrownTree, bins: np.ndarray) -> np.ndarray:
     """The node of each row in which it ends."""
-    node = np.zeros(bins.shape[1], np.int32)
-    waiting = [(0, np.arange(bins.shape[1]))]
-    while waiting:
-        at, rows = waiting.pop()
-        if tree.left[at] < 0:
-            node[rows] = at
-            continue
-        goes_left = bins[tree.feature[at]][rows] <= tree.bin[at]
-        waiting += [(tree.left[at], rows[goes_left]), (tree.right[at], rows[~goes_left])]
-    return node
+    feature, cut, left, right = (np.array(c) for c in (tree.feature, tree.bin, tree.left, tree.right))
+    node, going = np.zeros(bins.shape[1], np.int32), np.arange(bins.shape[1])
+    while True:
+        going = going[left[node[going]] >= 0]
+        if not len(going):
+            return node
+        at = node[going]
+        node[going] = np.where(bins[feature[at], going] <= cut[at], left[at], right[at])
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -817,6 +815,48 @@ def boost(
     return {part: (starts[part], rounds[part], cuts[part]) for part in tables}
 
 
+def counted_fits(train: DataFrame, held: DataFrame, label: str, classes: int) -> Callable[[Settings], DataFrame] | None:
+    """For settings: ``cell, y, n, prediction`` of other rows, counted by cell and label, by the booster that ``boost`` would fit on ``train``.
+
+    Both are counted once for all settings; the task that grows the trees also sends the cells of
+    the other rows down, and no model is stored. ``None`` for numbers as labels and for too many cells.
+    """
+    if not classes:
+        return None
+    loss = LOGISTIC if classes <= 2 else SOFTMAX
+    width = train.select(F.size(vector_to_array(F.col(FEATURES)))).first()[0]
+    cuts, start = thresholds(train, width), first_margins(loss, train, label, classes)
+    if not numberable(cuts):
+        return None
+    cells = write_table(by_label(counted(train, label, cuts)), "cells")
+    others = write_table(by_label(counted(held, label, cuts)), "held-out")
+    known = others.select("cell").distinct()
+    if max(cells.count(), known.count()) > block_limit(cuts):
+        return None
+    shared = train.sparkSession.sparkContext.broadcast(np.sort(known.toArrow()["cell"].to_numpy()))
+    begins = begins_of(cuts)
+
+    def predicted(settings: Settings) -> DataFrame:
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            filled = [b for b in batches if b.num_rows]
+            if not filled:
+                return
+            rows = pa.Table.from_batches(filled)
+            cell, y, n = (rows[c].to_numpy() for c in ("cell", "y", "n"))
+            block = (0, cell.view(np.uint64), bins_of(cell, cuts), y, np.repeat(start[:, None], len(y), axis=1))
+            bins = bins_of(shared.value, cuts)
+            margins = np.repeat(start[:, None], bins.shape[1], axis=1)
+            for grown in _alone(block, loss, settings, begins, n):
+                margins += settings.rate * np.stack([np.array(t.value)[reached(t, bins)] for t in grown])
+            found = margins.argmax(axis=0) if loss == SOFTMAX else margins[0] > 0
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value), pa.array(found.astype(float))], ["cell", "prediction"])
+
+        fitted = cells.coalesce(1).sortWithinPartitions("cell", "y").mapInArrow(fit, "cell long, prediction double")
+        return others.join(fitted, "cell")
+
+    return predicted
+
+
 def begins_of(cuts: list[np.ndarray]) -> np.ndarray:
     """Where the bins of each feature begin among those of all."""
     return np.concatenate([[0], np.cumsum([len(c) + 1 for c in cuts])])

@@ -28,7 +28,7 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.operators.boosting import Settings, fit_boosted
+from tabloom.operators.boosting import Settings, counted_fits, fit_boosted
 from tabloom.operators.detection import CLASSIFICATION
 from tabloom.operators.forest import fit_forest, forest_cells, held_out
 from tabloom.operators.huber import WIDEST, equal_rows, fit_huber, stored_linear
@@ -195,6 +195,14 @@ def _boosted(classifier: bool, leafy: bool) -> Fit:
     return fit
 
 
+def _counted_boosted(leafy: bool):
+    def make(train, held, context):
+        found = counted_fits(train, held, LABEL, context.classes)
+        return found and (lambda params: found(boosted_settings(leafy, context.options, params)))
+
+    return make
+
+
 def _kernel_svc(df, context, params):
     """Fourier features, linear support vectors, and calibrated probabilities."""
     mapped = FourierMap(
@@ -281,8 +289,8 @@ CLASSIFIERS = (
     Family("KernelSVC", _kernel_svc),
     Family("KNN", _neighbours),
     Family("NaiveBayes", _naive_bayes),
-    Family("BoostedTreesClassifier", _boosted(True, False), False),
-    Family("LeafyBoostedTreesClassifier", _boosted(True, True), True),
+    Family("BoostedTreesClassifier", _boosted(True, False), False, _counted_boosted(False)),
+    Family("LeafyBoostedTreesClassifier", _boosted(True, True), True, _counted_boosted(True)),
 )
 REGRESSORS = (
     Family("LinearRegression", _linear),

@@ -18,6 +18,7 @@ from typing import Any
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IndexToString
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,7 @@ from tabloom.operators.boosting import fit_boosted
 from tabloom.operators.detection import CLASSIFICATION, FeatureSchema, feature_schema
 from tabloom.operators.folds import SEED, assign_folds
 from tabloom.operators.metrics import counted_score, metric_name, score
+from tabloom.operators.neighbours import NeighboursModel
 from tabloom.operators.ordering import numbered
 from tabloom.operators.prep import FEATURES, FULL, MAX_CATEGORIES, Prep, fit_fold_preps
 from tabloom.plans.closed import Joint, joint_fit
@@ -201,14 +203,28 @@ def context_for(table: TrainingTable, part: int, width: int, options: Options) -
     return Context(table.rows_without(part), len(table.labels) if table.labels else 0, width, options)
 
 
+def equal_rows(rows: DataFrame) -> DataFrame:
+    """Features, label and ``n``, how many rows have them: a model predicts the same for all of them."""
+    found = rows.groupBy(vector_to_array(F.col(FEATURES)).alias("x"), LABEL).agg(F.count("*").alias("n"))
+    return found.select(array_to_vector("x").alias(FEATURES), LABEL, "n")
+
+
 def fold_score(table: TrainingTable, family: Family, data: DataFrame, fold: int, context: Context, params=None) -> float:
     """Fit on all folds but one and score on that one."""
     scorer = counted_scorer(table, family, data, fold, context, params or {})
     if scorer is not None:
         return scorer(params or {})
     model = family(data.where(F.col(FOLD) != fold), context, params)
-    predicted = model.transform(data.where(F.col(FOLD) == fold))
-    return predicted.agg(score(table.problem_type, F.col(LABEL), F.col("prediction"))).first()[0]
+    if isinstance(model, NeighboursModel):  # tells copies among the rows itself
+        predicted = model.transform(data.where(F.col(FOLD) == fold))
+        return predicted.agg(score(table.problem_type, F.col(LABEL), F.col("prediction"))).first()[0]
+    return held_score(table, model, data, fold)
+
+
+def held_score(table: TrainingTable, model: Any, data: DataFrame, fold: int) -> float:
+    """The score on a fold, each different row predicted once."""
+    predicted = model.transform(equal_rows(data.where(F.col(FOLD) == fold)))
+    return predicted.agg(counted_score(table.problem_type, F.col(LABEL), F.col("prediction"), F.col("n"))).first()[0]
 
 
 def counted_scorer(
@@ -232,8 +248,7 @@ def fit_together(table: TrainingTable, name: str, family: Family, preps: dict[in
     data = {part: prepared(table, prep).persist(StorageLevel.MEMORY_AND_DISK) for part, prep in preps.items()}
     classes = len(table.labels) if table.labels else 0
     models = fit_boosted({p: d.where(F.col(FOLD) != p) for p, d in data.items()}, LABEL, classes, boosted_settings(family.leafy, options, {}))
-    measure = score(table.problem_type, F.col(LABEL), F.col("prediction"))
-    scores = {p: models[p].transform(d.where(F.col(FOLD) == p)).agg(measure).first()[0] for p, d in data.items() if p != FULL}
+    scores = {p: held_score(table, models[p], d, p) for p, d in data.items() if p != FULL}
     for d in data.values():
         d.unpersist()
     return Joint(scores, models[FULL])
@@ -322,8 +337,6 @@ def train_all(
 
 def _kept(model, table, prep, data):
     """Neighbour models keep their references beyond the cached rows."""
-    from tabloom.operators.neighbours import NeighboursModel
-
     if isinstance(model, NeighboursModel):
         model.references = write_table(model.references, "neighbour-references")
     return model

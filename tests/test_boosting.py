@@ -231,3 +231,22 @@ def test_levels_grow_as_nodes_do_one_by_one(monkeypatch):
     for (a,), (b,) in zip(found, expected, strict=True):
         assert (a.feature, a.bin, a.left, a.right, a.rows) == (b.feature, b.bin, b.left, b.right, b.rows)
         assert a.value == pytest.approx(b.value) and a.gain == pytest.approx(b.gain)
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+@pytest.mark.parametrize("settings", [
+    bo.Settings(rounds=5, rate=0.3, depth=3, rows_share=0.8, columns_share=0.7),
+    bo.Settings(rounds=4, rate=0.3, depth=0, leaves=7, penalty=0.0, least_weight=1e-3, least_rows=5),
+])
+def test_held_out_rows_are_predicted_as_by_the_stored_booster(spark, monkeypatch, classes, settings):
+    random = np.random.default_rng(6)
+    x = random.integers(0, [7, 4, 2], (900, 3))
+    y = x[:, 0] * (1 + x[:, 2]) - x[:, 1] + random.normal(size=900)
+    df = table(spark, x, np.digitize(y, [3] if classes == 2 else [1, 5]).astype(float))
+    train, held = df.where("_rid % 3 > 0"), df.where("_rid % 3 = 0")
+    model = bo.fit_boosted({0: train}, "_label", classes, settings)[0]
+    expected = model.transform(held).groupBy("_label").agg(F.sum("prediction")).orderBy("_label").collect()
+    monkeypatch.setattr(bo, "stored_model", lambda *_: pytest.fail("a model was stored"))
+    found = bo.counted_fits(train, held, "_label", classes)(settings).toPandas()
+    assert found["n"].sum() == 300
+    assert (found["prediction"] * found["n"]).groupby(found["y"]).sum().to_dict() == {r[0]: r[1] for r in expected}
