@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tabloom.operators import metrics
-from tabloom.plans import benchmark, tuning, workflow
+from tabloom.plans import benchmark, training, tuning, workflow
 from tabloom.plans.families import Options, parameters_json, registry
 from tabloom.plans.training import out_of_fold, predict, train_all, training_table
 from tabloom.sources import stores
@@ -190,3 +190,17 @@ def test_suite_from_a_registry(spark, houses, buyers, tmp_path):
     assert items[0].table.columns == ["sqft", "bedrooms", "price"]
     with pytest.raises(ValueError, match="no table"):
         benchmark.run_suite([])
+
+
+def test_a_model_predicts_each_different_row_of_a_fold_once(spark, monkeypatch):
+    rows = [(i, float(i % 5), float(i % 5 * 2 + i % 2)) for i in range(60)]
+    table = training.training_table(spark.createDataFrame(rows, "k long, a double, y double"), "y", "regression", 2, ["k"])
+    data = training.prepared(table, training.fit_preps(table)[0])
+    family, context = registry("regression")["LinearRegression"], training.context_for(table, 0, 1, Options())
+    model = family(data.where("_fold != 0"), context)
+    held = model.transform(data.where("_fold = 0")).agg(F.count("*"), F.sqrt(F.avg(F.pow(F.col("_label") - F.col("prediction"), F.lit(2.0))))).first()
+    seen, equal = [], training.equal_rows
+    monkeypatch.setattr(training, "equal_rows", lambda rows: seen.append(equal(rows)) or seen[0])
+    assert training.fold_score(table, family, data, 0, context) == pytest.approx(held[1])
+    found = seen[0].agg(F.count("*"), F.sum("n")).first()
+    assert found[0] <= 10 and found[1] == held[0]
